@@ -5,6 +5,7 @@ from __future__ import annotations
 from dossier.llm.chat import OP2_SQL, op2_chat_format
 from dossier.llm.mixing import OP3_SQL, op3_weighted_mix
 from dossier.llm.sharding import op9_hash_tree_shards
+from dossier.llm.simhash import op1_simhash
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_weighted_mix, op9_hash_tree_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_weighted_mix, op9_hash_tree_shards)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op3_weighted_mix": OP3_SQL}
