@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.durable import durable
+from dossier.llm.graph import spread_join
 from dossier.llm.ranks import order_digest, running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     if payload is not None:  # texts are not carried: count words once
         rows = durable(rows)
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    placed = running_sums(rows, "key", "digest", "size", "before").join(source_targets(sizes, **rules), "key")
+    placed = spread_join(running_sums(rows, "key", "digest", "size", "before"), source_targets(sizes, **rules), "key", "digest")
     budget = F.floor("target")
     served = [F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before") - k * F.col("source_size"))) for k in range(rules.get("repeats", REPEATS))]
     finish = (F.col("before") + F.col("size")) / F.when(F.col("target") > 0, F.col("target"))

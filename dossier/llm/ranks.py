@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.llm.graph import spread_join
+
 
 def order_digest(*parts: str | Column) -> Column:
     """32 hex digits that order rows like a shuffle; null parts count as empty."""
@@ -22,7 +24,7 @@ def running_sums(df: DataFrame, group: str, digest: str, value: str, out: str) -
     n, bin_, before, inside = (f"__{x}" for x in ("n", "bin", "before", "inside"))
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias(n))
     share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    binned = df.join(counts, group).withColumn(bin_, F.floor(share * F.ceil(F.sqrt(F.col(n).cast("double"))))).drop(n)
+    binned = spread_join(df, counts, group, digest).withColumn(bin_, F.floor(share * F.ceil(F.sqrt(F.col(n).cast("double"))))).drop(n)
     earlier = Window.partitionBy(group).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
     offsets = binned.groupBy(group, bin_).agg(F.sum(value).alias(inside))
     offsets = offsets.select(group, bin_, F.coalesce(F.sum(inside).over(earlier), F.lit(0)).alias(before))
