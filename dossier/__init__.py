@@ -1 +1,8 @@
 """Document-retrieval analytics as composable Spark DataFrame transformations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
