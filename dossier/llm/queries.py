@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dossier.llm.chat import OP2_SQL, op2_chat_format
+from dossier.llm.decontam import op4_template_leaks
 from dossier.llm.mixing import OP3_SQL, op3_weighted_mix
 from dossier.llm.sharding import op9_hash_tree_shards
 from dossier.llm.simhash import op1_simhash
 from dossier.llm.vectors import OP10_SQL, op10_pca_tiles
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_weighted_mix, op9_hash_tree_shards, op10_pca_tiles)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat_format, op3_weighted_mix, op4_template_leaks, op9_hash_tree_shards, op10_pca_tiles)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op3_weighted_mix": OP3_SQL, "op10_pca_tiles": OP10_SQL}
