@@ -105,50 +105,65 @@ def unplanes(blob: bytes, dtype: type) -> np.ndarray:
 Columns = dict[str, np.ndarray]
 
 
-def _to_rows(key: str, groups: dict[int, Columns], extra: dict[str, int], names: list[str]) -> pa.Table:
-    arrays = [pa.array(list(groups), pa.int64())]
-    arrays += [pa.array([v] * len(groups), pa.int64()) for v in extra.values()]
-    arrays += [pa.array([planes(np.ascontiguousarray(g[n])) for g in groups.values()], pa.binary()) for n in names]
-    return pa.Table.from_arrays(arrays, names=[key, *extra, *names])
+def _split(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each key and the places that have it, in order."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.nonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])[0] if len(keys) else np.zeros(0, int)
+    return [(int(keys[order[s]]), order[s:e]) for s, e in zip(cuts, [*cuts[1:], len(keys)], strict=False)]
 
 
-def _from_row(table: pa.Table, i: int, fields: dict[str, type]) -> Columns:
-    return {n: unplanes(table.column(n)[i].as_py(), t) for n, t in fields.items()}
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of many ranges, one after the other."""
+    to = np.cumsum(size)
+    return data[np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - size), size)]
 
 
-def _split(keys: np.ndarray, columns: Columns) -> dict[int, Columns]:
-    """Columns by key; the order within a key stays."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    cuts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else []
-    ends = [*cuts[1:], len(keys)] if len(keys) else []
-    return {int(keys[s]): {n: c[order[s:e]] for n, c in columns.items()} for s, e in zip(cuts, ends, strict=True)}
+def _read(table: pa.Table, i: int, fields: dict[str, type]) -> Columns:
+    """Columns of a row; what a row has not is empty."""
+    cells = {n: table.column(n)[i].as_py() for n in fields}
+    return {n: unplanes(cells[n], t) if cells[n] is not None else np.zeros(0, t) for n, t in fields.items()}
+
+
+def _row(columns: Columns, at: np.ndarray) -> list[bytes]:
+    return [planes(np.ascontiguousarray(c[at])) for c in columns.values()]
+
+
+def _table(names: list[str], rows: list[list], numbers: int) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.Table.from_arrays([pa.array(c, pa.int64() if i < numbers else pa.binary()) for i, c in enumerate(columns)], names=names)
+
 
+def ask(packed: Packed, answers: DataFrame | None, answer_fields: dict[str, type], question: Callable[[Batch, Columns], tuple], fields: dict[str, type], bytes_column: str | None = None) -> DataFrame:
+    """Rows (dealt_to, batch_id, fields): what each batch has to ask of each part.
 
-def ask(packed: Packed, answers: DataFrame | None, answer_fields: dict[str, type], question: Callable[[Batch, Columns], tuple[np.ndarray, Columns]], fields: dict[str, type]) -> DataFrame:
-    """Rows (dealt_to, batch_id, fields): what each batch has to ask of each part. ``question`` gives part numbers and columns."""
-    names = list(fields)
-    schema = "dealt_to long, batch_id long, " + ", ".join(f"{n} binary" for n in names)
+    ``question`` gives part numbers and columns, and with a bytes_column also data, starts and sizes of byte ranges.
+    """
+    names = ["dealt_to", "batch_id", *fields, *([bytes_column] if bytes_column else [])]
+    schema = "dealt_to long, batch_id long, " + ", ".join(f"{n} binary" for n in names[2:])
 
     def one(batch_id: int, payload: bytes, known: Columns) -> pa.Table:
-        parts, columns = question(unpack(batch_id, payload), known)
-        return _to_rows("dealt_to", _split(parts, columns), {"batch_id": batch_id}, names)
+        parts, columns, *ranges = question(unpack(batch_id, payload), known)
+        rows = []
+        for part, at in _split(parts):
+            rows.append([part, batch_id, *_row(columns, at)])
+            rows[-1] += [gather(d, s[at], z[at]).tobytes() for d, s, z in ranges]
+        return _table(names, rows, 2)
 
     return _with_answers(packed, answers, answer_fields, one, schema)
 
 
-def answer(questions: DataFrame, fields: dict[str, type], reply: Callable[[np.ndarray, Columns], tuple[np.ndarray, Columns]], answer_fields: dict[str, type]) -> DataFrame:
+def answer(questions: DataFrame, fields: dict[str, type], reply: Callable[..., tuple[np.ndarray, Columns]], answer_fields: dict[str, type], bytes_column: str | None = None) -> DataFrame:
     """Rows (batch_id, answer_fields): ``reply`` sees all entries of a part with their batch, and says which batch gets what."""
-    names = list(answer_fields)
+    names = ["batch_id", *answer_fields]
 
     def one(table: pa.Table) -> pa.Table:
-        rows = [_from_row(table, i, fields) for i in range(table.num_rows)]
-        sizes = [len(r[next(iter(fields))]) for r in rows]
-        batch = np.repeat(table.column("batch_id").to_numpy(), sizes)
-        keys, columns = reply(batch, {n: np.concatenate([r[n] for r in rows]) for n in fields})
-        return _to_rows("batch_id", _split(keys, columns), {}, names)
+        rows = [_read(table, i, fields) for i in range(table.num_rows)]
+        batch = np.repeat(table.column("batch_id").to_numpy(), [len(r[next(iter(fields))]) for r in rows])
+        texts = [np.frombuffer(b"".join(table.column(bytes_column).to_pylist()), np.uint8)] if bytes_column else []
+        keys, columns = reply(batch, {n: np.concatenate([r[n] for r in rows]) for n in fields}, *texts)
+        return _table(names, [[b, *_row(columns, at)] for b, at in _split(keys)], 1)
 
-    return questions.groupBy("dealt_to").applyInArrow(one, "batch_id long, " + ", ".join(f"{n} binary" for n in names))
+    return questions.groupBy("dealt_to").applyInArrow(one, "batch_id long, " + ", ".join(f"`{n}` binary" for n in answer_fields))
 
 
 def visit(packed: Packed, answers: DataFrame | None, answer_fields: dict[str, type], work: Callable[[Batch, Columns], pa.Table], schema: str) -> DataFrame:
@@ -167,7 +182,7 @@ def _with_answers(packed: Packed, answers: DataFrame | None, fields: dict[str, t
         return packed.table.mapInArrow(scan, schema)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [_from_row(right, i, fields) for i in range(right.num_rows)]
+        rows = [_read(right, i, fields) for i in range(right.num_rows)]
         known = {n: np.concatenate([r[n] for r in rows]) if rows else np.zeros(0, t) for n, t in fields.items()}
         return one(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py(), known)
 
