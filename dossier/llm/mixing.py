@@ -44,53 +44,69 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return level.select("key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", payload: list[str] | None = None, seed: int = 42, **rules) -> DataFrame:
-    """One row per document: ``row`` (the payload columns), size, source_size, target, taken, virtual_finish.
-
-    Documents are shuffled by a seeded digest. A document's virtual finish is the words of its source up to and with
-    it, divided by the source's target; a repeat starts where the source's first pass ends. The mix serves all sources
-    at equal virtual speed, so the total budget is spent exactly at virtual time 1: copies that finish by then are
-    taken whole, the one copy per source that straddles it gives only the words served so far, and later ones none.
-    Null and empty texts have no words and take none. A null source is a source of its own. Rows that are equal in id
-    and text are interchangeable. An empty table gives an empty mix. ``row`` is a struct, so no column can clash.
-    """
-    rows = docs.select(
-        F.struct(*(docs[c] for c in (payload if payload is not None else docs.columns))).alias("row"),
+def _sized(docs: DataFrame, columns: list[Column], text: str, source: str, doc_id: str, seed: int) -> DataFrame:
+    """The columns, and key (the source, never null), source, size and digest (the place in the shuffle)."""
+    return docs.select(
+        *columns,
         F.coalesce(F.concat(F.lit("s"), docs[source]), F.lit("n")).alias("key"),
         docs[source].alias("source"),
         word_count(docs[text]).alias("size"),
         order_digest(F.lit(seed), docs[doc_id], F.md5(F.coalesce(docs[text], F.lit("")))).alias("digest"),
     )
-    if payload is not None:  # texts are not carried: count words once
-        rows = durable(rows)
+
+
+def _serve(rows: DataFrame, **rules) -> DataFrame:
+    """Add source_size, target, virtual_finish and served: the words taken in each pass over the source."""
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     placed = spread_join(running_sums(rows, "key", "digest", "size", "before"), source_targets(sizes, **rules), "key", "digest")
     budget = F.floor("target")
     served = [F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before") - k * F.col("source_size"))) for k in range(rules.get("repeats", REPEATS))]
     finish = (F.col("before") + F.col("size")) / F.when(F.col("target") > 0, F.col("target"))
-    return placed.select("row", "key", "digest", "size", "source_size", "target", sum(served[1:], served[0]).alias("taken"), finish.alias("virtual_finish"), F.array(*served).alias("served"))
+    return placed.withColumn("virtual_finish", finish).withColumn("served", F.array(*served)).drop("before")
+
+
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 42, **rules) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, virtual_finish.
+
+    Documents are shuffled by a seeded digest. A document's virtual finish is the words of its source up to and with
+    it, divided by the source's target; a repeat starts where the source's first pass ends. The mix serves all sources
+    at equal virtual speed, so the total budget is spent exactly at virtual time 1: copies that finish by then are
+    taken whole, the one copy per source that straddles it gives only the words served so far, and later ones none.
+    Null and empty texts have no words and take none. A null source is a source of its own. Rows that are equal in id
+    and text are interchangeable. An empty table gives an empty mix.
+    """
+    rows = durable(_sized(docs, [docs[doc_id].alias("doc_id")], text, source, doc_id, seed))
+    mixed = _serve(rows, **rules).withColumn("taken", F.aggregate("served", F.lit(0).cast("long"), lambda a, x: a + x))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
 def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, n), " ")
 
 
-def mix_stream(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def mix_stream(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 42, **rules) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row per copy taken, globally sorted by virtual finish.
 
-    Whole copies are unchanged; the last copy of a source holds its first words, as many as are left for it.
+    Whole copies are unchanged; the last copy of a source holds its first words, as many as are left for it. Rows that
+    are equal in source, id and text are served together, one after the other. Texts are dealt once to meet their
+    share of the mix and once to be sorted.
     """
-    mixed = mix(docs, text=text, **options)
-    copies = mixed.select("row", "digest", "size", "source_size", "target", "virtual_finish", F.posexplode("served").alias("turn", "words"))
-    copies = copies.where(F.col("words") > 0).withColumn("finish", F.col("virtual_finish") + F.col("turn") * F.col("source_size") / F.col("target"))
-    ordered = copies.orderBy("finish", "digest", "turn")
-    cut = F.when(F.col("words") < F.col("size"), first_words(F.col("row")[text], F.col("words").cast("int"))).otherwise(F.col("row")[text])
+    named = _sized(docs, [F.struct(*docs.columns).alias("row")], text, source, doc_id, seed)
+    units = named.groupBy("key", "digest").agg(F.first("source").alias("source"), F.sum("size").alias("size"), F.max("size").alias("words"))
+    served = _serve(durable(units), **rules).where(F.exists("served", lambda w: w > 0)).select("key", "digest", "size", "words", "source_size", "target", "virtual_finish", "served")
+    texts = named.select("row", "key", "digest").groupBy("key", "digest").agg(F.first("row").alias("row"))
+    turns = texts.join(served, ["key", "digest"]).select("*", F.posexplode("served").alias("turn", "left")).where("left > 0")
+    copies = turns.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col("left") / F.col("words")))).alias("copy"))
+    taken = F.least(F.col("words"), F.col("left") - (F.col("copy") - 1) * F.col("words"))
+    before = F.col("virtual_finish") - (F.col("size") - F.least(F.col("size"), F.col("copy") * F.col("words"))) / F.col("target")
+    ready = copies.withColumn("taken", taken).withColumn("finish", before + F.col("turn") * F.col("source_size") / F.col("target"))
+    cut = F.when(F.col("taken") < F.col("words"), first_words(F.col("row")[text], F.col("taken").cast("int"))).otherwise(F.col("row")[text])
+    ordered = ready.select("row", "words", "taken", "finish", "digest").orderBy("finish", "digest")
     return ordered.select(*((cut.alias(c) if c == text else F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), payload=["doc_id"])
-    return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("virtual_finish")
 
 
 OP3_SQL = r"""

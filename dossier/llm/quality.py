@@ -177,6 +177,12 @@ def score_documents(docs: DataFrame, net: Network, *, keep: list[str], text: str
     return rows.mapInArrow(scan, f"{schema}, __score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, that score ``threshold`` or more."""
+    net = fit(docs, labels, text=text, **options)
+    return score_documents(docs, net, keep=docs.columns, text=text).where(F.col("__score") >= threshold).drop("__score")
+
+
 def op6_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -181,6 +181,18 @@ def near_duplicate_components(docs: DataFrame, *, text: str = "text", doc_id: st
     return spread_join(prints, named, "fp", "doc_id")
 
 
+def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose doc_id is the smallest of its component.
+
+    Of repeated rows of such an id one stays. Rows without an id cannot be told apart by it, and stay.
+    """
+    found = near_duplicate_components(docs, text=text, doc_id=doc_id, **options)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
+    named = docs.where(docs[doc_id].isNotNull())
+    kept = named.join(first, named[doc_id] == F.col("__first"), "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(docs.where(docs[doc_id].isNull()))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
