@@ -89,7 +89,19 @@ def pack_documents(docs: DataFrame, *, doc_id: str, text: str) -> Packed:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = rows.mapInArrow(pack, "batch_id long, payload binary")
     dealt = packed.repartition(max(1, math.ceil(total / (2 * BATCH_BYTES))), "batch_id")
-    return Packed(durable(dealt), max(1, math.ceil(total / PART_BYTES)))
+    return Packed(_kept_as_dealt(dealt), max(1, math.ceil(total / PART_BYTES)))
+
+
+def _kept_as_dealt(df: DataFrame) -> DataFrame:
+    """A checkpoint that still knows how its rows are dealt, so that later meetings by that key move the other side
+    only. An adaptive plan does not tell its partitioning, hence a fixed one here."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return durable(df.select("*"))
+    finally:
+        conf.set(name, before)
 
 
 def planes(values: np.ndarray) -> bytes:

@@ -100,9 +100,11 @@ KEY_FIELDS = {"part": np.uint32, "key": np.uint32, "several": np.uint8}
 KEY_ANSWER = {"part": np.uint32, "key": np.uint32}
 
 
-def key_question(h: np.ndarray, ids: np.ndarray, parts: int) -> tuple[np.ndarray, Columns]:
+def key_question(h: np.ndarray, ids: np.ndarray, parts: int, inside: bool = False) -> tuple[np.ndarray, Columns]:
+    """Each hash once. ``inside``: also tell whether several ids of this batch have it."""
     part, key = (h % U(parts)).astype(np.int64), (h >> U(32)).astype(np.uint32)
     first, several = least_by_hash(h, ids)
+    several = several & inside
     order = np.argsort(key[first], kind="stable")
     first, several = first[order], several[order]
     return part[first], {"part": part[first].astype(np.uint32), "key": key[first], "several": several.astype(np.uint8)}
@@ -125,54 +127,61 @@ def may_repeat(h: np.ndarray, parts: int, known: Columns) -> np.ndarray:
     return np.isin(mine, wanted, kind="sort")
 
 
-# 2: the source of each repeated k-mer: its first place in the document with the least id.
-EDGE_FIELDS = {"hash": np.uint64, "id": np.int64, "row": np.uint32, "at": np.uint32}
-EDGE_ANSWER = {"hash": np.uint64, "id": np.int64, "batch": np.int64, "row": np.uint32, "at": np.uint32}
+# 2: the source of each k-mer of several batches: its first place in the document with the least id.
+EDGE_FIELDS = {"hash": np.uint64, "id": np.int64, "at": np.uint32}
+EDGE_ANSWER = {"hash": np.uint64, "batch": np.int64, "at": np.uint32}
 
 
 def edge_reply(batch: np.ndarray, asked: Columns) -> tuple[np.ndarray, Columns]:
-    order = np.lexsort((asked["row"], batch, asked["id"], asked["hash"]))
-    h = asked["hash"][order]
-    if not len(h):
-        return batch, {"hash": h, "id": asked["id"], "batch": batch, "row": asked["row"], "at": asked["at"]}
-    starts = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0]
-    source = np.repeat(order[starts], np.diff(np.r_[starts, len(h)]))
-    return batch[order], {"hash": h, "id": asked["id"][source], "batch": batch[source], "row": asked["row"][source], "at": asked["at"][source]}
+    """Only batches hear of a source whose documents all have larger ids; others know the least id from themselves."""
+    order = np.lexsort((asked["at"], batch, asked["id"], asked["hash"]))
+    h, ids = asked["hash"][order], asked["id"][order]
+    starts = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0] if len(h) else np.zeros(0, int)
+    source = np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+    later = ids > ids[source]
+    source = order[source[later]]
+    return batch[order[later]], {"hash": h[later], "batch": batch[source], "at": asked["at"][source]}
 
 
-SPANS = "batch_id long, row int, start int, windows int, source_batch long, source_row int, source_start int, digest binary"
+SPANS = "batch_id long, at int, windows int, source_batch long, source_at int, digest binary"
+CLAIM = ["source_batch", "source_at", "windows", "digest"]
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ddl.split(", ")])
 
 
 def paths(kmers: Kmers, known: Columns) -> pa.Table:
     """Compacted paths: runs of k-mers whose sources are consecutive k-mers of one smaller document.
 
     A run is a path of the graph along which neither text branches off: it ends where the next k-mer is not repeated,
-    or where its source is another document or another place.
+    or where its source is another document or another place. Places are numbers of words in a batch.
     """
     ids = kmers.batch.ids[kmers.row[kmers.at]]
-    place = (kmers.at - kmers.first[kmers.row[kmers.at]]).astype(np.int64)
-    order = np.argsort(known["hash"])
-    hashes = known["hash"][order]
-    found = np.searchsorted(hashes, kmers.hash)
-    found[found == len(hashes)] = 0
-    hit = np.nonzero(hashes[found] == kmers.hash)[0] if len(hashes) else np.zeros(0, np.int64)
-    to = order[found[hit]] if len(hashes) else hit
-    smaller = known["id"][to] < ids[hit]
-    hit, to = hit[smaller], to[smaller]
-    row, start = kmers.row[kmers.at[hit]], place[hit]
-    s_batch, s_row, s_start = known["batch"][to], known["row"][to].astype(np.int64), known["at"][to].astype(np.int64)
+    if not len(ids):
+        return _schema(SPANS).empty_table()
+    distinct, mine = np.unique(kmers.hash, return_inverse=True)
+    first, _ = least_by_hash(kmers.hash, ids)  # in the order of distinct hashes
+    s_batch, s_at = np.full(len(distinct), kmers.batch.batch_id), kmers.at[first].astype(np.int64)
+    s_id = ids[first]
+    to = np.searchsorted(distinct, known["hash"])
+    s_batch[to], s_at[to], s_id[to] = known["batch"], known["at"], np.iinfo(np.int64).min
+    hit = np.nonzero(s_id[mine] < ids)[0]
     if not len(hit):
-        return pa.Table.from_pylist([], schema=pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in SPANS.split(", ")]))
-    goes_on = (np.diff(row) == 0) & (np.diff(start) == 1) & (np.diff(s_batch) == 0) & (np.diff(s_row) == 0) & (np.diff(s_start) == 1)
-    first = np.nonzero(np.r_[True, ~goes_on])[0]
-    windows = np.diff(np.r_[first, len(hit)])
-    digests = [hashlib.blake2b(kmers.text(int(w), int(n) + kmers.k - 1), digest_size=16).digest() for w, n in zip(kmers.at[hit[first]], windows, strict=True)]
-    columns = [np.full(len(first), kmers.batch.batch_id), row[first].astype(np.int32), start[first].astype(np.int32), windows.astype(np.int32), s_batch[first], s_row[first].astype(np.int32), s_start[first].astype(np.int32)]
-    return pa.Table.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], names=[c.split()[0] for c in SPANS.split(", ")])
+        return _schema(SPANS).empty_table()
+    at, s_batch, s_at = kmers.at[hit], s_batch[mine[hit]], s_at[mine[hit]]
+    row = kmers.row[at]
+    goes_on = (np.diff(row) == 0) & (np.diff(at) == 1) & (np.diff(s_batch) == 0) & (np.diff(s_at) == 1)
+    start = np.nonzero(np.r_[True, ~goes_on])[0]
+    windows = np.diff(np.r_[start, len(hit)])
+    digests = [hashlib.blake2b(kmers.text(int(w), int(n) + kmers.k - 1), digest_size=16).digest() for w, n in zip(at[start], windows, strict=True)]
+    columns = [np.full(len(start), kmers.batch.batch_id), at[start].astype(np.int32), windows.astype(np.int32), s_batch[start], s_at[start].astype(np.int32)]
+    return pa.Table.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], schema=_schema(SPANS))
 
 
 def repeated_spans(packed: Packed, k: int = K) -> DataFrame:
-    """Rows of SPANS: where a document repeats a smaller one, word for word, verified at the source's coordinates."""
+    """Rows (batch_id, at, windows): where a document repeats a smaller one, verified at the source's coordinates."""
     parts = packed.parts
 
     def keys(batch: Batch, _: Columns):
@@ -185,33 +194,29 @@ def repeated_spans(packed: Packed, k: int = K) -> DataFrame:
     def edges(batch: Batch, known: Columns):
         kmers = Kmers(batch, k)
         some = np.nonzero(may_repeat(kmers.hash, parts, known))[0]
-        h, row = kmers.hash[some], kmers.row[kmers.at[some]]
-        first, _ = least_by_hash(h, batch.ids[row])
-        first = first[np.argsort(h[first])]
-        at = (kmers.at[some] - kmers.first[row])[first].astype(np.uint32)
-        columns = {"hash": h[first], "id": batch.ids[row][first], "row": row[first].astype(np.uint32), "at": at}
+        h, ids = kmers.hash[some], batch.ids[kmers.row[kmers.at[some]]]
+        first, _ = least_by_hash(h, ids)
+        columns = {"hash": h[first], "id": ids[first], "at": kmers.at[some][first].astype(np.uint32)}
         return (h[first] % U(parts)).astype(np.int64), columns
 
     sources = answer(ask(packed, candidates, KEY_ANSWER, edges, EDGE_FIELDS), EDGE_FIELDS, edge_reply, EDGE_ANSWER)
     spans = durable(visit(packed, sources, EDGE_ANSWER, lambda batch, known: paths(Kmers(batch, k), known), SPANS))
 
-    claims = spans.groupBy("source_batch", "source_row", "source_start", "windows", "digest").agg(F.count(F.lit(1)).alias("uses"))
-
     def disprove(left: pa.Table, right: pa.Table) -> pa.Table:
         wrong = []
         if left.num_rows and right.num_rows:
-            from_batch = Kmers(unpack(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py()), k)
-            for c in right.select(["source_batch", "source_row", "source_start", "windows", "digest"]).to_pylist():
-                at = int(from_batch.first[c["source_row"]]) + c["source_start"]
-                if hashlib.blake2b(from_batch.text(at, c["windows"] + k - 1), digest_size=16).digest() != c["digest"]:
+            kmers = Kmers(unpack(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py()), k)
+            for c in right.select(CLAIM).to_pylist():
+                if hashlib.blake2b(kmers.text(c["source_at"], c["windows"] + k - 1), digest_size=16).digest() != c["digest"]:
                     wrong.append(c)
-        return pa.Table.from_pylist(wrong, schema=pa.schema([("source_batch", pa.int64()), ("source_row", pa.int32()), ("source_start", pa.int32()), ("windows", pa.int32()), ("digest", pa.binary())]))
+        return pa.Table.from_pylist(wrong, schema=_schema(CLAIMS))
 
-    wrong = packed.table.groupBy("batch_id").cogroup(claims.withColumn("batch_id", F.col("source_batch")).groupBy("batch_id"))
-    wrong = wrong.applyInArrow(disprove, "source_batch long, source_row int, source_start int, windows int, digest binary")
-    return spans.join(wrong, ["source_batch", "source_row", "source_start", "windows", "digest"], "left_anti").select(*(c.split()[0] for c in SPANS.split(", ")))
+    claims = spans.select(*CLAIM).distinct().withColumn("batch_id", F.col("source_batch"))
+    wrong = packed.table.groupBy("batch_id").cogroup(claims.groupBy("batch_id")).applyInArrow(disprove, CLAIMS)
+    return spans.join(wrong, CLAIM, "left_anti").select("batch_id", "at", "windows")
 
 
+CLAIMS = "source_batch long, source_at int, windows int, digest binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary"
 
 
@@ -223,14 +228,12 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     whole document are removed whole. An empty table gives no rows.
     """
     packed = pack_documents(docs, doc_id=doc_id, text=text)
-    fields = ["row", "start", "windows"]
-    spans = repeated_spans(packed, k).select("batch_id", *fields)
+    spans = repeated_spans(packed, k)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         kmers = Kmers(unpack(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py()), k)
-        row, start, windows = (right.column(c).to_numpy().astype(np.int64) for c in fields)
+        at, windows = (right.column(c).to_numpy().astype(np.int64) for c in ("at", "windows"))
         change = np.zeros(len(kmers.start) + 1, np.int64)
-        at = kmers.first[row] + start
         np.add.at(change, at, 1)
         np.add.at(change, at + windows + k - 1, -1)
         gone = np.cumsum(change[:-1]) > 0

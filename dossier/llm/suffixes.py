@@ -227,7 +227,7 @@ def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
 
     def keys(batch: Batch, _: Columns):
         found = Stretches(batch, length, anchor)
-        return key_question(found.anchor, found.ids, parts)
+        return key_question(found.anchor, found.ids, parts, inside=True)
 
     candidates = answer(ask(packed, None, {}, keys, KEY_FIELDS), KEY_FIELDS, key_reply, KEY_ANSWER)
 
