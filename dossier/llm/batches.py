@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from dossier.llm.durable import durable
 
 #: Bytes of text in a batch (a longer text is a batch of its own), and bytes of input text for a part.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 PART_BYTES = 12 << 20
+#: Bytes of text that a task holds, batch by batch.
+TASK_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -64,7 +66,7 @@ class Packed:
     parts: int
 
 
-def pack_documents(docs: DataFrame, *, doc_id: str, text: str) -> Packed:
+def pack_documents(docs: DataFrame, *, doc_id: str, text: str, part_bytes: int = PART_BYTES) -> Packed:
     """Null texts are packed as empty ones."""
 
     def pack(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +90,8 @@ def pack_documents(docs: DataFrame, *, doc_id: str, text: str) -> Packed:
     rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = rows.mapInArrow(pack, "batch_id long, payload binary")
-    dealt = packed.repartition(max(1, math.ceil(total / (2 * BATCH_BYTES))), "batch_id")
-    return Packed(_kept_as_dealt(dealt), max(1, math.ceil(total / PART_BYTES)))
+    dealt = packed.repartition(max(1, math.ceil(total / TASK_BYTES)), "batch_id")
+    return Packed(_kept_as_dealt(dealt), max(1, math.ceil(total / part_bytes)))
 
 
 def _kept_as_dealt(df: DataFrame) -> DataFrame:

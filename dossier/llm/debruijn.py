@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +21,16 @@ _R, _W = (int(x) | 1 for x in _RANDOM.integers(1 << 62, 1 << 63, 2))
 _R_INVERSE = pow(_R, -1, 1 << 64)
 
 
-@lru_cache(4)
-def _powers(base: int, length: int) -> np.ndarray:
-    steps = np.full(length, base, np.uint64)
-    steps[:1] = 1
-    return np.multiply.accumulate(steps)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, length: int) -> np.ndarray:
-    return _powers(base, 1 << max(20, (length - 1).bit_length()))[:length]
+    """1, base, base^2 ...; a worker keeps the longest table it has needed."""
+    if base not in _POWERS or len(_POWERS[base]) < length:
+        steps = np.full(1 << max(16, (length - 1).bit_length()), base, np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.multiply.accumulate(steps)
+    return _POWERS[base][:length]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -42,8 +42,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def running_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums of byte values times powers; a difference, times an inverse power, is the hash of what is between."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_R, len(data)), out=sums[1:])
-    return sums
+    sums[1:] = _BYTE[data]
+    sums[1:] *= powers(_R, len(data))
+    return np.cumsum(sums, out=sums)
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.batches import LAST, Batch, Columns, answer, ask, pack_documents, visit
-from dossier.llm.debruijn import KEY_ANSWER, KEY_FIELDS, U, key_question, key_reply, least_by_hash, may_repeat, running_hash, span_hash
+from dossier.llm.debruijn import _R_INVERSE, KEY_ANSWER, KEY_FIELDS, U, key_question, key_reply, least_by_hash, may_repeat, mixed, powers, running_hash, span_hash
 
 LENGTH = 50
+#: Bytes of text for a part: its stretches are several times as long.
+PART_BYTES = 3 << 20
 #: Bytes of the substring whose least hash in a window names the window, and bytes that multikey sorting compares.
 ANCHOR, SHALLOW = 32, 24
 
@@ -40,8 +42,10 @@ class Stretches:
             self.anchor = np.zeros(0, np.uint64)
         else:
             self.sums = running_hash(batch.data)
-            at = np.arange(len(batch.data) - anchor + 1)
-            name = _sliding_min(span_hash(self.sums, at, at + anchor), length - anchor + 1)
+            many = len(batch.data) - anchor + 1
+            name = self.sums[anchor:] - self.sums[:many]
+            name *= powers(_R_INVERSE, many)
+            name = _sliding_min(mixed(name), length - anchor + 1)
             change = np.zeros(n + 1, np.int8)
             ends = batch.starts[1:]
             inside = np.zeros(n + 1, np.int32)
@@ -222,7 +226,7 @@ def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     there. Null texts are empty; shorter texts repeat nothing. Repeated rows of an id do not repeat each other; a null
     id is larger than all others. What is kept may cut a character in two, hence bytes. An empty table gives no rows.
     """
-    packed = pack_documents(docs, doc_id=doc_id, text=text)
+    packed = pack_documents(docs, doc_id=doc_id, text=text, part_bytes=PART_BYTES)
     parts = packed.parts
 
     def keys(batch: Batch, _: Columns):
