@@ -1,12 +1,9 @@
-"""Named queries over the standard tables and their SQL."""
+"""All queries of the library proper."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dossier.plans import control, retrieval, texts  # noqa: F401  each registers its queries
+from dossier.plans.registry import ORACLES, QUERIES
+from dossier.plans.retrieval import flagship
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
