@@ -51,7 +51,9 @@ def _pair_tables(net: Network) -> list[np.ndarray]:
     return [(single[k][:, None, :] + single[k + 1][None, :, :]).reshape(65536, FILTERS).astype(np.float32) for k in range(0, WIDTH, 2)]
 
 
-def _block_maxima(data: np.ndarray, blocks: int, tables: list[np.ndarray]) -> np.ndarray:
+def _block_maxima(data: np.ndarray, last: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """``last``: each text's last block, whose final places would reach into the next text; they see padding only."""
+    blocks = int(last[-1]) + 1 if len(last) else 0
     out = np.empty((blocks, FILTERS), np.float32)
     pair = data[:-1].astype(np.int32) * 256 + data[1:]
     for at in range(0, blocks, 256):
@@ -60,17 +62,18 @@ def _block_maxima(data: np.ndarray, blocks: int, tables: list[np.ndarray]) -> np
         response = tables[0][pair[s : s + n * BLOCK]]
         for k, table in enumerate(tables[1:], 1):
             response += table[pair[s + 2 * k : s + 2 * k + n * BLOCK]]
-        out[at : at + n] = response.reshape(n, BLOCK, FILTERS).max(axis=1)
+        response = response.reshape(n, BLOCK, FILTERS)
+        response[last[np.searchsorted(last, at) : np.searchsorted(last, at + n)] - at, 1 - WIDTH :] = -np.inf
+        out[at : at + n] = response.max(axis=1)
     return out
 
 
 def scores(net: Network, tables: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
     """Each text's probability. Every byte is in a chunk, whatever the length; an empty text is one chunk of padding."""
     data, first = _layout(texts)
-    blocks = _block_maxima(data, int(first[-1]), tables)
-    sizes = np.diff(first)
+    sizes, last = np.diff(first), first[1:] - 1
+    blocks = _block_maxima(data, last, tables)
     chunk = np.maximum(blocks, np.r_[blocks[1:], blocks[-1:]])
-    last = first[1:] - 1
     chunk[last[sizes == 1]] = blocks[last[sizes == 1]]  # a text of one block is one chunk; else the last block starts none
     counted = np.ones(len(blocks), np.float32)
     counted[last[sizes > 1]] = 0
