@@ -10,6 +10,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN_DAYS = 365
 
@@ -28,7 +29,7 @@ def pseudonym(value: Column, key: bytes, domain: str) -> Column:
     return of(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_ip(values: pd.Series) -> pd.Series:
     """An address in its shortest form, IPv4 inside IPv6 as IPv4; null for what is none."""
     out = []

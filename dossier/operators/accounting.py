@@ -84,7 +84,7 @@ def client_ip(forwarded: Column, host: Column, hops: int) -> Column:
     """The address that the ``hops``-th trusted proxy from the right saw; the direct host without proxies."""
     if hops <= 0:
         return host
-    parts = F.transform(F.split(forwarded, ","), F.trim)
+    parts = F.transform(F.split(forwarded, ","), lambda x: F.trim(x))
     return F.coalesce(F.when(F.size(parts) >= hops, F.element_at(parts, -hops)), host)
 
 

@@ -11,6 +11,7 @@ from bisect import bisect_left
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from dossier.functions.normalize import article_key, coverage_text, fix_pdf_substitutions, is_article_key
 
@@ -137,7 +138,7 @@ def clean_text(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
     return from_lines(without_chapter_lines(to_lines(without_toc(bare, doc), doc), doc), doc)
 
 
-MATCH = "array<struct<kind:string,start:int,stop:int,num:string,num_stop:int,title:string,before:string,after:string,next:string>>"
+MATCH = ArrayType(StructType([StructField(n, IntegerType() if n in ("start", "stop", "num_stop") else StringType()) for n in ("kind", "start", "stop", "num", "num_stop", "title", "before", "after", "next")]))
 _COMPILED = {k: re.compile(v) for k, v in MARKERS.items()}
 
 
@@ -312,12 +313,12 @@ def cut_text(text: str, limit: int = MAX_CHUNK) -> list[str]:
     return out + ([text] if text else [])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def limited(texts: pd.Series) -> pd.Series:
     return pd.Series([cut_text(t or "") for t in texts])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def limited_with_marks(texts: pd.Series) -> pd.Series:
     """Pieces within the limit together with the article marks, which every piece keeps."""
     out = []

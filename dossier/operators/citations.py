@@ -8,13 +8,15 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from dossier.functions import codes
 from dossier.functions.normalize import code_key, collapse_spaces, escape_json
 
 QUOTE_CHARS = 600
 PAYLOAD_KEYS = {"raspuns", "pasaje", "gasit"}
-PAYLOAD = "struct<valid:boolean,found:boolean,answer:string,passages:array<struct<id:string,quote:string>>>"
+PASSAGE = StructType([StructField("id", StringType()), StructField("quote", StringType())])
+PAYLOAD = StructType([StructField("valid", BooleanType()), StructField("found", BooleanType()), StructField("answer", StringType()), StructField("passages", ArrayType(PASSAGE))])
 # Marks of amended text, and the notice on a cut answer.
 AMENDED = r"\[(?:Articol cu text )?(?:Text modificat|Text introdus|Abrogat|modificat|introdus|abrogat) prin Ordinul nr\. [0-9.]+/\d{4}, publicat în Monitorul Oficial nr\. \d+ din \d{2}\.\d{2}\.\d{4}\]"
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Thresholds of size, baseline, line and gap.
 SCRIPT_RATIO, BASELINE, SAME_LINE, GAP = 0.85, 0.5, 6.0, 8
@@ -89,14 +90,14 @@ def _apply(text: str, old: list[str], new: list[str]) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def apply_replacements(texts: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     """Each replacement, the longest first, at its first place that none before it took, white space aside. Which
     place is free depends on those taken before, page by page."""
     return pd.Series([_apply(t or "", list(a), list(b)) for t, a, b in zip(texts, old, new, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def drop_fixed_twins(texts: pd.Series, broken: pd.Series, fixed: pd.Series) -> pd.Series:
     """Without broken characters that stand next to their own fixed form, markup and spaces aside. Greek letters stay."""
     skip, out = set("_{}^ \n\x03̇"), []
