@@ -340,9 +340,9 @@ def with_article_marks(chunks: DataFrame, doc: str, *, order: list[str], text: s
     orders = F.regexp_extract_all(text, F.lit(PROVENANCE), F.lit(2))
     rows = chunks.withColumn("__marks", F.array_distinct(F.transform(F.arrays_zip(kinds.alias("k"), orders.alias("o")), lambda z: F.concat_ws(" ", z["k"], z["o"]))))
     rows = rows.withColumn("__base", F.regexp_replace("article", r"(?:\(\d+\))+$", ""))
-    listed = rows.where(F.size("__marks") > 0).groupBy(doc, "__base").agg(F.array_sort(F.collect_list(F.struct(*order, "__marks"))).alias("__all"))
-    listed = listed.select(doc, "__base", F.array_distinct(F.flatten(F.col("__all.__marks"))).alias("__all"))
-    rows = rows.join(listed, [doc, "__base"], "left")
+    marked = F.when(F.size("__marks") > 0, F.struct(*order, "__marks"))
+    listed = F.array_sort(F.collect_list(marked).over(Window.partitionBy(doc, "__base")))
+    rows = rows.withColumn("__all", listed).withColumn("__all", F.array_distinct(F.flatten(F.col("__all.__marks"))))
     added = F.transform(F.array_except("__all", "__marks"), lambda m: F.concat(F.lit("\n[Articol cu text "), m, F.lit("]")))
     return rows.withColumn(text, F.concat(text, F.coalesce(F.array_join(added, ""), F.lit("")))).drop("__marks", "__base", "__all")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,24 +63,13 @@ def provider_health(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "streak", "degraded")
 
 
-@query()
+@query(f"WITH {COUNTS} SELECT event_id, minute_count, hour_count, minute_count <= 1 AND hour_count <= 1 AS allowed FROM c")
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The limiter as a stream over all events at once; the answer is that of ``rate_limit_tight``."""
-    path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{d}/events*.parquet")
-    events = source.select(F.col("user_id").cast("string").alias("caller"), "event_id", "ts")
-    counts = stream.windowed_counts(events)
-    name = f"counts_{uuid.uuid4().hex}"
-    run = counts.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    """The limiter as a stream over all events; the answer is that of ``rate_limit_tight``."""
+    events = stream.events_of(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema)
+    callers = events.select(F.col("user_id").cast("string").alias("caller"), "event_id", "ts")
+    done = stream.run_available(stream.rate_limited(callers, 1, 1, expire=False), "rate_limit")
+    return done.select("event_id", "minute_count", "hour_count", "allowed")
 
 
 @query("""SELECT event_id, coalesce(CASE event_id % 3 WHEN 0 THEN NULL ELSE CASE WHEN event_id % 2 = 0 THEN ' 10.0.0.' || (event_id % 250) ELSE '10.1.1.1' END END, 'host') AS ip FROM events""")

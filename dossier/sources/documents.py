@@ -19,7 +19,7 @@ def read_collection(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     folder = F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1)
     found = spark.read.schema(METADATA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").json(root)
     found = found.withColumn("folder", folder).where(~F.col("folder").startswith("_"))
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "extracted.txt").text(root)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "extracted.txt").text(root, wholetext=True)
     texts = texts.select(folder.alias("folder"), F.regexp_replace("value", "^﻿", "").alias("text"))
     rows = found.join(texts, "folder")
     wrong = metadata_violations(rows.withColumn("document_id", F.coalesce("document_id", "folder")))
@@ -46,7 +46,7 @@ def decode_glyphs(codes: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFr
 
 def read_glyph_table(spark: SparkSession, path: str) -> DataFrame:
     """Rows (font, code, char) of a JSON file of fonts, each a map of codes."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,map<string,struct<char:string>>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,struct<char:string>>>").alias("m"))
     return raw.select(F.explode("m").alias("font", "codes")).select("font", F.explode("codes").alias("code", "entry")).select("font", "code", "entry.char")
 
 
