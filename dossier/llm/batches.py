@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from dossier.llm.durable import durable
 
 #: Bytes of text in a batch (a longer text is a batch of its own), and bytes of input text for a part.
-BATCH_BYTES = 3 << 19
+BATCH_BYTES = 2_000_000
 PART_BYTES = 12 << 20
 #: Bytes of text that a task holds, batch by batch.
 TASK_BYTES = 8 << 20
@@ -160,7 +160,7 @@ def ask(packed: Packed, answers: DataFrame | None, answer_fields: dict[str, type
         rows = []
         for part, at in _split(parts):
             rows.append([part, batch_id, *_row(columns, at)])
-            rows[-1] += [gather(d, s[at], z[at]).tobytes() for d, s, z in ranges]
+            rows[-1] += [zstandard.compress(gather(d, s[at], z[at]).tobytes(), 3) for d, s, z in ranges]
         return _table(names, rows, 2)
 
     return _with_answers(packed, answers, answer_fields, one, schema)
@@ -173,7 +173,7 @@ def answer(questions: DataFrame, fields: dict[str, type], reply: Callable[..., t
     def one(table: pa.Table) -> pa.Table:
         rows = [_read(table, i, fields) for i in range(table.num_rows)]
         batch = np.repeat(table.column("batch_id").to_numpy(), [len(r[next(iter(fields))]) for r in rows])
-        texts = [np.frombuffer(b"".join(table.column(bytes_column).to_pylist()), np.uint8)] if bytes_column else []
+        texts = [np.frombuffer(b"".join(map(zstandard.decompress, table.column(bytes_column).to_pylist())), np.uint8)] if bytes_column else []
         keys, columns = reply(batch, {n: np.concatenate([r[n] for r in rows]) for n in fields}, *texts)
         return _table(names, [[b, *_row(columns, at)] for b, at in _split(keys)], 1)
 
