@@ -188,7 +188,7 @@ def segments(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
     annex, articles carry its name. A suffix glued to a number joins it, unless a capital begins a word there.
     """
     w = Window.partitionBy(doc).orderBy("start")
-    rows = texts.select(doc, F.col(text).alias("__t"), F.explode(marker_matches(text)).alias("m")).select(doc, "__t", "m.*")
+    rows = texts.select(doc, F.explode(marker_matches(text)).alias("m")).select(doc, "m.*")
     rows = rows.withColumn("__art", F.count_if(F.col("kind") == "art").over(Window.partitionBy(doc)))
     rows = rows.where((F.col("kind") != "bare") | (F.col("__art") < ART_DOCUMENT))
     base = F.when(strip(F.col("num")).endswith("."), strip(F.col("num"))).otherwise(F.concat(strip(F.col("num")), F.lit(".")))
@@ -214,10 +214,15 @@ def segments(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
     joined = F.concat("base", F.when(F.col("after").rlike(f"^[{UPPER}]"), "").otherwise(glued))
     short = F.regexp_replace(joined, ",$", "")
     article = F.when(F.col("kind") == "annex", F.col("base")).when(is_article_key(article_key(short)), short).otherwise(joined)
-    until = F.coalesce(F.lead("start").over(w), F.length("__t") + 1)
-    body = strip(F.substring(F.concat(F.lit("\n"), "__t"), F.col("stop") + 1, until - F.col("stop")))
-    rows = rows.withColumn("seg_no", F.row_number().over(w) - 1).withColumn("article", article).withColumn("__body", body)
-    return rows.select(doc, "seg_no", "article", "base", F.when(F.col("kind") == "chapter", F.col("title")).alias("title"), F.col("__body").alias("text"))
+    until = F.coalesce(F.lead("start").over(w), F.lit((1 << 31) - 1))
+    rows = rows.withColumn("seg_no", F.row_number().over(w) - 1).withColumn("article", article).withColumn("until", until)
+    title = F.when(F.col("kind") == "chapter", F.col("title")).alias("title")
+    # A document's text meets its markers once; were it carried by each of them, it would be copied as often.
+    listed = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("seg_no", "article", "base", title, "stop", "until"))).alias("__s"))
+    source = texts.select(doc, F.concat(F.lit("\n"), text).alias("__t")).join(listed, doc)
+    body = lambda s: strip(F.substring(F.col("__t"), s["stop"] + 1, s["until"] - s["stop"]))
+    cut = F.transform("__s", lambda s: F.struct(*(s[c].alias(c) for c in ("seg_no", "article", "base", "title")), body(s).alias("text")))
+    return source.select(doc, F.explode(cut).alias("s")).select(doc, "s.*")
 
 
 def is_title(text: str) -> bool:
