@@ -72,7 +72,7 @@ def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     return done.select("event_id", "minute_count", "hour_count", "allowed")
 
 
-@query("""SELECT event_id, coalesce(CASE event_id % 3 WHEN 0 THEN NULL ELSE CASE WHEN event_id % 2 = 0 THEN ' 10.0.0.' || (event_id % 250) ELSE '10.1.1.1' END END, 'host') AS ip FROM events""")
+@query("""SELECT event_id, coalesce(CASE event_id % 3 WHEN 0 THEN NULL ELSE CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 250) ELSE '10.1.1.1' END END, 'host') AS ip FROM events""")
 def client_address(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     mine = F.concat(F.lit("10.0.0."), (e % 250).cast("string"))
