@@ -182,11 +182,14 @@ def near_duplicate_components(docs: DataFrame, *, text: str = "text", doc_id: st
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose doc_id is the smallest of its component.
+    """The rows of ``docs``, with their columns, whose doc_id is the smallest of its component, where links are
+    Jaccard similarities of word shingles (``jaccard``) and not the fingerprints above.
 
     Of repeated rows of such an id one stays. Rows without an id cannot be told apart by it, and stay.
     """
-    found = near_duplicate_components(docs, text=text, doc_id=doc_id, **options)
+    from dossier.llm.jaccard import similar_components  # takes its shingles from here
+
+    found = similar_components(docs, text=text, doc_id=doc_id, **options)
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
     named = docs.where(docs[doc_id].isNotNull())
     kept = named.join(first, named[doc_id] == F.col("__first"), "left_semi").dropDuplicates([doc_id])
