@@ -48,6 +48,41 @@ def benchmark_windows(benchmark: DataFrame, *, item_id: str = "item_id", text: s
     return rows.join(n, "item_id").select("h", "item_id", "at", "n")
 
 
+def verbatim_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (doc_id, item_id, n_windows, n_item_windows): the items of which a document has at least ``similarity`` of
+    the windows of plain words, whatever their case.
+
+    Every window counts, with literal words or without. An item shorter than ``window`` is one window of its length,
+    and is found anywhere in a document.
+    """
+    tokens = lambda c: F.transform(words(c), F.lower)
+    hashed = lambda size: F.transform(F.sequence(F.lit(0), F.size("tokens") - size), lambda i: F.struct(F.xxhash64(F.slice("tokens", i + 1, size)).alias("h"), i.alias("at")))
+    items = benchmark.select(benchmark[item_id].alias("item_id"), tokens(benchmark[text]).alias("tokens")).where("size(tokens) > 0")
+    items = items.withColumn("width", F.least(F.size("tokens"), F.lit(window)))
+    parts = items.select("item_id", "width", F.explode(hashed(F.col("width"))).alias("w")).select("item_id", "width", "w.h", "w.at").distinct()
+    n = parts.groupBy("item_id").agg(F.countDistinct("at").alias("n")).withColumnRenamed("item_id", "counted")
+    parts = parts.join(n, F.col("item_id").eqNullSafe(F.col("counted")))
+    by_hash = parts.groupBy("h").agg(F.collect_list(F.struct("item_id", "at", "n")).alias("items"))
+    if by_hash.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        by_hash = F.broadcast(by_hash)
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most ``window`` numbers
+    own = docs.select(docs[doc_id].alias("doc_id"), tokens(docs[text]).alias("tokens"))
+    none = F.array().cast("array<struct<h: bigint, at: int>>")
+    here = F.concat(none, *(F.when(F.size("tokens") >= w, hashed(F.lit(w))).otherwise(none) for w in widths))
+    hits = own.select("doc_id", F.explode(here).alias("w")).select("doc_id", "w.h").join(by_hash, "h").select("doc_id", F.explode("items").alias("i"))
+    found = hits.groupBy("doc_id", "i.item_id", F.col("i.n").cast("long").alias("n_item_windows")).agg(F.countDistinct("i.at").alias("n_windows"))
+    return found.where(F.col("n_windows") >= F.lit(similarity) * F.col("n_item_windows")).select("doc_id", "item_id", "n_windows", "n_item_windows")
+
+
+def all_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``leaks``, and those of ``verbatim_leaks`` that templates miss; one for each document and item."""
+    exact = verbatim_leaks(docs, benchmark, **options).withColumn("reparameterised", F.lit(False))
+    rows = leaks(docs, benchmark, **options).withColumn("way", F.lit(0)).unionByName(exact.withColumn("way", F.lit(1)))
+    rest = ["n_item_windows", "n_windows", "reparameterised"]
+    first = rows.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*rest), "way").alias("r"))
+    return first.select("doc_id", "item_id", *(F.col("r")[c].alias(c) for c in rest))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, item_id, n_windows, n_item_windows, reparameterised): the benchmark items that a document holds.
 
@@ -90,11 +125,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     return found.groupBy("doc_id", "item_id", "n_item_windows").agg(F.max("n_windows").alias("n_windows"), F.min("reparameterised").alias("reparameterised"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, with their columns, that hold no benchmark item."""
-    bad = leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leak")).distinct()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", verbatim: bool = False, **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, that hold no benchmark item; ``verbatim`` looks for plain words too."""
+    bad = (all_leaks if verbatim else leaks)(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(bad, docs[doc_id].eqNullSafe(F.col("__leak")), "left_anti")
 
 
 def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return all_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
