@@ -60,10 +60,12 @@ def unpack(batch_id: int, payload: bytes) -> Batch:
 
 @dataclass
 class Packed:
-    """table: rows (batch_id, payload), dealt by batch_id and kept; parts: into how many parts hashes are dealt."""
+    """table: rows (batch_id, payload), dealt by batch_id and kept; parts: into how many parts hashes are dealt; tasks:
+    how many tasks an exchange takes, so that a task's share does not grow with the input."""
 
     table: DataFrame
     parts: int
+    tasks: int
 
 
 def pack_documents(docs: DataFrame, *, doc_id: str, text: str, part_bytes: int = PART_BYTES) -> Packed:
@@ -90,8 +92,8 @@ def pack_documents(docs: DataFrame, *, doc_id: str, text: str, part_bytes: int =
     rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = rows.mapInArrow(pack, "batch_id long, payload binary")
-    dealt = packed.repartition(max(1, math.ceil(total / TASK_BYTES)), "batch_id")
-    return Packed(_kept_as_dealt(dealt), max(1, math.ceil(total / part_bytes)))
+    tasks = max(1, math.ceil(total / TASK_BYTES))
+    return Packed(_kept_as_dealt(packed.repartition(tasks, "batch_id")), max(1, math.ceil(total / part_bytes)), tasks)
 
 
 def _kept_as_dealt(df: DataFrame) -> DataFrame:
@@ -166,18 +168,21 @@ def ask(packed: Packed, answers: DataFrame | None, answer_fields: dict[str, type
     return _with_answers(packed, answers, answer_fields, one, schema)
 
 
-def answer(questions: DataFrame, fields: dict[str, type], reply: Callable[..., tuple[np.ndarray, Columns]], answer_fields: dict[str, type], bytes_column: str | None = None) -> DataFrame:
-    """Rows (batch_id, answer_fields): ``reply`` sees all entries of a part with their batch, and says which batch gets what."""
+def answer(packed: Packed, questions: DataFrame, fields: dict[str, type], reply: Callable[..., tuple[np.ndarray, Columns]], answer_fields: dict[str, type], bytes_column: str | None = None) -> DataFrame:
+    """Rows (batch_id, answer_fields): ``reply`` sees all entries of a part with their batch, and says which batch gets
+    what. It also sees as ``entry`` the place of each among those of its batch, by which the batch knows it again."""
     names = ["batch_id", *answer_fields]
 
     def one(table: pa.Table) -> pa.Table:
         rows = [_read(table, i, fields) for i in range(table.num_rows)]
-        batch = np.repeat(table.column("batch_id").to_numpy(), [len(r[next(iter(fields))]) for r in rows])
+        sizes = [len(r[next(iter(fields))]) for r in rows]
+        batch = np.repeat(table.column("batch_id").to_numpy(), sizes)
         texts = [np.frombuffer(b"".join(map(zstandard.decompress, table.column(bytes_column).to_pylist())), np.uint8)] if bytes_column else []
-        keys, columns = reply(batch, {n: np.concatenate([r[n] for r in rows]) for n in fields}, *texts)
+        entry = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
+        keys, columns = reply(batch, {n: np.concatenate([r[n] for r in rows]) for n in fields} | {"entry": entry}, *texts)
         return _table(names, [[b, *_row(columns, at)] for b, at in _split(keys)], 1)
 
-    return questions.groupBy("dealt_to").applyInArrow(one, "batch_id long, " + ", ".join(f"`{n}` binary" for n in answer_fields))
+    return questions.repartition(packed.tasks, "dealt_to").groupBy("dealt_to").applyInArrow(one, "batch_id long, " + ", ".join(f"`{n}` binary" for n in answer_fields))
 
 
 def visit(packed: Packed, answers: DataFrame | None, answer_fields: dict[str, type], work: Callable[[Batch, Columns], pa.Table], schema: str) -> DataFrame:

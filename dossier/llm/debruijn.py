@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,16 @@ from dossier.llm.durable import durable
 
 K = 13
 U = np.uint64
-#: Fixed random numbers: one for each byte value, and odd multipliers for bytes and for words.
-_RANDOM = np.random.default_rng(7)
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-_R, _W = (int(x) | 1 for x in _RANDOM.integers(1 << 62, 1 << 63, 2))
-_R_INVERSE = pow(_R, -1, 1 << 64)
+#: Words of more bytes are hashed one by one: over long texts, sums of powers modulo 2^64 are no good hashes.
+LONG_WORD = 64
+
+
+def _numbers(seed: int) -> tuple[np.ndarray, int, int]:
+    """Random numbers of a seed: one for each byte value, and odd multipliers for bytes and for words."""
+    rng = np.random.default_rng(7 + seed)
+    table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+    r, w = (int(x) | 1 for x in rng.integers(1 << 62, 1 << 63, 2))
+    return table, r, w
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -39,16 +45,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def running_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte values times powers; a difference, times an inverse power, is the hash of what is between."""
+def running_hash(data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
+    """Prefix sums of byte values times powers of a base, and the base; a difference, times an inverse power, is the
+    hash of what is between."""
+    table, base, _ = _numbers(seed)
     sums = np.zeros(len(data) + 1, np.uint64)
-    sums[1:] = _BYTE[data]
-    sums[1:] *= powers(_R, len(data))
-    return np.cumsum(sums, out=sums)
+    sums[1:] = table[data]
+    sums[1:] *= powers(base, len(data))
+    return np.cumsum(sums, out=sums), base
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed((sums[end] - sums[start]) * powers(_R_INVERSE, len(sums))[start])
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    sums, base = running_hash(data, seed)
+    found = mixed((sums[end] - sums[start]) * powers(pow(base, -1, 1 << 64), len(sums))[start])
+    for i in np.nonzero(end - start > LONG_WORD)[0].tolist():
+        found[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed + 1)
+    return found
 
 
 def word_bounds(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,21 +76,13 @@ def word_bounds(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(batch.starts, start, side="right") - 1
 
 
-class Kmers:
-    """The k-mers of a batch: hash, row, place in the row's words; and the words themselves."""
+class Words:
+    """The words of a batch: start, end, row; first: the first word of each row."""
 
-    def __init__(self, batch: Batch, k: int):
-        self.batch, self.k = batch, k
+    def __init__(self, batch: Batch):
+        self.batch = batch
         self.start, self.end, self.row = word_bounds(batch)
-        self.first = np.searchsorted(self.row, np.arange(batch.rows + 1))  # of each row's words
-        word = span_hash(running_hash(batch.data), self.start, self.end)
-        n = max(0, len(word) - k + 1)
-        h = np.zeros(n, np.uint64)
-        for j in range(k):
-            h = h * U(_W) + word[j : j + n]
-        whole = self.row[:n] == self.row[k - 1 :]
-        self.at = np.nonzero(whole)[0]
-        self.hash = mixed(h[whole])
+        self.first = np.searchsorted(self.row, np.arange(batch.rows + 1))
 
     def text(self, first: int, words: int) -> bytes:
         """Words joined by single spaces."""
@@ -86,6 +90,22 @@ class Kmers:
         return b" ".join(data[s:e].tobytes() for s, e in zip(self.start[first : first + words], self.end[first : first + words], strict=True))
 
 
+class Kmers(Words):
+    """The k-mers of a batch too: their hashes, and the word at which each begins."""
+
+    def __init__(self, batch: Batch, k: int, seed: int = 0):
+        super().__init__(batch)
+        self.k = k
+        word = word_hashes(batch.data, self.start, self.end, seed)
+        n = max(0, len(word) - k + 1)
+        h, times = np.zeros(n, np.uint64), U(_numbers(seed)[2])
+        for j in range(k):
+            h = h * times + word[j : j + n]
+        whole = self.row[:n] == self.row[k - 1 :]
+        self.at = np.nonzero(whole)[0]
+        self.hash = mixed(h[whole])
+
+
 def least_by_hash(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first entry with the least id for each distinct hash, and whether the hash has other ids too."""
     order = np.lexsort((np.arange(len(h)), ids, h))
@@ -181,42 +201,73 @@ def paths(kmers: Kmers, known: Columns) -> pa.Table:
     return pa.Table.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], schema=_schema(SPANS))
 
 
-def repeated_spans(packed: Packed, k: int = K) -> DataFrame:
-    """Rows (batch_id, at, windows): where a document repeats a smaller one, verified at the source's coordinates."""
+def claimed_spans(packed: Packed, k: int, seed: int) -> DataFrame:
+    """Rows of SPANS: where a document seems to repeat a smaller one, as the k-mers' hashes of this seed say."""
     parts = packed.parts
 
     def keys(batch: Batch, _: Columns):
-        kmers = Kmers(batch, k)
+        kmers = Kmers(batch, k, seed)
         return key_question(kmers.hash, batch.ids[kmers.row[kmers.at]], parts)
 
     asked = ask(packed, None, {}, keys, KEY_FIELDS)
-    candidates = answer(asked, KEY_FIELDS, key_reply, KEY_ANSWER)
+    candidates = answer(packed, asked, KEY_FIELDS, key_reply, KEY_ANSWER)
 
     def edges(batch: Batch, known: Columns):
-        kmers = Kmers(batch, k)
+        kmers = Kmers(batch, k, seed)
         some = np.nonzero(may_repeat(kmers.hash, parts, known))[0]
         h, ids = kmers.hash[some], batch.ids[kmers.row[kmers.at[some]]]
         first, _ = least_by_hash(h, ids)
         columns = {"hash": h[first], "id": ids[first], "at": kmers.at[some][first].astype(np.uint32)}
         return (h[first] % U(parts)).astype(np.int64), columns
 
-    sources = answer(ask(packed, candidates, KEY_ANSWER, edges, EDGE_FIELDS), EDGE_FIELDS, edge_reply, EDGE_ANSWER)
-    spans = durable(visit(packed, sources, EDGE_ANSWER, lambda batch, known: paths(Kmers(batch, k), known), SPANS))
+    sources = answer(packed, ask(packed, candidates, KEY_ANSWER, edges, EDGE_FIELDS), EDGE_FIELDS, edge_reply, EDGE_ANSWER)
+    return durable(visit(packed, sources, EDGE_ANSWER, lambda batch, known: paths(Kmers(batch, k, seed), known), SPANS))
+
+
+def disproved(packed: Packed, spans: DataFrame, k: int) -> DataFrame:
+    """The claims of ``spans`` whose words are not those at the source's coordinates.
 
-    def disprove(left: pa.Table, right: pa.Table) -> pa.Table:
+    A batch that many claims name is looked at by several tasks, each with up to about CLAIMS_EACH of the claims.
+    """
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
         wrong = []
         if left.num_rows and right.num_rows:
-            kmers = Kmers(unpack(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py()), k)
+            words = Words(unpack(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py()))
             for c in right.select(CLAIM).to_pylist():
-                if hashlib.blake2b(kmers.text(c["source_at"], c["windows"] + k - 1), digest_size=16).digest() != c["digest"]:
+                if hashlib.blake2b(words.text(c["source_at"], c["windows"] + k - 1), digest_size=16).digest() != c["digest"]:
                     wrong.append(c)
         return pa.Table.from_pylist(wrong, schema=_schema(CLAIMS))
 
-    claims = spans.select(*CLAIM).distinct().withColumn("batch_id", F.col("source_batch"))
-    wrong = packed.table.groupBy("batch_id").cogroup(claims.groupBy("batch_id")).applyInArrow(disprove, CLAIMS)
-    return spans.join(wrong, CLAIM, "left_anti").select("batch_id", "at", "windows")
+    claims = durable(spans.select(*CLAIM).distinct().withColumn("batch_id", F.col("source_batch")))
+    hot = claims.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / CLAIMS_EACH).alias("shares")).where("shares > 1")
+    dealt = claims.join(hot, "batch_id", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("digest"), F.col("shares")), F.lit(0)))
+    first = packed.table.groupBy("batch_id").cogroup(dealt.where("share = 0").drop("shares", "share").groupBy("batch_id")).applyInArrow(look, CLAIMS)
+    copies = packed.table.join(hot, "batch_id").select("batch_id", "payload", F.explode(F.sequence(F.lit(1), F.col("shares") - 1)).alias("share"))
+    others = copies.groupBy("batch_id", "share").cogroup(dealt.where("share > 0").drop("shares").groupBy("batch_id", "share"))
+    return first.unionByName(others.applyInArrow(look, CLAIMS))
 
 
+def repeated_spans(packed: Packed, k: int = K) -> DataFrame:
+    """Rows (batch_id, at, windows): where a document repeats a smaller one, verified at the source's coordinates.
+
+    If hashes led to a wrong source, another document may still be the right one, so that all are asked again with
+    other hashes; what was verified stays.
+    """
+    found = None
+    for seed in range(SEEDS):
+        spans = claimed_spans(packed, k, seed)
+        wrong = durable(disproved(packed, spans, k))
+        sound = not wrong.limit(1).count()
+        right = (spans if sound else spans.join(wrong, CLAIM, "left_anti")).select("batch_id", "at", "windows")
+        found = right if found is None else found.unionByName(right)
+        if sound:
+            return found
+    raise RuntimeError(f"hashes of {SEEDS} seeds all collide")
+
+
+#: How many seeds are tried, and claims that one task looks up in a batch.
+SEEDS, CLAIMS_EACH = 5, 1000
 CLAIMS = "source_batch long, source_at int, windows int, digest binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary"
 
@@ -225,25 +276,25 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """Rows of RESULT: each document without the words that a k-word window repeated from a smaller doc_id covers.
 
     Kept words are joined by one space. Null texts have no words; texts shorter than k words repeat nothing. Repeated
-    rows of an id do not repeat each other, for neither id is smaller; a null id is larger than all others. Copies of a
-    whole document are removed whole. An empty table gives no rows.
+    rows of an id do not repeat each other, for neither id is smaller; a null id is larger than all others, and so is the
+    largest long, which counts as null. Copies of a whole document are removed whole. An empty table gives no rows.
     """
     packed = pack_documents(docs, doc_id=doc_id, text=text)
     spans = repeated_spans(packed, k)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        kmers = Kmers(unpack(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py()), k)
+        words = Words(unpack(left.column("batch_id")[0].as_py(), left.column("payload")[0].as_py()))
         at, windows = (right.column(c).to_numpy().astype(np.int64) for c in ("at", "windows"))
-        change = np.zeros(len(kmers.start) + 1, np.int64)
+        change = np.zeros(len(words.start) + 1, np.int64)
         np.add.at(change, at, 1)
         np.add.at(change, at + windows + k - 1, -1)
         gone = np.cumsum(change[:-1]) > 0
-        data, out = kmers.batch.data.tobytes(), []
-        for r in range(kmers.batch.rows):
-            a, b = kmers.first[r], kmers.first[r + 1]
+        data, out = words.batch.data.tobytes(), []
+        for r in range(words.batch.rows):
+            a, b = words.first[r], words.first[r + 1]
             stay = np.nonzero(~gone[a:b])[0] + a
-            kept = b" ".join([data[s:e] for s, e in zip(kmers.start[stay].tolist(), kmers.end[stay].tolist(), strict=True)])
-            doc = int(kmers.batch.ids[r])
+            kept = b" ".join([data[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)])
+            doc = int(words.batch.ids[r])
             out.append((None if doc == LAST else doc, int(b - a), int(b - a) - len(stay), hashlib.sha256(kept).hexdigest(), kept))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5

@@ -6,16 +6,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.batches import LAST, Batch, Columns, answer, ask, pack_documents, visit
-from dossier.llm.debruijn import _R_INVERSE, KEY_ANSWER, KEY_FIELDS, U, key_question, key_reply, least_by_hash, may_repeat, mixed, powers, running_hash, span_hash
+from dossier.llm.debruijn import KEY_ANSWER, KEY_FIELDS, U, key_question, key_reply, may_repeat, mixed, powers, running_hash
 
 LENGTH = 50
-#: Bytes of text for a part: its stretches are several times as long.
-PART_BYTES = 3 << 20
+#: Bytes of text for a part.
+PART_BYTES = 6 << 20
 #: Bytes of the substring whose least hash in a window names the window, and bytes that multikey sorting compares.
-ANCHOR, SHALLOW = 32, 24
+ANCHOR, SHALLOW = 24, 24
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -31,7 +32,7 @@ class Stretches:
     """Maximal runs of windows of one text that have the same anchor, and which of them are equal in the batch.
 
     start: byte of the first window; windows: how many; row; anchor: hash. Equal windows have equal anchors wherever
-    they stand. kind: number of the stretch's content in the batch; first: for each kind, the stretch with the least id.
+    they stand.
     """
 
     def __init__(self, batch: Batch, length: int, anchor: int):
@@ -41,10 +42,10 @@ class Stretches:
             self.start = self.windows = self.row = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
         else:
-            self.sums = running_hash(batch.data)
+            sums, base = running_hash(batch.data)
             many = len(batch.data) - anchor + 1
-            name = self.sums[anchor:] - self.sums[:many]
-            name *= powers(_R_INVERSE, many)
+            name = sums[anchor:] - sums[:many]
+            name *= powers(pow(base, -1, 1 << 64), many)
             name = _sliding_min(mixed(name), length - anchor + 1)
             change = np.zeros(n + 1, np.int8)
             ends = batch.starts[1:]
@@ -64,17 +65,52 @@ class Stretches:
             self.anchor = name[self.start]
         self.ids = batch.ids[self.row]
 
-    def kinds(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(some):
-            return some, some
-        content = span_hash(self.sums, self.start[some], self.start[some] + self.windows[some] + self.length - 1)
-        order, kind = np.unique(content, return_inverse=True)
-        first, _ = least_by_hash(content, self.ids[some])
-        return kind, first
-
-
-PIECE_FIELDS = {"anchor": np.uint64, "id": np.int64, "kind": np.uint32, "windows": np.uint32}
-PIECE_ANSWER = {"kind": np.uint32, "from": np.uint32, "to": np.uint32}
+    def kinds(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the stretches ``some``: the number of each one's content (anchors first, then digests), the first with
+        the least id of each content, and the 128-bit digests of the contents as two columns."""
+        data, ends = self.batch.data.tobytes(), self.start[some] + self.windows[some] + self.length - 1
+        digests = b"".join([xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(self.start[some].tolist(), ends.tolist(), strict=True)])
+        digest = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        key = self.anchor[some] >> U(32)
+        order = np.lexsort((np.arange(len(some)), self.ids[some], digest[:, 1], digest[:, 0], key))
+        new = _changes(key[order], digest[order, 0], digest[order, 1])
+        kind = np.zeros(len(some), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        return kind, order[new], digest[order[new]]
+
+
+def _changes(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where an entry differs from the one before it in any column."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+# The digests of what may repeat, and what a part says of them: GONE if a smaller id has the whole stretch, SHOW if others
+# with the same anchor differ, so that bytes must be compared.
+DIGEST_FIELDS = {"part": np.uint32, "key": np.uint32, "one": np.uint64, "two": np.uint64, "id": np.int64}
+DIGEST_ANSWER = {"digest_part": np.uint32, "digest_entry": np.uint32, "state": np.uint8}
+GONE, SHOW = 1, 2
+
+
+def digest_reply(batch: np.ndarray, asked: Columns) -> tuple[np.ndarray, Columns]:
+    """Equal stretches are one. Of each, the rows with the least id show their bytes if the anchor has other stretches;
+    32 bits of an anchor may join two anchors, which costs a needless look and nothing else."""
+    order = np.lexsort((asked["id"], asked["two"], asked["one"], asked["key"]))
+    key, ids = asked["key"][order], asked["id"][order]
+    unit = _changes(key, asked["one"][order], asked["two"][order])
+    head = np.nonzero(_changes(key))[0]
+    least = ids[unit][np.cumsum(unit) - 1] if len(ids) else ids
+    several = np.repeat(np.add.reduceat(unit.astype(np.int64), head) > 1, np.diff(np.r_[head, len(key)])) if len(key) else unit
+    state = np.where(ids > least, GONE, np.where(several, SHOW, 0)).astype(np.uint8)
+    told = order[state > 0]
+    return batch[told], {"digest_part": asked["part"][told], "digest_entry": asked["entry"][told], "state": state[state > 0]}
+
+
+PIECE_FIELDS = {"part": np.uint32, "anchor": np.uint64, "id": np.int64, "windows": np.uint32}
+PIECE_ANSWER = {"piece_part": np.uint32, "piece_entry": np.uint32, "from": np.uint32, "to": np.uint32}
 
 
 class BlindTrie:
@@ -172,59 +208,56 @@ def equal_suffixes(data: np.ndarray, at: np.ndarray, length: int, shallow: int =
 
 
 def _piece_reply(length: int):
+    """Ranges of each shown stretch's windows that a smaller id has too. All windows whose anchors meet are sorted."""
+
     def reply(batch: np.ndarray, asked: Columns, text: np.ndarray) -> tuple[np.ndarray, Columns]:
-        anchor, ids, kind = asked["anchor"], asked["id"], asked["kind"]
-        windows = asked["windows"].astype(np.int64)
-        size = windows + length - 1
-        offset = np.cumsum(size) - size
+        ids, windows = asked["id"], asked["windows"].astype(np.int64)
         if not len(ids):
-            return batch, {"kind": kind, "from": kind, "to": kind}
-        # Equal stretches are one; it keeps the least id.
-        sums = running_hash(text)
-        content = span_hash(sums, offset, offset + size)
-        _, unit = np.unique(content, return_inverse=True)
-        first, _ = least_by_hash(content, ids)
-        unit_windows, unit_id, unit_at = windows[first], ids[first], offset[first]
-        begin = np.cumsum(unit_windows) - unit_windows
-        least = np.repeat(unit_id, unit_windows)
-        # Only anchors with several different stretches have windows to compare.
-        order = np.argsort(anchor[first], kind="stable")
-        sorted_anchor = anchor[first][order]
-        run = np.nonzero(np.r_[True, sorted_anchor[1:] != sorted_anchor[:-1]])[0]
-        count = np.diff(np.r_[run, len(order)])
-        several = np.zeros(len(first), bool)
-        several[order] = np.repeat(count > 1, count)
-        mine = np.nonzero(several)[0]
-        if len(mine):
-            index = np.arange(unit_windows[mine].sum()) + np.repeat(begin[mine] - (np.cumsum(unit_windows[mine]) - unit_windows[mine]), unit_windows[mine])
-            at = np.repeat(unit_at[mine] - begin[mine], unit_windows[mine]) + index
-            label = equal_suffixes(text, at, length)
-            index, label = index[label >= 0], label[label >= 0]
-            lowest = np.full(label.max() + 1 if len(label) else 0, LAST, np.int64)
-            np.minimum.at(lowest, label, least[index])
-            least[index] = np.minimum(least[index], lowest[label])
-        # Ranges of each asked stretch's windows that a smaller id has too.
-        total = np.cumsum(windows)
+            return batch, {"piece_part": asked["part"], "piece_entry": asked["entry"], "from": asked["part"], "to": asked["part"]}
+        size, total = windows + length - 1, np.cumsum(windows)
         inner = np.arange(total[-1]) - np.repeat(total - windows, windows)
-        gone = least[np.repeat(begin[unit], windows) + inner] < np.repeat(ids, windows)
+        label = equal_suffixes(text, np.repeat(np.cumsum(size) - size, windows) + inner, length)
+        own = np.repeat(ids, windows)
+        lowest = np.full(label.max() + 2, LAST, np.int64)
+        np.minimum.at(lowest, label, own)
+        gone = (label >= 0) & (lowest[label] < own)
         edge = np.diff(np.r_[0, gone.astype(np.int8)])
         starts = np.nonzero((edge == 1) | (gone & (inner == 0)))[0]
         stops = np.nonzero(gone & np.r_[~gone[1:] | (inner[1:] == 0), True])[0]
         entry = np.searchsorted(total, starts, side="right")
-        return batch[entry], {"kind": kind[entry], "from": inner[starts].astype(np.uint32), "to": (inner[stops] + 1).astype(np.uint32)}
+        found = {"from": inner[starts].astype(np.uint32), "to": (inner[stops] + 1).astype(np.uint32)}
+        return batch[entry], {"piece_part": asked["part"][entry], "piece_entry": asked["entry"][entry]} | found
 
     return reply
 
 
+def _entries(parts: np.ndarray) -> np.ndarray:
+    """The place of each among those of its part, as ``ask`` deals them."""
+    order = np.argsort(parts, kind="stable")
+    first = np.nonzero(_changes(parts[order]))[0]
+    entry = np.zeros(len(parts), np.int64)
+    entry[order] = np.arange(len(parts)) - np.repeat(first, np.diff(np.r_[first, len(parts)]))
+    return entry
+
+
+def _find(part: np.ndarray, entry: np.ndarray, wanted_part: np.ndarray, wanted_entry: np.ndarray) -> np.ndarray:
+    """Where each wanted (part, entry) is."""
+    code, wanted = (p.astype(np.int64) << 32 | e.astype(np.int64) for p, e in ((part, entry), (wanted_part, wanted_entry)))
+    order = np.argsort(code)
+    return order[np.searchsorted(code[order], wanted)] if len(code) else np.zeros(0, np.int64)
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
 
 def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Rows of RESULT: each text without the bytes that a string of ``length`` bytes, repeated from a smaller doc_id, covers.
 
-    Candidate windows meet in the part of their anchor, so equal strings always meet, and their bytes are compared
-    there. Null texts are empty; shorter texts repeat nothing. Repeated rows of an id do not repeat each other; a null
-    id is larger than all others. What is kept may cut a character in two, hence bytes. An empty table gives no rows.
+    Candidate windows meet in the part of their anchor, so equal strings always meet: whole stretches of windows are
+    told to be equal by 128-bit digests, and where stretches with one anchor differ, their bytes are sorted. Null texts
+    are empty; shorter texts repeat nothing. Repeated rows of an id do not repeat each other; a null id is larger than
+    all others, and so is the largest long, which counts as null. What is kept may cut a character in two, hence bytes.
+    An empty table gives no rows.
     """
     packed = pack_documents(docs, doc_id=doc_id, text=text, part_bytes=PART_BYTES)
     parts = packed.parts
@@ -233,34 +266,57 @@ def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         found = Stretches(batch, length, anchor)
         return key_question(found.anchor, found.ids, parts, inside=True)
 
-    candidates = answer(ask(packed, None, {}, keys, KEY_FIELDS), KEY_FIELDS, key_reply, KEY_ANSWER)
+    candidates = answer(packed, ask(packed, None, {}, keys, KEY_FIELDS), KEY_FIELDS, key_reply, KEY_ANSWER)
 
-    def pieces(batch: Batch, known: Columns):
+    def numbered(batch: Batch, known: Columns):
+        """What may repeat, its kinds, and where each kind stands in the question of digests."""
         found = Stretches(batch, length, anchor)
         some = np.nonzero(may_repeat(found.anchor, parts, known))[0]
-        _, first = found.kinds(some)
+        kind, first, digest = found.kinds(some)
+        part = (found.anchor[some[first]] % U(parts)).astype(np.int64)
+        return found, some, kind, first, digest, part, _entries(part)
+
+    def digests(batch: Batch, known: Columns):
+        found, some, _, first, digest, part, _ = numbered(batch, known)
         one = some[first]
-        columns = {"anchor": found.anchor[one], "id": found.ids[one], "kind": np.arange(len(one), dtype=np.uint32), "windows": found.windows[one].astype(np.uint32)}
-        return (found.anchor[one] % U(parts)).astype(np.int64), columns, (batch.data, found.start[one], found.windows[one] + length - 1)
+        return part, {"part": part.astype(np.uint32), "key": (found.anchor[one] >> U(32)).astype(np.uint32), "one": digest[:, 0], "two": digest[:, 1], "id": found.ids[one]}
 
-    asked = ask(packed, candidates, KEY_ANSWER, pieces, PIECE_FIELDS, bytes_column="text")
-    replies = answer(asked, PIECE_FIELDS, _piece_reply(length), PIECE_ANSWER, bytes_column="text")
+    told = answer(packed, ask(packed, candidates, KEY_ANSWER, digests, DIGEST_FIELDS), DIGEST_FIELDS, digest_reply, DIGEST_ANSWER)
     # The candidates are needed again to number the stretches alike.
-    marks = replies.unionByName(candidates, allowMissingColumns=True)
-    fields = PIECE_ANSWER | {"part": np.uint32, "key": np.uint32}
+    known_fields = KEY_ANSWER | DIGEST_ANSWER
+    known_rows = candidates.unionByName(told, allowMissingColumns=True)
+
+    def shown(known: Columns, part: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kinds that show their bytes, and where each of them stands in the question of pieces."""
+        show = known["state"] == SHOW
+        kinds = np.sort(_find(part, entry, known["digest_part"][show], known["digest_entry"][show]))
+        return kinds, _entries(part[kinds])
+
+    def pieces(batch: Batch, known: Columns):
+        found, some, _, first, _, part, entry = numbered(batch, known)
+        kinds, _ = shown(known, part, entry)
+        one = some[first[kinds]]
+        columns = {"part": part[kinds].astype(np.uint32), "anchor": found.anchor[one], "id": found.ids[one], "windows": found.windows[one].astype(np.uint32)}
+        return part[kinds], columns, (batch.data, found.start[one], found.windows[one] + length - 1)
+
+    asked = ask(packed, known_rows, known_fields, pieces, PIECE_FIELDS, bytes_column="text")
+    replies = answer(packed, asked, PIECE_FIELDS, _piece_reply(length), PIECE_ANSWER, bytes_column="text")
 
     def apply(batch: Batch, known: Columns) -> pa.Table:
-        found = Stretches(batch, length, anchor)
-        some = np.nonzero(may_repeat(found.anchor, parts, known))[0]
-        kind, first = found.kinds(some)
+        found, some, kind, first, _, part, entry = numbered(batch, known)
         change = np.zeros(len(batch.data) + 1, np.int64)
         if len(some):
-            later = found.ids[some] > found.ids[some[first]][kind]
+            whole = np.zeros(len(first), bool)  # kinds that a smaller id has elsewhere
+            gone = known["state"] == GONE
+            whole[_find(part, entry, known["digest_part"][gone], known["digest_entry"][gone])] = True
+            later = whole[kind] | (found.ids[some] > found.ids[some[first]][kind])
             np.add.at(change, found.start[some[later]], 1)
             np.add.at(change, found.start[some[later]] + found.windows[some[later]] + length - 1, -1)
+            kinds, place = shown(known, part, entry)
+            of = kinds[_find(part[kinds], place, known["piece_part"], known["piece_entry"])] if len(kinds) else np.zeros(0, np.int64)
             order = np.argsort(kind[~later], kind="stable")
             own, own_kind = some[~later][order], kind[~later][order]  # those of the least id, by kind
-            lo, hi = np.searchsorted(own_kind, known["kind"]), np.searchsorted(own_kind, known["kind"], side="right")
+            lo, hi = np.searchsorted(own_kind, of), np.searchsorted(own_kind, of, side="right")
             to = np.repeat(np.arange(len(lo)), hi - lo)
             which = own[np.arange(len(to)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[to]] if len(to) else own[:0]
             np.add.at(change, found.start[which] + known["from"][to], 1)
@@ -269,16 +325,16 @@ def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         out = []
         for r in range(batch.rows):
             a, b = batch.starts[r], batch.starts[r + 1]
-            part = gone[a:b]
-            kept = batch.data[a:b][~part].tobytes()
-            spans = int((part & ~np.r_[False, part[:-1]]).sum()) if len(part) else 0
+            cut = gone[a:b]
+            kept = batch.data[a:b][~cut].tobytes()
+            spans = int((cut & ~np.r_[False, cut[:-1]]).sum()) if len(cut) else 0
             doc = int(batch.ids[r])
-            out.append((None if doc == LAST else doc, int(b - a), int(part.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((None if doc == LAST else doc, int(b - a), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
         types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return visit(packed, marks, fields, apply, RESULT)
+    return visit(packed, known_rows.unionByName(replies, allowMissingColumns=True), known_fields | PIECE_ANSWER, apply, RESULT)
 
 
 def op7_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

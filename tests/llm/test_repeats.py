@@ -108,3 +108,31 @@ def test_blind_trie_sorts():
         trie.insert(s, i)
     found = [sorted({strings[i] for i in g}) for g in trie.groups()]
     assert all(len(f) == 1 for f in found) and [f[0] for f in found] == sorted(set(strings))
+
+
+def words_removed(spark, rows):
+    return {r.doc_id: (r.n_words, r.n_removed) for r in debruijn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_words_whose_power_sums_collide(spark):
+    """Two Thue-Morse words have equal sums of powers modulo 2^64, whatever the base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    assert words_removed(spark, [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest}")]) == {1: (13, 0), 2: (13, 0), 3: (13, 13)}
+
+
+@pytest.mark.parametrize("each", [1000, 2])
+def test_colliding_hashes_are_asked_again(spark, monkeypatch, each):
+    """Hashes of two bits a word lead to wrong sources, which their words disprove; the next seed finds the right ones."""
+    real = debruijn.word_hashes
+    monkeypatch.setattr(debruijn, "word_hashes", lambda d, s, e, seed: real(d, s, e, seed) & np.uint64(3 if not seed else (1 << 64) - 1))
+    monkeypatch.setattr(debruijn, "CLAIMS_EACH", each)
+    rows = [(i, t) for i, t, *_ in sample() if i is not None]
+    want = {}
+    for i, u, gone in brute(rows, lambda t: (t or "").encode().split(), 13):
+        want.setdefault(i, []).append((len(u), sum(gone)))
+    got = {}
+    for r in debruijn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
