@@ -19,10 +19,7 @@ Tree = dict[str, dict[str, dict[int, float]]]
 
 
 def shard_tree(shards: int, base: int = SHARDS, racks: int = RACKS, per_rack: int = SHARDS_PER_RACK) -> Tree:
-    """``base`` shards in full regions; every shard beyond them is a region of its own, with one rack.
-
-    So a tree with one more shard differs at the root alone, by one more child: no draw of another node changes.
-    """
+    """``base`` shards in full regions; every shard beyond them is a region of its own, with one rack."""
     tree: Tree = {}
     for shard in range(min(shards, base)):
         region, rack = shard // (racks * per_rack), shard // per_rack % racks
@@ -32,6 +29,13 @@ def shard_tree(shards: int, base: int = SHARDS, racks: int = RACKS, per_rack: in
     return tree
 
 
+def with_one_more(tree: Tree) -> Tree:
+    """The tree and one more shard, the next number, in a region of its own. So the trees differ at the root alone, by
+    one more child: no draw of another node changes, and rows move into the new shard only."""
+    shard = 1 + max((s for racks in tree.values() for shards in racks.values() for s in shards), default=-1)
+    return tree | {f"x{shard}": {f"x{shard}/k0": {shard: 1.0}}}
+
+
 def _weight(node: dict | float) -> float:
     return sum(map(_weight, node.values())) if isinstance(node, dict) else float(node)
 
@@ -72,7 +76,9 @@ def shard_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     The law is ``key``: only doc_id and the tree decide, so equal texts follow their own ids, and repeated rows of an
     id share a shard. Slots number a shard's rows without gaps from 0, in a shuffled order. A null id is a key of its
     own; a null text has 0 bytes, hence size 16 and the checksum of the empty text. An empty table gives no rows.
+    ``grown`` is the tree to move to, by default ``tree`` with one more shard.
     """
+    tree = tree or shard_tree(shards)
     key = F.coalesce(F.concat(F.lit("d"), docs[doc_id].cast("string")), F.lit("n"))
     content = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(
@@ -82,8 +88,8 @@ def shard_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
         F.crc32(content).alias("text_crc32"),
         order_digest(key, F.md5(content)).alias("digest"),
     )
-    rows = tree_shard(rows, "key", tree or shard_tree(shards), "shard")
-    rows = durable(tree_shard(rows, "key", grown or shard_tree(shards + 1), "grown_shard").withColumn("one", F.lit(1).cast("long")))
+    rows = tree_shard(rows, "key", tree, "shard")
+    rows = durable(tree_shard(rows, "key", grown or with_one_more(tree), "grown_shard").withColumn("one", F.lit(1).cast("long")))
     placed = running_sums(rows, "shard", "digest", "one", "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
