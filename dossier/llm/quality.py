@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Chunks are two blocks long and start at every block, so neighbours overlap by half.
 BLOCK = 256
 WIDTH, DIM, FILTERS = 6, 8, 16
-#: Bounds of the training sample: labelled documents, and chunks of each.
-SAMPLE, CHUNKS = 3000, 8
+#: Bounds of the training sample: labelled documents, and their bytes of text; whole documents beyond either stay out.
+SAMPLE, SAMPLE_BYTES = 3000, 16_000_000
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -83,37 +83,39 @@ def scores(net: Network, tables: list[np.ndarray], texts: list[bytes]) -> np.nda
     return 1 / (1 + np.exp(-np.clip(mean @ net.mean + top @ net.top + net.base, -50, 50)))
 
 
-def sample_chunks(text: bytes, chunks: int = CHUNKS) -> list[bytes]:
-    """Chunks evenly spread over the whole text, at most ``chunks`` of them."""
+def chunks_of(text: bytes) -> list[bytes]:
+    """All chunks of the text."""
     data, first = _layout([text])
-    last = max(1, int(first[1]) - 1)
-    picked = range(last) if last <= chunks else [i * (last - 1) // (chunks - 1) for i in range(chunks)]
-    return [data[i * BLOCK : (i + 2) * BLOCK + WIDTH].tobytes().ljust(2 * BLOCK + WIDTH, b"\0") for i in picked]
+    return [data[i * BLOCK : (i + 2) * BLOCK + WIDTH].tobytes().ljust(2 * BLOCK + WIDTH, b"\0") for i in range(max(1, int(first[1]) - 1))]
 
 
-def train(samples: list[list[bytes]], labels: list[int], *, steps: int = 500, batch: int = 48, rate: float = 0.01, seed: int = 3) -> Network:
-    """Fit by Adam on the mean logistic loss, in so many steps or up to the end of the pass. ``samples``: the chunks of each document. One class only: a constant."""
+def train(texts: list[bytes], labels: list[int], *, steps: int = 500, batch: int = 48, rate: float = 0.01, seed: int = 3) -> Network:
+    """Fit by Adam on the mean logistic loss, in so many steps or up to the end of the pass. One class only: a constant."""
     rng = np.random.default_rng(seed)
     share = (sum(labels) + 1) / (len(labels) + 2)
     net = Network(rng.normal(0, 0.5, (256, DIM)), rng.normal(0, 0.3, (WIDTH, DIM, FILTERS)), np.zeros(FILTERS), np.zeros(FILTERS), np.zeros(FILTERS), np.array(np.log(share / (1 - share))))
     if len(set(labels)) < 2:
         return net
     net.mean, net.top = rng.normal(0, 0.1, FILTERS), rng.normal(0, 0.1, FILTERS)
-    order, y = np.arange(len(samples)), np.array(labels, float)
+    order, y = np.arange(len(texts)), np.array(labels, float)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step, span = 0, 2 * BLOCK
     while step < steps:
         rng.shuffle(order)
         for s in range(0, len(order), batch):
             docs = order[s : s + batch]
-            owner = np.repeat(np.arange(len(docs)), [len(samples[d]) for d in docs])
-            x = np.frombuffer(b"".join(c for d in docs for c in samples[d]), np.uint8).reshape(len(owner), -1)
+            samples = [chunks_of(texts[d]) for d in docs]
+            owner = np.repeat(np.arange(len(docs)), [len(c) for c in samples])
+            x = np.frombuffer(b"".join(c for s in samples for c in s), np.uint8).reshape(len(owner), -1)
             single = np.einsum("bd,kdf->kbf", net.emb, net.filters).astype(np.float32)
-            response = single[0][x[:, :span]]
-            for k in range(1, WIDTH):
-                response += single[k][x[:, k : k + span]]
-            at = response.argmax(axis=1)
-            z = np.take_along_axis(response, at[:, None, :], axis=1)[:, 0] + net.bias
+            at, z = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+            for c in range(0, len(x), 256):  # few chunks at a time, however long a document is
+                response = single[0][x[c : c + 256, :span]]
+                for k in range(1, WIDTH):
+                    response += single[k][x[c : c + 256, k : k + span]]
+                at[c : c + 256] = response.argmax(axis=1)
+                z[c : c + 256] = np.take_along_axis(response, at[c : c + 256, None, :], axis=1)[:, 0]
+            z = z + net.bias
             act = np.maximum(z, 0)
             starts = np.searchsorted(owner, np.arange(len(docs)))
             size = np.diff(np.r_[starts, len(owner)])[:, None]
@@ -139,55 +141,58 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(0)).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Network:
-    """Train on at most ``sample`` labelled documents outside the held-out fold, the first by a digest of their ids.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Train on at most ``sample`` labelled documents outside the held-out fold, the first by a digest of their ids, as
+    far as their whole texts have at most ``sample_bytes``.
 
-    Only chunks of those documents reach the driver, at most CHUNKS each. A document with several labels takes the
-    least; null labels and ids are left out. Without any labelled document the network is a constant.
+    Only those documents reach the driver. A document with several labels takes the least, and an id with several texts
+    the least text; null labels and ids are left out. Without any labelled document the network is a constant.
     """
     known = labels.where(labels[label].isNotNull() & labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("__id")).agg(F.min(labels[label]).cast("int").alias("__label"))
     picked = known.where(~held_out("__id")).orderBy(F.md5(F.col("__id").cast("string"))).limit(sample)
-
-    def chunks(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks:
-            cut = [sample_chunks(t or b"") for t in block.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column("__id"), block.column("__label"), pa.array(cut, pa.list_(pa.binary()))], names=["id", "label", "chunks"])
-
-    rows = docs.select(docs[doc_id].alias("__id"), docs[text].cast("binary").alias("__text"))
-    rows = rows.join(F.broadcast(picked), "__id").select("__id", "__label", "__text")  # at most ``sample`` rows
-    got = sorted(rows.mapInArrow(chunks, "id long, label int, chunks array<binary>").collect(), key=lambda r: (r["id"], r["chunks"]))
-    return train([[bytes(c) for c in r["chunks"]] for r in got], [r["label"] for r in got])
+    rows = docs.select(docs[doc_id].alias("__id"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("__text"))
+    rows = rows.join(F.broadcast(picked), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))  # at most ``sample`` rows
+    so_far = F.sum(F.octet_length("__text")).over(Window.orderBy(F.md5(F.col("__id").cast("string")), "__id"))
+    fits = rows.withColumn("__so_far", so_far).where(F.col("__so_far") <= sample_bytes)
+    got = sorted(fits.select("__id", "__label", "__text").collect(), key=lambda r: r["__id"])
+    return train([bytes(r["__text"]) for r in got], [r["__label"] for r in got])
 
 
-def score_documents(docs: DataFrame, net: Network, *, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score``, the probability that the text has label 1."""
+def score_documents(docs: DataFrame, net: Network, *, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``out``, which is not among them: the probability that the text has label 1."""
 
     def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _pair_tables(net)
         for block in blocks:
-            texts = [t or b"" for t in block.column("__text").to_pylist()]
+            texts = [t or b"" for t in block.columns[-1].to_pylist()]
             found, start, size = [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t) + BLOCK
                 if size >= 1 << 21 or i == len(texts) - 1:
                     found.append(scores(net, tables, texts[start : i + 1]))
                     start, size = i + 1, 0
-            rest = [block.column(i) for i, n in enumerate(block.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*keep, "__score"])
+            rest = block.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*keep, out])
 
-    rows = docs.select(*(docs[c] for c in keep), docs[text].cast("binary").alias("__text"))
+    name = "__text"
+    while name in keep:
+        name += "_"
+    rows = docs.select(*(docs[c] for c in keep), docs[text].cast("binary").alias(name))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(scan, f"{schema}, __score double")
+    return rows.mapInArrow(scan, f"{schema}, `{out}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with their columns, that score ``threshold`` or more."""
     net = fit(docs, labels, text=text, **options)
-    return score_documents(docs, net, keep=docs.columns, text=text).where(F.col("__score") >= threshold).drop("__score")
+    out = "score"
+    while out in docs.columns:
+        out += "_"
+    return score_documents(docs, net, keep=docs.columns, text=text, out=out).where(F.col(out) >= threshold).drop(out)
 
 
 def op6_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_documents(docs, net, keep=["doc_id"])
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

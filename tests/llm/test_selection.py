@@ -145,10 +145,10 @@ def test_classifier_reads_every_byte_and_learns(spark):
     table = spark.createDataFrame([(i, t, None) for i, t, _ in rows] + [(500, None, "s"), (501, "", "s"), (502, "x" * 400_000, "s"), (7, rows[7][1], "s")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     net = quality.fit(table, labels)
-    got = quality.score_documents(table, net, keep=["doc_id", "score"]).collect()
-    assert len(got) == 304 and all(0 <= r["__score"] <= 1 for r in got)
+    got = quality.score_documents(table, net, keep=["doc_id", "score"], out="found").collect()
+    assert len(got) == 304 and all(0 <= r["found"] <= 1 for r in got)
     fold = [r for r in got if r.doc_id < 300 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert np.mean([(r["__score"] >= 0.3) == (r.doc_id % 2 == 1) for r in fold]) > 0.95
+    assert np.mean([(r["found"] >= 0.3) == (r.doc_id % 2 == 1) for r in fold]) > 0.95
     kept = quality.keep_good(table, labels)
     assert kept.columns == table.columns and 250 > kept.count() > 140
 
