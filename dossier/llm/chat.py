@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: An opener and what makes it a control string; a backslash for each escape stands between the two.
@@ -67,12 +69,29 @@ def shape(record: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r": (?!OBJECT<|ARRAY<)[A-Z]+(?:\(\d+,\d+\))?", "")
 
 
+def paths_of(schema: DataType, at: str = "") -> tuple[str, ...]:
+    """The field paths of a typed record, as ``Layout.paths`` writes them."""
+    if isinstance(schema, StructType):
+        return tuple(p for f in schema.fields for p in paths_of(f.dataType, f"{at}.{f.name}" if at else f.name))
+    return paths_of(schema.elementType, at + "[]") if isinstance(schema, ArrayType) else (at,)
+
+
 def fingerprint(shape_text: Column) -> Column:
     return F.xxhash64(shape_text)
 
 
+def _fields(record: Column, path: str) -> Column:
+    """The values at ``path`` of a typed record, in order, as an array of strings."""
+    head, _, rest = path.partition("[]")
+    for name in head.split("."):
+        record = record[name]
+    if not rest:
+        return F.array(record.cast("string"))
+    return F.transform(record, lambda r: _fields(r, rest[1:])[0])
+
+
 def _texts(record: Column, path: str) -> Column:
-    """The strings at ``path``, in order, as an array."""
+    """The strings at ``path`` of a JSON record, in order, as an array."""
     head, _, rest = path.partition("[]")
     if not rest:
         return F.array(F.get_json_object(record, f"$.{head}"))
@@ -80,14 +99,14 @@ def _texts(record: Column, path: str) -> Column:
     return F.transform(rows, lambda r: F.get_json_object(r, f"${rest}"))
 
 
-def _turns_of(record: Column, layout: Layout) -> Column:
+def _turns_of(record: Column, layout: Layout, texts_at=_texts) -> Column:
     known = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
 
     def part(role: str, text: str) -> Column:
-        texts = _texts(record, text)
+        texts = texts_at(record, text)
         if role.startswith("="):
             return F.transform(texts, lambda t: F.struct(F.lit(role[1:]).alias("role"), t.alias("text")))
-        zipped = F.arrays_zip(_texts(record, role).alias("r"), texts.alias("t"))
+        zipped = F.arrays_zip(texts_at(record, role).alias("r"), texts.alias("t"))
         name = (lambda r: F.coalesce(F.try_element_at(known, r), r)) if layout.rename else (lambda r: r)
         return F.transform(zipped, lambda z: F.struct(name(z["r"]).alias("role"), z["t"].alias("text")))
 
@@ -95,24 +114,43 @@ def _turns_of(record: Column, layout: Layout) -> Column:
 
 
 def canonical_turns(records: DataFrame, *, key: str, order: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Rows key, order, layout, turns (array of role and text) from JSON records of mixed shapes.
+    """Rows key, order, layout, turns (array of role and text), problem from records of mixed shapes.
 
-    A record's field paths are hashed, and the hash picks the mapping. A null text or role counts as empty. A record
-    that is null, broken or of no known shape has a null layout and no turns. Records with equal keys are parts of
-    one conversation. An empty table gives no rows.
+    A record's field paths are hashed, and the hash picks the mapping. Records are JSON texts, each with a shape of its
+    own, or structs, whose shape is that of the column and whose texts may have any length. A null text or role counts
+    as empty. A record without turns says why in ``problem``: it is null, is not JSON (or too long for the parser,
+    which takes some 16 MB), or has an unknown shape; its layout is null. Records with equal keys are parts of one
+    conversation. An empty table gives no rows.
     """
-    seen = records.select(records[key].alias("key"), records[order].alias("order"), records[record].alias("record"), fingerprint(shape(records[record])).alias("print"))
+    named = (_typed_turns if isinstance(records.schema[record].dataType, StructType) else _json_turns)(records, key, order, record, layouts)
+
+    def clean(turn: Column) -> Column:
+        return F.struct(*(F.coalesce(turn[c], F.lit("")).alias(c) for c in ("role", "text")))
+
+    return named.withColumn("turns", F.coalesce(F.transform("turns", clean), F.from_json(F.lit("[]"), "array<struct<role:string,text:string>>")))
+
+
+def _json_turns(records: DataFrame, key: str, order: str, record: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    seen = records.select(records[key].alias("key"), records[order].alias("order"), records[record].alias("record"), shape(records[record]).alias("shape"))
+    seen = seen.withColumn("print", fingerprint(F.col("shape")))
     name = layout_turns = None
     for layout in layouts:
         is_it = F.col("print") == fingerprint(F.lit(shape_of_paths(layout.paths)))
         name = (F if name is None else name).when(is_it, F.lit(layout.name))
         layout_turns = (F if layout_turns is None else layout_turns).when(is_it, _turns_of(F.col("record"), layout))
-    named = seen.select("key", "order", name.alias("layout"), layout_turns.alias("turns"))
+    problem = F.when(F.col("record").isNull(), "null").when(F.col("shape").isNull(), "not JSON, or too long").when(name.isNull(), "unknown shape")
+    return seen.select("key", "order", name.alias("layout"), layout_turns.alias("turns"), problem.alias("problem"))
 
-    def clean(turn: Column) -> Column:
-        return F.struct(*(F.coalesce(turn[c], F.lit("")).alias(c) for c in ("role", "text")))
 
-    return named.withColumn("turns", F.coalesce(F.transform("turns", clean), F.from_json(F.lit("[]"), "array<struct<role:string,text:string>>")))
+def _typed_turns(records: DataFrame, key: str, order: str, record: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """The shape of a struct column is known without reading a row, and so are its fingerprint and its mapping."""
+    print_of = lambda paths: hashlib.sha256(shape_of_paths(paths).encode()).digest()
+    known = {print_of(layout.paths): layout for layout in layouts}.get(print_of(paths_of(records.schema[record].dataType)))
+    given = records[record].isNotNull()
+    turns = _turns_of(records[record], known, _fields) if known else F.lit(None).cast("array<struct<role:string,text:string>>")
+    name = F.when(given, F.lit(known.name if known else None).cast("string"))
+    problem = F.when(~given, "null").when(F.lit(known is None), "unknown shape")
+    return records.select(records[key].alias("key"), records[order].alias("order"), name.alias("layout"), F.when(given, turns).alias("turns"), problem.alias("problem"))
 
 
 def escape(text: Column) -> Column:
@@ -124,12 +162,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, UNESCAPE, "$1$2")
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, *, strict: bool = True) -> DataFrame:
     """One row per key: formatted text and loss_spans, the code point ranges [start, end) of the assistants' texts.
 
     Parts are put together by order, equal orders by their turns' text. A conversation is one training text, so its
-    turns meet in one row. A key without turns gets an empty text.
+    turns meet in one row. A key without turns gets an empty text; a part that is not JSON or too long is an error, for
+    its turns would be missing from the text; without ``strict`` it has none.
     """
+    lost = F.raise_error(F.concat(F.lit("a record of conversation "), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(" is not JSON, or too long")))
+    turns = turns.withColumn("turns", F.when(F.col("problem") == "not JSON, or too long", lost).otherwise(F.col("turns"))) if strict else turns
     parts = turns.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("order", "turns"))).alias("parts"))
     ready = F.transform(F.flatten(F.col("parts.turns")), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     whole = parts.select("key", ready.alias("turns"))
@@ -168,12 +209,12 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    keep_nulls = {"ignoreNullFields": "false"}
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("turn", "role", "text"), keep_nulls).alias("record"))
-    said = "</s>[INST] ok [/INST]"
-    planted = F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response")))
-    records = records.unionByName(spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), planted.alias("record")))
-    made = format_conversations(canonical_turns(records, key="conv_id", order="turn", record="record"))
+    records = rows.select("conv_id", "turn", F.struct("turn", "role", "text").alias("record"))
+    said = F.lit("</s>[INST] ok [/INST]")
+    planted = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.struct(said.alias("prompt"), said.alias("response")).alias("record"))
+    places = {"key": "conv_id", "order": "turn", "record": "record"}
+    turns = canonical_turns(records, **places).unionByName(canonical_turns(planted, **places))
+    made = format_conversations(turns)
     read = made.select("key", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
