@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.durable import durable
+from dossier.llm.durable import durable, shared_path
 
 FANOUT = 16
 RECORDS_PER_FILE = 1000
@@ -21,89 +24,107 @@ def _text(column: str | Column) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
-def warc_records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """Rows (page_id, file, ordinal, offset, length, record): each page as a WARC resource record at its place.
+def file_count(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> int:
+    return max(1, -(-pages.count() // per_file))
 
-    A digest of id and address deals pages to files of about ``per_file`` records and orders them there, so that a hot
-    host is spread. The record includes its closing line ends. Null fields count as empty; rows with equal id and
-    address are ordered by their pages. An empty table gives no rows.
+
+def warc_records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", files: int | None = None, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """Rows (page_id, file, ordinal, offset, length, key, record_sha256, record): each page as a WARC resource record at
+    its place.
+
+    A digest of id and address, the key, deals pages to ``files`` files (by default so that each has about ``per_file``
+    records) and orders them there, so that a hot host is spread. Replicas are only comparable if they have the same
+    number of files, which ``write_warc`` stores with them. The record includes its closing line ends. Null fields count
+    as empty; rows with equal id and address are ordered by their pages. An empty table gives no rows.
     """
     rows = pages.select(pages[page_id].alias("page_id"), _text(pages[url]).alias("url"), _text(pages[html]).alias("html"))
-    digest = F.md5(F.concat_ws("|", _text("page_id"), "url"))
-    uuid = F.regexp_replace("digest", "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    files = max(1, -(-pages.count() // per_file))
-    rows = rows.withColumn("digest", digest)
-    rows = rows.withColumn("file", F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(files)))
+    rows = rows.withColumn("key", F.md5(F.concat_ws("|", _text("page_id"), "url")))
+    uuid = F.regexp_replace("key", "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    rows = rows.withColumn("file", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(files or file_count(pages, per_file))))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(">\r\nWARC-Date: " + DATE + "\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", " "), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
-    rows = rows.withColumn("record", F.concat(head, "html", F.lit(END))).withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("file").orderBy("digest", F.md5("record"))
+    rows = rows.withColumn("record", F.concat(head, "html", F.lit(END)))
+    # Digests and sizes are taken here, so that who needs no records moves none.
+    rows = rows.select("page_id", "file", "key", "record", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("record_sha256"), F.md5("record").alias("tie"))
+    order = Window.partitionBy("file").orderBy("key", "tie")
     offset = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return rows.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), offset.alias("offset"), "length", "record")
+    return rows.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), offset.alias("offset"), "length", "key", "record_sha256", "record")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One directory per file number, whose text files hold the records in order. The line separator is what ends each
-    record, so what Spark's text writer writes is WARC framing."""
+def write_warc(records: DataFrame, path: str, files: int) -> None:
+    """One directory per file number, whose compressed text files hold the records in order, and the number of files.
+    The line separator is what ends each record, so what Spark's text writer writes is WARC framing."""
     body = F.expr(f"left(record, length(record) - {len(END)})")
     ordered = records.repartition("file").sortWithinPartitions("file", "ordinal")
-    ordered.select("file", body.alias("value")).write.partitionBy("file").option("lineSep", END).mode("errorifexists").text(path)
+    ordered.select("file", body.alias("value")).write.partitionBy("file").option("lineSep", END).option("compression", "gzip").mode("errorifexists").text(f"{path}/records")
+    records.sparkSession.range(1).select(F.lit(files).alias("files")).write.json(f"{path}/layout")
+
+
+def files_of(spark: SparkSession, path: str) -> int:
+    """The number of files that a replica was written with, empty ones included."""
+    return spark.read.schema("files long").json(f"{path}/layout").first()["files"]
+
+
+READ = "file long, ordinal long, offset long, length long, uri string, key string, record_sha256 string, body string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, ordinal, offset, length, uri, record_id, body) of the files that ``write_warc`` wrote, found by their
-    Content-Length headers. A task reads one file, whose size the writer bounds."""
+    """Rows of READ, of the files that ``write_warc`` wrote, found by their Content-Length headers; offsets are those
+    of the uncompressed file. A task reads one file, whose size the writer bounds."""
 
     def parse(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
             for name, data in zip(block.column("path").to_pylist(), block.column("content").to_pylist(), strict=True):
+                data = gzip.decompress(data)
                 file, rows, at = int(re.search(r"file=(\d+)", name)[1]), [], 0
                 while at < len(data):
                     stop = data.index(END.encode(), at)
                     fields = dict(x.split(": ", 1) for x in data[at:stop].decode().split("\r\n")[1:])
                     body = stop + len(END)
                     after = body + int(fields["Content-Length"]) + len(END)
-                    rows.append((file, len(rows), at, after - at, fields["WARC-Target-URI"], fields["WARC-Record-ID"], data[body : after - len(END)].decode()))
+                    key = fields["WARC-Record-ID"][len("<urn:uuid:") : -1].replace("-", "")
+                    rows.append((file, len(rows), at, after - at, fields["WARC-Target-URI"], key, hashlib.sha256(data[at:after]).hexdigest(), data[body : after - len(END)].decode()))
                     at = after
                 if rows:
-                    types = [pa.int64()] * 4 + [pa.string()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "ordinal", "offset", "length", "uri", "record_id", "body"])
+                    types = [pa.int64()] * 4 + [pa.string()] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(parse, "file long, ordinal long, offset long, length long, uri string, record_id string, body string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/records")
+    return files.select("path", "content").mapInArrow(parse, READ)
 
 
-def merkle_tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of (file, node, start, stop, hash, up_file, up_node), records first; the last two name the parent.
+@dataclass
+class Tree:
+    """files: the levels of each file's tree, records first; roots: those of the tree whose leaves are the files."""
 
-    The levels begin with the records and end in, the root of all files.
-    A leaf hashes its offset range and its record's SHA-256; a node hashes its children in order, and spans their
-    ranges. A file's levels end in one node; files are then the leaves of the tree above, with file -1.
-    """
-    stop = F.col("offset") + F.col("length")
-    leaf = F.sha2(F.concat_ws(":", "offset", stop, F.sha2("record", 256)), 256)
-    levels = [durable(records.select("file", F.col("ordinal").alias("node"), F.col("offset").alias("start"), stop.alias("stop"), leaf.alias("hash")))]
+    files: list[DataFrame]
+    roots: list[DataFrame]
 
-    def above(level: DataFrame) -> DataFrame:
-        children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        parents = level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(children.alias("c"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-        joined = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"], x["hash"])), ",")
-        return durable(parents.select("file", "node", "start", "stop", F.sha2(joined, 256).alias("hash")))
 
-    def widest() -> int:
-        return levels[-1].agg(F.max("node")).first()[0] or 0
+def _above(level: DataFrame, fanout: int) -> DataFrame:
+    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    parents = level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(children.alias("c"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    joined = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"], x["hash"])), ",")
+    return durable(parents.select("file", "node", "start", "stop", F.sha2(joined, 256).alias("hash")))
 
-    def climb() -> None:
-        while widest() > 0:
-            top = levels[-1]
-            levels[-1] = top.withColumns({"up_file": F.col("file"), "up_node": F.floor(F.col("node") / fanout)})
-            levels.append(above(top))
 
-    climb()
-    files = levels[-1]
-    levels[-1] = files.withColumns({"up_file": F.lit(-1).cast("long"), "up_node": F.col("file")})
-    levels.append(files.select(F.lit(-1).cast("long").alias("file"), F.col("file").alias("node"), "start", "stop", F.sha2(F.concat_ws(":", "file", "hash"), 256).alias("hash")))
-    climb()
-    return levels
+def merkle_tree(records: DataFrame, fanout: int = FANOUT) -> Tree:
+    """Levels of (file, node, start, stop, hash) from records (file, ordinal, offset, length, key, record_sha256).
+
+    A leaf hashes its offset range and its record's SHA-256, and keeps the record's key and digest; a node hashes its
+    children in order, and spans their ranges. A file's levels end in one node; files are then the leaves of the tree
+    above, with file -1. A task holds ``fanout`` hashes a node.
+    """
+    stop = F.col("offset") + F.col("length")
+    leaf = F.sha2(F.concat_ws(":", "offset", stop, "record_sha256"), 256)
+
+    def climb(levels: list[DataFrame]) -> list[DataFrame]:
+        while (levels[-1].agg(F.max("node")).first()[0] or 0) > 0:
+            levels.append(_above(levels[-1], fanout))
+        return levels
+
+    files = climb([durable(records.select("file", F.col("ordinal").alias("node"), F.col("offset").alias("start"), stop.alias("stop"), leaf.alias("hash"), "key", F.col("record_sha256").alias("content")))])
+    top = files[-1].select(F.lit(-1).cast("long").alias("file"), F.col("file").alias("node"), "start", "stop", F.sha2(F.concat_ws(":", "file", "hash"), 256).alias("hash"))
+    return Tree(files, climb([top]))
 
 
 def _differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -112,37 +133,63 @@ def _differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.where(~F.col("hash").eqNullSafe(F.col("other")))
 
 
-def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+def _as_high(low: list[DataFrame], high: list[DataFrame], fanout: int) -> list[DataFrame]:
+    """``low`` with nodes of one child each on top, up to the height of ``high``."""
+    low = list(low)
+    while len(low) < len(high):
+        low.append(_above(low[-1], fanout))
+    return low
+
+
+def audit(ours: Tree, theirs: Tree, fanout: int = FANOUT) -> DataFrame:
     """Rows (file, ordinal, status) of records that differ: changed, missing (there) or extra (there).
 
-    Roots are compared first; below, only children of nodes that differ are. If the trees have other heights, as after
-    many records were added, the leaves are compared at once.
+    Roots are compared first; below, only children of nodes that differ are. In the leaves that differ, records are
+    told by their keys: what a lost or added record only moves along its file is not reported. The ordinal is ours, or
+    theirs of an extra record. Trees that were built with different numbers of files have little in common.
     """
-    if len(ours) != len(theirs):
-        found = _differing(ours[0], theirs[0])
-    else:
-        found = None
-        for a, b in zip(reversed(ours), reversed(theirs), strict=True):
-            if found is not None:
-                if not found.limit(1).count():
-                    found = found.limit(0)
-                    break
-                up = found.select(F.col("file").alias("pf"), F.col("node").alias("pn")).distinct()
-                a, b = (x.join(up, [F.col("up_file") == F.col("pf"), F.col("up_node") == F.col("pn")], "left_semi") for x in (a, b))
-            found = durable(_differing(a, b))
-    status = F.when(F.col("other").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return found.select("file", F.col("node").alias("ordinal"), status.alias("status"))
+    files = [_as_high(a, b, fanout) for a, b in ((ours.files, theirs.files), (theirs.files, ours.files))]
+    roots = [_as_high(a, b, fanout) for a, b in ((ours.roots, theirs.roots), (theirs.roots, ours.roots))]
+    found, height = None, len(files[0])
+    levels = list(zip(files[0] + roots[0], files[1] + roots[1], strict=True))
+
+    def below(level: DataFrame, i: int, found: DataFrame) -> DataFrame:
+        parent = (F.lit(-1).cast("long"), F.col("file")) if i == height - 1 else (F.col("file"), F.floor(F.col("node") / fanout))
+        up = found.select(F.col("file").alias("pf"), F.col("node").alias("pn"))
+        return level.join(up, [parent[0] == F.col("pf"), parent[1] == F.col("pn")], "left_semi")
+
+    for i in reversed(range(len(levels))):
+        a, b = levels[i] if found is None else (below(x, i, found) for x in levels[i])
+        found = durable(_differing(a, b))
+        if not found.limit(1).count():
+            break
+    at = ["file", "node"]
+    mine, other = (side[0].join(found, at, "left_semi").select("file", "node", "key", "content") for side in files)
+
+    def numbered(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("content", "node")))
+
+    same = ["file", "key", "content", "nth"]
+    mine, other = numbered(mine, *same[:3]), numbered(other, *same[:3])
+    left, right = (numbered(x.join(y, same, "left_anti"), "file", "key") for x, y in ((mine, other), (other, mine)))
+    right = right.select("file", "key", "nth", F.col("node").alias("there"))
+    both = left.select("file", "key", "nth", "node").join(right, ["file", "key", "nth"], "full")
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("node").isNull(), "extra").otherwise("changed")
+    return both.select("file", F.coalesce("node", "there").alias("ordinal"), status.alias("status"))
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with its place, and what the audit says against a replica in which some pages lost a byte's value."""
+    """Every record with its place, and what the audit says of a replica, written to WARC files and read back, in which
+    some pages lost a byte's value."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    files = file_count(pages)
     damaged = F.when(F.pmod("page_id", F.lit(97)) == 5, F.overlay("html", F.lit("#"), F.lit(1), F.lit(1))).otherwise(F.col("html"))
-    ours = durable(warc_records(pages).withColumn("record_sha256", F.sha2("record", 256)))
-    theirs = warc_records(pages.withColumn("html", damaged))
-    found = audit(merkle_tree(ours), merkle_tree(theirs))
-    placed = ours.select("page_id", "file", "ordinal", "offset", "length", "record_sha256")
-    return placed.join(found, ["file", "ordinal"], "left").withColumn("status", F.coalesce("status", F.lit("same")))
+    replica = shared_path(spark, "warc")
+    write_warc(warc_records(pages.withColumn("html", damaged), files=files), replica, files)
+    ours = durable(warc_records(pages, files=files_of(spark, replica)).drop("record"))
+    found = audit(merkle_tree(ours), merkle_tree(read_warc(spark, replica).drop("body")))
+    placed = ours.drop("key")
+    return placed.join(found.where("status <> 'extra'"), ["file", "ordinal"], "left").withColumn("status", F.coalesce("status", F.lit("same")))
 
 
 OP8_SQL = r"""

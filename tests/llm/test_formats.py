@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import json
 import random
 
@@ -10,7 +12,7 @@ from dossier.llm import chat, warc
 def formatted(spark, records):
     table = spark.createDataFrame(records, "conv long, turn long, rec string, layout string")
     turns = chat.canonical_turns(table, key="conv", order="turn", record="rec")
-    made = chat.format_conversations(turns)
+    made = chat.format_conversations(turns, strict=False)
     return turns, made.select("key", "formatted", chat.read_back(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
 
 
@@ -49,6 +51,29 @@ def test_layouts_are_told_by_their_paths(spark):
     assert all(got[i].layout is None and got[i].turns == [] for i in (100, 101, 102)) and got[None].layout == "prompt_completion"
 
 
+def test_what_cannot_be_parsed_says_so(spark):
+    table = spark.createDataFrame([(1, 0, "{", None), (2, 0, None, None), (3, 0, '{"a":1}', None)], "conv long, turn long, rec string, layout string")
+    table = table.unionByName(table.limit(1).select(F.lit(4).cast("long").alias("conv"), "turn", F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("p"), 140_000_000), F.lit('","completion":"c"}')).alias("rec"), "layout"))
+    turns = chat.canonical_turns(table, key="conv", order="turn", record="rec")
+    assert {r.key: r.problem for r in turns.select("key", "problem").collect()} == {1: "not JSON, or too long", 2: "null", 3: "unknown shape", 4: "not JSON, or too long"}
+    with pytest.raises(Exception, match="is not JSON, or too long"):
+        chat.format_conversations(turns.where("key = 1")).collect()
+    assert chat.format_conversations(turns.where("key = 3")).first().formatted == ""
+
+
+def test_typed_records_of_any_length(spark):
+    size = 30_000_000
+    table = spark.range(1).select(F.lit(5).alias("conv"), F.lit(0).alias("turn"), F.struct(F.repeat(F.lit("p"), size).alias("prompt"), F.lit(None).cast("string").alias("response")).alias("rec"))
+    turns = chat.canonical_turns(table, key="conv", order="turn", record="rec")
+    made = chat.format_conversations(turns).select(chat.read_back(F.col("formatted")).alias("back")).select(F.inline("back"))
+    assert [(r.role, r.n, r.h) for r in made.select("role", F.length("text").alias("n"), F.sha2("text", 256).alias("h")).collect()] == [("user", size, hashlib.sha256(b"p" * size).hexdigest()), ("assistant", 0, hashlib.sha256(b"").hexdigest())]
+    nested = spark.createDataFrame([(1, 0, ([("human", "a"), ("gpt", None)],)), (2, 0, None)], "conv long, turn long, rec struct<conversations: array<struct<from: string, value: string>>>")
+    got = {r.key: r for r in chat.canonical_turns(nested, key="conv", order="turn", record="rec").collect()}
+    assert got[1].layout == "sharegpt" and [tuple(t) for t in got[1].turns] == [("user", "a"), ("assistant", "")] and got[2].problem == "null" and got[2].turns == []
+    other = spark.createDataFrame([(1, 0, ("x",))], "conv long, turn long, rec struct<x: string>")
+    assert chat.canonical_turns(other, key="conv", order="turn", record="rec").first().problem == "unknown shape"
+
+
 def test_rows_of_a_conversation_come_by_turn(spark):
     records = [(1, t, json.dumps({"turn": t, "role": r, "text": x}), None) for t, r, x in ((2, "assistant", "c"), (0, "system", "a"), (1, "user", None), (1, "user", None))]
     _, made = formatted(spark, records)
@@ -76,20 +101,21 @@ def pages(spark, n=700):
 
 
 def test_warc_files_read_back(spark, tmp_path):
-    records = warc.warc_records(pages(spark), per_file=100)
-    warc.write_warc(records, str(tmp_path / "w"))
+    records = warc.warc_records(pages(spark), files=8)
+    warc.write_warc(records, str(tmp_path / "w"), 8)
     back = warc.read_warc(spark, str(tmp_path / "w"))
-    assert sorted(map(tuple, back.select("file", "ordinal", "offset", "length").collect())) == sorted(map(tuple, records.select("file", "ordinal", "offset", "length").collect()))
+    same = ["file", "ordinal", "offset", "length", "key", "record_sha256"]
+    assert sorted(map(tuple, back.select(*same).collect())) == sorted(map(tuple, records.select(*same).collect()))
     bodies = sorted(r.body for r in back.collect())
-    assert bodies == sorted((r.html or "") for r in pages(spark).collect())
-    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").rglob("part-*"))[:1])
+    assert bodies == sorted((r.html or "") for r in pages(spark).collect()) and warc.files_of(spark, str(tmp_path / "w")) == 8
+    raw = gzip.decompress(next((tmp_path / "w/records").rglob("part-*")).read_bytes())
     assert raw.startswith(b"WARC/1.0\r\n") and raw.endswith(b"\r\n\r\n")
 
 
-@pytest.mark.parametrize("per_file", [40, 5000])
-def test_audit_finds_exactly_what_differs(spark, per_file):
-    ours = warc.warc_records(pages(spark), per_file=per_file).cache()
-    hurt = ours.withColumn("record", F.when(F.col("page_id") % 101 == 7, F.regexp_replace("record", "html", "hmtl")).otherwise(F.col("record")))
+@pytest.mark.parametrize("files", [17, 1])
+def test_audit_finds_exactly_what_differs(spark, files):
+    ours = warc.warc_records(pages(spark), files=files).cache()
+    hurt = ours.withColumn("record_sha256", F.when(F.col("page_id") % 101 == 7, F.sha2("record_sha256", 256)).otherwise(F.col("record_sha256")))
     lost = hurt.where("page_id is null or page_id <> 13")
     a = warc.merkle_tree(ours)
     assert warc.audit(a, warc.merkle_tree(ours)).count() == 0
@@ -100,6 +126,21 @@ def test_audit_finds_exactly_what_differs(spark, per_file):
     assert found == {i: "changed" for i in range(700) if i % 101 == 7} | {13: "missing"}
 
 
+@pytest.mark.parametrize("kept", [2000, 40, 1])
+def test_audit_of_files_that_lost_records(spark, tmp_path, kept):
+    """What stands behind a lost record moves; only the lost ones are reported, however much lower their tree is."""
+    table = spark.range(2001).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("html"))
+    ours = warc.warc_records(table, files=3)
+    warc.write_warc(warc.warc_records(table.where(f"page_id < {kept}"), files=3), str(tmp_path / "w"), 3)
+    theirs = warc.merkle_tree(warc.read_warc(spark, str(tmp_path / "w")))
+    place = {(r.file, r.ordinal): r.page_id for r in ours.collect()}
+    mine = warc.merkle_tree(ours)
+    found = {place[r.file, r.ordinal]: r.status for r in warc.audit(mine, theirs).collect()}
+    assert found == {i: "missing" for i in range(kept, 2001)}
+    extra = warc.audit(theirs, mine)
+    assert extra.count() == 2001 - kept and {r.status for r in extra.collect()} == {"extra"}
+
+
 def test_warc_of_no_pages(spark):
     none = warc.warc_records(spark.createDataFrame([], PAGES))
     assert none.count() == 0
