@@ -19,6 +19,22 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, spread_by: str | Colu
     return dealt.join(copies, [key, salt], how).drop(salt)
 
 
+#: A key of more than one in so many rows is hot.
+HOT = 1000
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: str | Column, n: str, spread: int = SPREAD) -> DataFrame:
+    """``spread_join`` for a side ``one`` that knows in ``n`` how many rows of ``many`` have its key: only hot keys are
+    spread and copied. There are at most HOT of them, so they are broadcast. ``n`` is dropped."""
+    total = one.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) > max(HOT, total // HOT)
+    hot = F.broadcast(one.where(is_hot).select(*keys, F.lit(True).alias("__hot")))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    copies = one.withColumn("__salt", F.explode(salts)).drop(n)
+    dealt = many.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int")).otherwise(0)).drop("__hot")
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.durable import durable
-from dossier.llm.graph import connected_components, spread_join
+from dossier.llm.graph import connected_components, hot_join
 
 THRESHOLD = 0.95
-#: Vectors in a tile, at most twice as many.
-TILE = 4096
+#: Bytes of the vectors of a tile, and vectors at most; ties may double them. Larger tiles travel less.
+TILE_BYTES, TILE = 8 << 20, 16384
+#: Leading axes by whose ranges tiles are cut and kept apart.
+CUT_AXES = 3
 #: Leading dimensions of the first look, and how many more each further look adds.
 LEADING, STEP = 16, 16
 #: What single precision may be off by in a bound; results never depend on it, for links are decided in double.
@@ -56,55 +58,69 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     return axes[:, ::-1].copy()
 
 
-def _first_axis(vectors: DataFrame, axis: np.ndarray) -> DataFrame:
+def _placed(vectors: DataFrame, axes: np.ndarray) -> DataFrame:
+    """Add ``at``: the places on the first CUT_AXES axes."""
+    leading = axes[:, :CUT_AXES].copy()
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = _unit(_matrix(batch.column("embedding"))) @ axis
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "at"])
+                at = _unit(_matrix(batch.column("embedding"))) @ leading
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, "at"])
+
+    return vectors.mapInArrow(project, "one long, two long, rep long, n long, embedding array<double>, at array<double>")
 
-    return vectors.mapInArrow(project, "rep long, n long, embedding array<double>, at double")
 
+def _cells(placed: DataFrame, wanted: int, axes: int) -> DataFrame:
+    """Add ``cell``: about ``wanted`` cells of equal numbers of vectors, cut along one axis after the other."""
+    each = max(1, math.ceil(wanted ** (1 / axes)))
+    celled = placed.withColumn("cell", F.lit(0))
+    for axis in range(axes if each > 1 else 0):
+        shares = F.array(*(F.lit(i / each) for i in range(1, each)))
+        found = celled.groupBy("cell").agg(F.percentile_approx(F.col("at")[axis], shares, F.lit(100 * each)).alias("cuts")).collect()  # one row a cell
+        cuts = F.create_map(*(x for r in found for x in (F.lit(r["cell"]), F.array(*map(F.lit, r["cuts"])))))
+        above = F.size(F.filter(F.element_at(cuts, F.col("cell")), lambda c, axis=axis: c < F.col("at")[axis]))
+        celled = celled.withColumn("cell", F.col("cell") * each + above) if found else celled
+    return celled
 
-def _tile_pairs(placed: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Rows (pair, own, other, second, rep, n, embedding) of every two tiles whose ranges on the first axis come near enough.
 
-    Tiles are ranges of the first axis with about ``tile`` vectors; a range that ties make larger is cut by a hash.
-    Unit vectors with cosine t are sqrt(2-2t) apart at most, so ranges that are farther apart cannot hold links. The
-    driver keeps a few numbers for each tile.
+def _tile_pairs(placed: DataFrame, threshold: float, dim: int, tile: int | None) -> DataFrame:
+    """Rows (pair, own, other, second, rep, n, embedding) of every two tiles whose boxes on the leading axes come near enough.
+
+    A tile that ties make larger than twice the size is cut by a hash. Unit vectors with cosine t are sqrt(2-2t) apart at
+    most, so boxes that are farther apart cannot hold links. The driver keeps a few numbers for each tile.
     """
-    total = placed.count()
-    wanted = max(1, math.ceil(total / tile))
-    cuts = sorted(set(placed.approxQuantile("at", [i / wanted for i in range(1, wanted)], 1 / (8 * wanted)))) if wanted > 1 else []
-    range_ = F.lit(0)
-    if cuts:
-        range_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("at")))
-    ranged = placed.withColumn("range", range_.cast("int"))
-    sizes = {r["range"]: (r["n"], r["lo"], r["hi"]) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).collect()}
-    reach, tiles, first, parts = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9, [], {}, {}
-    for r in sorted(sizes):
-        n, lo, hi = sizes[r]
-        first[r], parts[r] = len(tiles), max(1, math.ceil(n / (2 * tile)))
-        tiles += [(lo, hi)] * parts[r]
-    if not tiles:
-        tiles, first, parts = [(0.0, 0.0)], {0: 0}, {0: 1}
-    spans = [[min(j for j in range(len(tiles)) if tiles[j][1] >= lo - reach), max(j for j in range(len(tiles)) if tiles[j][0] <= hi + reach)] for lo, hi in tiles]
-    index = max(first) + 1
-    starts = F.array(*(F.lit(first.get(r, 0)) for r in range(index)))
-    cut = F.array(*(F.lit(parts.get(r, 1)) for r in range(index)))
-    own = F.element_at(starts, F.col("range") + 1) + F.pmod(F.xxhash64("rep"), F.element_at(cut, F.col("range") + 1)).cast("int")
-    near = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in spans))
-    rows = ranged.withColumn("own", own).withColumn("near", F.element_at(near, F.col("own") + 1))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.col("near")[0], F.col("near")[1])))
-    pair = (F.least("own", "other") * len(tiles) + F.greatest("own", "other")).cast("long")
+    tile = tile or max(64, min(TILE, TILE_BYTES // (8 * dim)))
+    axes = min(CUT_AXES, dim)
+    celled = _cells(placed, math.ceil(placed.count() / tile), axes)
+    ends = [f(F.col("at")[i]).alias(f"{name}{i}") for i in range(axes) for name, f in (("lo", F.min), ("hi", F.max))]
+    cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *ends).orderBy("cell").collect()
+    spark, reach = placed.sparkSession, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    parts = [max(1, math.ceil(r["n"] / (2 * tile))) for r in cells]
+    first = np.r_[0, np.cumsum(parts)].astype(int)
+    lo, hi = (np.repeat([[r[f"{name}{i}"] for i in range(axes)] for r in cells], parts, axis=0).reshape(-1, axes) for name in ("lo", "hi"))
+    near = []
+    for i in range(len(lo)):
+        gap = np.maximum(0, np.maximum(lo[i] - hi, lo - hi[i]))
+        near += [(i, int(j)) for j in np.nonzero((gap * gap).sum(axis=1) <= reach * reach)[0]]
+    layout = spark.createDataFrame([(r["cell"], int(f), p) for r, f, p in zip(cells, first, parts, strict=False)], "cell int, first int, parts int")
+    partners = spark.createDataFrame(near, "own int, other int")
+    owned = celled.join(layout, "cell").withColumn("own", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = owned.select("own", "rep", "n", "embedding").join(partners, "own")
+    pair = F.least("own", "other").cast("long") * len(lo) + F.greatest("own", "other")
     return rows.select(pair.alias("pair"), "own", "other", (F.col("own") > F.col("other")).alias("second"), "rep", "n", "embedding")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, unit_a: np.ndarray, unit_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with cosine at the threshold or above. a, b: rotated, widest axis first; unit_a, unit_b: not rotated.
+#: Vectors that are compared with a tile at once, and the share of pairs beyond which all of them are taken to the end.
+ROWS, DENSE = 128, 0.02
+
+
+def _linked(a: np.ndarray, b: np.ndarray, unit_a: np.ndarray, unit_b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with cosine at the threshold or above, some at a time. a, b: rotated, widest axis first; unit_a,
+    unit_b: not rotated.
 
     The leading dimensions' products plus the product of the suffix norms bound a cosine from above; pairs whose bound
-    is too low stop there, the others take in the next dimensions.
+    is too low stop there, the others take in the next dimensions. Where few pairs stop, a plain product is faster.
     """
     dim = a.shape[1]
     stops = [*range(LEADING, dim, STEP), dim]
@@ -115,54 +131,70 @@ def _linked(a: np.ndarray, b: np.ndarray, unit_a: np.ndarray, unit_b: np.ndarray
     d = stops[0]
     left = np.hstack([a[:, :d], suffix(a, d)[:, None]]).astype(np.float32)
     right = np.hstack([b[:, :d], suffix(b, d)[:, None]]).astype(np.float32)
-    found_i, found_j = [], []
-    for at in range(0, len(a), 512):
-        i, j = np.nonzero(left[at : at + 512] @ right.T >= threshold - SLACK)
-        for s in range(0, len(i), 200_000):
-            p, q = i[s : s + 200_000] + at, j[s : s + 200_000]
-            dots = (a[p, :d] * b[q, :d]).sum(axis=1)
-            for lo, hi in zip(stops, stops[1:], strict=False):
-                dots = dots + (a[p, lo:hi] * b[q, lo:hi]).sum(axis=1)
-                keep = dots + suffix(a, hi)[p] * suffix(b, hi)[q] >= threshold - SLACK
-                p, q, dots = p[keep], q[keep], dots[keep]
-            keep = (unit_a[p] * unit_b[q]).sum(axis=1) >= threshold
-            found_i.append(p[keep])
-            found_j.append(q[keep])
-    return np.concatenate(found_i or [np.zeros(0, int)]), np.concatenate(found_j or [np.zeros(0, int)])
+    later = [(lo, hi, suffix(a, hi), suffix(b, hi)) for lo, hi in zip(stops, stops[1:], strict=False)]
+    for at in range(0, len(a), ROWS):
+        may = left[at : at + ROWS] @ right.T >= threshold - SLACK
+        if may.sum() > DENSE * may.size:
+            i, j = np.nonzero(unit_a[at : at + ROWS] @ unit_b.T >= threshold)
+            yield i + at, j
+            continue
+        p, q = np.nonzero(may)
+        p = p + at
+        dots = (a[p, :d] * b[q, :d]).sum(axis=1)
+        for lo, hi, rest_a, rest_b in later:
+            dots = dots + (a[p, lo:hi] * b[q, lo:hi]).sum(axis=1)
+            keep = dots + rest_a[p] * rest_b[q] >= threshold - SLACK
+            p, q, dots = p[keep], q[keep], dots[keep]
+        keep = (unit_a[p] * unit_b[q]).sum(axis=1) >= threshold
+        yield p[keep], q[keep]
+
+
+def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the links (i, j): the least index that links reach."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
 
 
 def _compare(axes: np.ndarray, threshold: float):
-    """Of a pair of tiles: (rep, links, root) of each vector that has links; root is the least rep its links reach here."""
+    """Of a pair of tiles: (rep, links, root) of each vector that has links; root is the least rep that links reach
+    here. Links are counted and united as they are found; no list of them is kept."""
     out = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        table = table.sort_by("rep").combine_chunks()
         rep, n, second = (table.column(c).to_numpy() for c in ("rep", "n", "second"))
         unit = _unit(_matrix(table.column("embedding").combine_chunks()))
         turned = unit @ axes
         one, two = np.nonzero(~second)[0], np.nonzero(second)[0]
         same = table.column("own")[0].as_py() == table.column("other")[0].as_py()
         if same:
-            i, j = _linked(turned, turned, unit, unit, threshold)
-            i, j = i[i != j], j[i != j]
-        else:
-            i, j = _linked(turned[one], turned[two], unit[one], unit[two], threshold)
-            i, j = np.concatenate([one[i], two[j]]), np.concatenate([two[j], one[i]])
-        links = np.bincount(i, weights=n[j], minlength=len(rep)).astype(np.int64)
-        root = rep.copy()
-        while len(i):
-            least = root.copy()
-            np.minimum.at(least, i, root[j])
-            if (least == root).all():
-                break
-            root = least
+            two = one
+        links, root = np.zeros(len(rep)), np.arange(len(rep))
+        for i, j in _linked(turned[one], turned[two], unit[one], unit[two], threshold):
+            i, j = one[i], two[j]
+            if same:
+                i, j = i[i != j], j[i != j]
+            else:
+                links += np.bincount(j, weights=n[i], minlength=len(rep))
+            links += np.bincount(i, weights=n[j], minlength=len(rep))
+            root = _unite(root, i, j)
         some = links > 0
-        return pa.Table.from_arrays([pa.array(x[some]) for x in (rep, links, root)], schema=out)
+        return pa.Table.from_arrays([pa.array(x[some]) for x in (rep, links.astype(np.int64), rep[root])], schema=out)
 
     return compare
 
 
-def cosine_components(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def cosine_components(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tile: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Links join vectors whose cosine, in double precision, is at least ``threshold``, equal vectors included; equal
@@ -179,17 +211,19 @@ def cosine_components(vectors: DataFrame, *, vec_id: str = "vec_id", embedding:
         return rows.select("vec_id", alone, F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = lengths["dim"]
     rows = rows.withColumn("ok", F.col("ok") & (F.size("embedding") == dim))
-    classes = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = durable(classes.select("rep", "n", "embedding"))
+    # Equal vectors are told by two hashes, 128 bits, so that no vector is a key of a shuffle.
+    rows = rows.withColumns({"one": F.xxhash64("embedding"), "two": F.xxhash64(F.lit("two"), "embedding")})
+    classes = rows.where("ok").groupBy("one", "two").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    classes = durable(classes.select("one", "two", "rep", "n", "embedding"))
     axes = principal_axes(classes, dim)
-    placed = durable(_first_axis(classes, axes[:, 0].copy()))
-    pairs = _tile_pairs(placed, threshold, tile)
+    placed = durable(_placed(classes, axes))
+    pairs = _tile_pairs(placed, threshold, dim, tile)
     part = durable(pairs.groupBy("pair").applyInArrow(_compare(axes, threshold), "rep long, links long, root long"))
     links = part.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(part.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = placed.select("rep", "n", "embedding").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = durable(named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    members = spread_join(rows.where("ok").select("vec_id", "embedding"), named, "embedding", "vec_id")
+    named = placed.select("one", "two", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = durable(named.select("one", "two", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    members = hot_join(rows.where("ok").select("vec_id", "one", "two"), named, ["one", "two"], "vec_id", "n")
     result = members.select("vec_id", "n_links", "component_id").unionByName(rows.where("not ok").select("vec_id", alone, F.col("vec_id").alias("component_id")))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
