@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.batches import LAST, Batch, Columns, answer, ask, pack_documents, visit
 from dossier.llm.debruijn import KEY_ANSWER, KEY_FIELDS, U, key_question, key_reply, may_repeat, mixed, powers, running_hash
+from dossier.llm.durable import stored
 
 LENGTH = 50
 #: Bytes of text for a part.
@@ -266,7 +267,7 @@ def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         found = Stretches(batch, length, anchor)
         return key_question(found.anchor, found.ids, parts, inside=True)
 
-    candidates = answer(packed, ask(packed, None, {}, keys, KEY_FIELDS), KEY_FIELDS, key_reply, KEY_ANSWER)
+    candidates = stored(answer(packed, ask(packed, None, {}, keys, KEY_FIELDS), KEY_FIELDS, key_reply, KEY_ANSWER))
 
     def numbered(batch: Batch, known: Columns):
         """What may repeat, its kinds, and where each kind stands in the question of digests."""
@@ -281,7 +282,7 @@ def without_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         one = some[first]
         return part, {"part": part.astype(np.uint32), "key": (found.anchor[one] >> U(32)).astype(np.uint32), "one": digest[:, 0], "two": digest[:, 1], "id": found.ids[one]}
 
-    told = answer(packed, ask(packed, candidates, KEY_ANSWER, digests, DIGEST_FIELDS), DIGEST_FIELDS, digest_reply, DIGEST_ANSWER)
+    told = stored(answer(packed, ask(packed, candidates, KEY_ANSWER, digests, DIGEST_FIELDS), DIGEST_FIELDS, digest_reply, DIGEST_ANSWER))
     # The candidates are needed again to number the stretches alike.
     known_fields = KEY_ANSWER | DIGEST_ANSWER
     known_rows = candidates.unionByName(told, allowMissingColumns=True)
