@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.batches import LAST, Batch, Columns, Packed, answer, ask, pack_documents, unpack, visit
 from dossier.llm.durable import durable
+from dossier.llm.graph import HOT
 
 K = 13
 U = np.uint64
@@ -227,7 +228,7 @@ def claimed_spans(packed: Packed, k: int, seed: int) -> DataFrame:
 def disproved(packed: Packed, spans: DataFrame, k: int) -> DataFrame:
     """The claims of ``spans`` whose words are not those at the source's coordinates.
 
-    A batch that many claims name is looked at by several tasks, each with up to about CLAIMS_EACH of the claims.
+    A batch that many claims name is looked at by several tasks, each with about CLAIMS_EACH of the claims, or one in HOT of all.
     """
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -240,7 +241,8 @@ def disproved(packed: Packed, spans: DataFrame, k: int) -> DataFrame:
         return pa.Table.from_pylist(wrong, schema=_schema(CLAIMS))
 
     claims = durable(spans.select(*CLAIM).distinct().withColumn("batch_id", F.col("source_batch")))
-    hot = claims.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / CLAIMS_EACH).alias("shares")).where("shares > 1")
+    each = max(CLAIMS_EACH, claims.count() // HOT)
+    hot = F.broadcast(claims.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / each).alias("shares")).where("shares > 1"))  # HOT batches at most
     dealt = claims.join(hot, "batch_id", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("digest"), F.col("shares")), F.lit(0)))
     first = packed.table.groupBy("batch_id").cogroup(dealt.where("share = 0").drop("shares", "share").groupBy("batch_id")).applyInArrow(look, CLAIMS)
     copies = packed.table.join(hot, "batch_id").select("batch_id", "payload", F.explode(F.sequence(F.lit(1), F.col("shares") - 1)).alias("share"))
