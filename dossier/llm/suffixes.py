@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.batches import LAST, Batch, Columns, answer, ask, pack_documents, visit
-from dossier.llm.debruijn import KEY_ANSWER, KEY_FIELDS, U, key_question, key_reply, may_repeat, mixed, powers, running_hash
+from dossier.llm.debruijn import KEY_ANSWER, KEY_FIELDS, U, key_question, key_reply, may_repeat
 from dossier.llm.durable import stored
 
 LENGTH = 50
@@ -20,6 +20,11 @@ PART_BYTES = 6 << 20
 ANCHOR, SHALLOW = 24, 24
 
 
+#: Fixed random odd numbers, one for each eight bytes of an anchor and one to mix; and places that are hashed at once.
+_TIMES = np.random.default_rng(7).integers(1 << 62, 1 << 63, 32, dtype=np.uint64) | U(1)
+STEP = 1 << 15
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
     while done * 2 <= width:
@@ -29,6 +34,29 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as a view."""
+    return np.ndarray((max(0, len(data) - 7),), np.uint64, data, strides=(1,))
+
+
+def anchors(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """For each window of ``length`` bytes the least hash of a substring of ``anchor`` bytes (at least 8) in it."""
+    n, width, eights = len(data) - length + 1, length - anchor + 1, _eights(data)
+    places = [*range(0, anchor - 8, 8), anchor - 8]
+    out = np.empty(n, np.uint64)
+    for s in range(0, n, STEP):
+        e = min(n, s + STEP)
+        m = e - s + width - 1
+        w = eights[s : s + m + anchor - 8].copy()
+        h = w[:m] * _TIMES[0]
+        for t, p in zip(_TIMES[1:], places[1:], strict=False):
+            h += w[p : p + m] * t
+        h ^= h >> U(32)
+        h *= _TIMES[-1]
+        out[s:e] = _sliding_min(h, width)
+    return out
+
+
 class Stretches:
     """Maximal runs of windows of one text that have the same anchor, and which of them are equal in the batch.
 
@@ -43,26 +71,18 @@ class Stretches:
             self.start = self.windows = self.row = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
         else:
-            sums, base = running_hash(batch.data)
-            many = len(batch.data) - anchor + 1
-            name = sums[anchor:] - sums[:many]
-            name *= powers(pow(base, -1, 1 << 64), many)
-            name = _sliding_min(mixed(name), length - anchor + 1)
-            change = np.zeros(n + 1, np.int8)
-            ends = batch.starts[1:]
-            inside = np.zeros(n + 1, np.int32)
-            has = np.diff(batch.starts) >= length
-            np.add.at(inside, batch.starts[:-1][has], 1)
-            np.add.at(inside, ends[has] - length + 1, -1)
-            valid = np.cumsum(inside[:-1]) > 0
-            change[0] = 1
-            change[1:n] = (name[1:] != name[:-1]) | (valid[1:] != valid[:-1])
-            change[batch.starts[:-1][has]] = 1
-            cuts = np.nonzero(change[:n])[0]
-            windows = np.diff(np.r_[cuts, n])
-            keep = valid[cuts]
-            self.start, self.windows = cuts[keep], windows[keep]
-            self.row = np.searchsorted(batch.starts, self.start, side="right") - 1
+            name = anchors(batch.data, length, anchor)
+            change = np.empty(n, bool)
+            change[0] = True
+            np.not_equal(name[1:], name[:-1], out=change[1:])
+            # A row's windows begin at its start; those from its last ``length - 1`` bytes on would leave it.
+            edges = np.concatenate([batch.starts[:-1], np.maximum(batch.starts[1:] - length + 1, 0)])
+            change[edges[edges < n]] = True
+            cuts = np.nonzero(change)[0]
+            windows = np.diff(np.append(cuts, n))
+            row = np.searchsorted(batch.starts, cuts, side="right") - 1
+            keep = batch.starts[row + 1] - cuts >= length
+            self.start, self.windows, self.row = cuts[keep], windows[keep], row[keep]
             self.anchor = name[self.start]
         self.ids = batch.ids[self.row]
 
@@ -157,12 +177,9 @@ class BlindTrie:
         return found
 
 
-def _words(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def _words(eights: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Big-endian numbers of ``size`` bytes at each place."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(size):
-        out = (out << U(8)) | data[at + i]
-    return out
+    return eights[at].byteswap() >> U(8 * (8 - size))
 
 
 def equal_suffixes(data: np.ndarray, at: np.ndarray, length: int, shallow: int = SHALLOW) -> np.ndarray:
@@ -172,10 +189,10 @@ def equal_suffixes(data: np.ndarray, at: np.ndarray, length: int, shallow: int =
     done. Groups that share the prefix go on: one whose members all agree to the end needs no order, and a blind trie
     orders each of the others.
     """
-    label = np.full(len(at), -1, np.int64)
+    label, eights = np.full(len(at), -1, np.int64), _eights(np.concatenate([data, np.zeros(8, np.uint8)]))
     members, group = np.arange(len(at)), np.zeros(len(at), np.int64)
     for depth in range(0, shallow, 8):
-        key = _words(data, at[members] + depth, 8)
+        key = _words(eights, at[members] + depth, 8)
         order = np.lexsort((key, group))
         members, group, key = members[order], group[order], key[order]
         if not len(members):
@@ -193,7 +210,7 @@ def equal_suffixes(data: np.ndarray, at: np.ndarray, length: int, shallow: int =
     agree = np.ones(len(members), bool)
     for depth in range(shallow, length, 8):
         step = min(8, length - depth)
-        agree &= _words(data, at[members] + depth, step) == _words(data, at[head] + depth, step)
+        agree &= _words(eights, at[members] + depth, step) == _words(eights, at[head] + depth, step)
     same = np.minimum.reduceat(agree.astype(np.int8), starts) > 0
     plain = np.repeat(same, ends - starts)
     label[members[plain]] = np.cumsum(np.r_[True, group[1:] != group[:-1]])[plain]
