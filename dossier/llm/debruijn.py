@@ -269,7 +269,7 @@ def repeated_spans(packed: Packed, k: int = K) -> DataFrame:
 
 
 #: How many seeds are tried, and claims that one task looks up in a batch.
-SEEDS, CLAIMS_EACH = 5, 1000
+SEEDS, CLAIMS_EACH = 5, 200
 CLAIMS = "source_batch long, source_at int, windows int, digest binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary"
 
