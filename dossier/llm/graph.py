@@ -23,10 +23,10 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, spread_by: str | Colu
 HOT = 1000
 
 
-def hot_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: str | Column, n: str, spread: int = SPREAD) -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: str | Column, n: str, spread: int = SPREAD, total: int | None = None) -> DataFrame:
     """``spread_join`` for a side ``one`` that knows in ``n`` how many rows of ``many`` have its key: only hot keys are
-    spread and copied. There are at most HOT of them, so they are broadcast. ``n`` is dropped."""
-    total = one.agg(F.sum(n)).first()[0] or 0
+    spread and copied. There are at most HOT of them, so they are broadcast. ``n`` is dropped; ``total``: all rows."""
+    total = (one.agg(F.sum(n)).first()[0] or 0) if total is None else total
     is_hot = F.col(n) > max(HOT, total // HOT)
     hot = F.broadcast(one.where(is_hot).select(*keys, F.lit(True).alias("__hot")))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
@@ -54,10 +54,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = spread_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread_join(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = hot_join(both, least, ["a"], "b", "n", total=2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = hot_join(large, least, ["a"], "b", "n", total=before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = durable(small.select("e.a", "e.b").where("a != b").distinct())
         after = _state(edges)
         if after == before:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.durable import durable
-from dossier.llm.graph import connected_components, spread_join
+from dossier.llm.graph import connected_components, hot_join, spread_join
 
 RADIUS = 3
 SHINGLE = 3
@@ -171,28 +171,29 @@ def near_duplicate_components(docs: DataFrame, *, text: str = "text", doc_id: st
     id is null. Repeated rows stay repeated. An empty table gives no rows.
     """
     prints = durable(fingerprints(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), keep=["doc_id"]))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     edges = fingerprint_links(nodes.select("fp"), radius=radius, block=block)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    rooted = durable(rooted.select("fp", "root", "least"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = spread_join(rooted, least, "root", "fp").select("fp", "component_id")
-    return spread_join(prints, named, "fp", "doc_id")
+    rooted = durable(rooted.select("fp", "root", "least", "copies"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = hot_join(rooted, least, ["root"], "fp", "n").select("fp", "component_id", "copies")
+    return hot_join(prints, named, ["fp"], "doc_id", "copies")
 
 
 def keep_one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, with their columns, whose doc_id is the smallest of its component, where links are
     Jaccard similarities of word shingles (``jaccard``) and not the fingerprints above.
 
-    Of repeated rows of such an id one stays. Rows without an id cannot be told apart by it, and stay.
+    Of rows that are equal in id and text one stays; rows of one id with different texts are rows of their own, of which
+    a component keeps one. Rows without an id cannot be told apart by it, and stay.
     """
-    from dossier.llm.jaccard import similar_components  # takes its shingles from here
+    from dossier.llm.jaccard import similar_components, text_key  # takes its shingles from here
 
-    found = similar_components(docs, text=text, doc_id=doc_id, **options)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
-    named = docs.where(docs[doc_id].isNotNull())
-    kept = named.join(first, named[doc_id] == F.col("__first"), "left_semi").dropDuplicates([doc_id])
+    found = similar_components(docs, text=text, doc_id=doc_id, **options).where("doc_id is not null")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("f")).select(F.col("f.doc_id").alias("__first"), F.col("f.node").alias("__of"))
+    named = docs.where(docs[doc_id].isNotNull()).withColumn("__node", text_key(docs[text]))
+    kept = named.join(first, (named[doc_id] == F.col("__first")) & (F.col("__node") == F.col("__of")), "left_semi").dropDuplicates([doc_id, "__node"]).drop("__node")
     return kept.unionByName(docs.where(docs[doc_id].isNull()))
 
 
