@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -90,6 +91,13 @@ def test_one_of_each_stays(spark):
     assert ids.count(None) == 1 and len(set(ids)) == len(ids) and 1 in ids and 2 not in ids
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    words = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("b")), (1, words("a")), (2, words("b")), (3, words("c"))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame([(i, t, None, "a", "b") for i, t in rows], DOCS))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, words("a")), (1, words("b")), (3, words("c"))]
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -122,6 +130,28 @@ def test_cosine_links_against_brute_force(spark):
         assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(1, 7))
 
 
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_a_dense_cluster_is_linked_in_full(spark, monkeypatch, dense):
+    """Whether or not products are taken to the end at once, and over several tiles."""
+    monkeypatch.setattr(vectors, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=24)
+    x = np.vstack([centre + rng.normal(size=(900, 24)) * 0.02, rng.normal(size=(300, 24))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in vectors.cosine_components(table, tile=200).collect()}
+    assert [got[i].n_links for i in range(1200)] == want.tolist()
+    assert {got[i].component_id for i in range(900)} == {0} and len({r.component_id for r in got.values()}) > 290
+
+
+def test_hot_keys_alone_are_copied(spark):
+    many = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("v"))
+    joined = graph.hot_join(many, one, ["k"], "id", "n")
+    assert joined.count() == 5000 and set(joined.columns) == {"k", "id", "v"} and joined.where("k = 7 and v <> 0").count() == 0
+
+
 def test_cosine_empty_table(spark):
     assert vectors.cosine_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

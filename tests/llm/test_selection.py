@@ -3,6 +3,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.llm import decontam, mixing, quality, ranks, sharding
@@ -17,22 +19,8 @@ def docs(spark, n=400):
     return rows, spark.createDataFrame(rows, DOCS)
 
 
-def brute_targets(rows, budget=1.5):
-    sizes = defaultdict(int)
-    for _, t, s, *_ in rows:
-        sizes[s] += len((t or "").split())
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
-    target, free, left = {}, set(names), budget * sum(sizes.values())
-    while True:
-        level = left / sum(weight[s] for s in free) if free else 0
-        stop = {s for s in free if weight[s] * level >= 2 * sizes[s]}
-        for s in stop:
-            target[s] = 2 * sizes[s]
-            left -= 2 * sizes[s]
-        free -= stop
-        if not stop:
-            return sizes, target | {s: weight[s] * level for s in free}
+def brute_targets(rows):
+    return plain.targets([(s, plain.size_of(t)) for _, t, s, *_ in rows])
 
 
 def test_mix_meets_targets(spark):
@@ -46,7 +34,10 @@ def test_mix_meets_targets(spark):
         s = source[r.doc_id, r.size]
         taken[s] += r.taken
         assert r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6
-    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert all(abs(taken[s] - target[s]) <= mixing.PACKET for s in sizes)
+    queue = plain.queue([(i, s, t) for i, t, s, *_ in rows])
+    want = sorted((i if i is not None else -1, plain.size_of(t), queue[k, 0] + queue[k, 1]) for k, (i, t, *_) in enumerate(rows))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.taken) for r in got) == want
     again = mixing.mix(table.repartition(2)).collect()
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in again)
 
@@ -59,7 +50,7 @@ def test_mix_stream_holds_what_the_mix_took(spark):
     for r in stream.collect():
         words[r.source] += len((r.text or "").split())
     _, target = brute_targets(rows)
-    assert all(abs(words[s] - target[s]) <= 1 for s in target)
+    assert all(abs(words[s] - target[s]) <= mixing.PACKET for s in target)
     copies = Counter(r.doc_id for r in stream.collect())
     assert max(n for i, n in copies.items() if i != 7) == 2 and copies[7] <= 4  # two passes, and one document is there twice
     texts = {i: t for i, t, *_ in rows}
@@ -91,12 +82,23 @@ def test_shards_follow_the_key_alone(spark):
     assert all(r.grown_shard in (r.shard, 40) for r in got) and 30 < sum(r.grown_shard == 40 for r in got) < 150
     text = {i: t for i, t, *_ in rows}
     assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r.size == len((text[r.doc_id] or "").encode()) + 16 for r in got)
+    tree = sharding.shard_tree(40)
+    keys = {None: "n"} | {i: f"d{i}" for i, *_ in rows if i is not None}
+    assert all(r.shard == plain.shard(keys[r.doc_id], tree) and r.grown_shard == plain.shard(keys[r.doc_id], sharding.with_one_more(tree)) for r in got)
     some = sharding.shard_rows(table.where("doc_id % 3 = 0")).collect()
     whole = {r.doc_id: r.shard for r in got}
     assert all(whole[r.doc_id] == r.shard for r in some)
     assert sharding.shard_rows(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 7, 31, 43])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    _, table = docs(spark, 3000)
+    got = sharding.shard_rows(table, shards=shards).collect()
+    assert {r.shard for r in got} <= set(range(shards)) and all(r.grown_shard in (r.shard, shards) for r in got)
+    assert sum(r.grown_shard == shards for r in got) > 0
+
+
 def test_a_changed_weight_moves_rows_in_its_subtree_only(spark):
     tree = sharding.shard_tree(40)
     heavier = {r: {k: dict(s) for k, s in v.items()} for r, v in tree.items()}
