@@ -33,7 +33,18 @@ ANNEX = r"(?iU)\banexa\s*([0-9]+(?:\s*\.\s*[0-9]+)*\s*\.?)"
 ALIAS_SEPARATOR = r"[ \t\n\r\f\x0b\u00a0\u202f/-]*"
 
 _PATTERNS = tuple(map(re.compile, CODE_PATTERNS))
-_LAST_WORD = re.compile(r"([A-Za-zĂÂÎȘȚăâîșț]+)\s*$")
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzĂÂÎȘȚăâîșț")
+
+
+def _word_before(text: str, at: int) -> str:
+    """The word that ends before a place, whatever white space is between."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and text[start - 1] in _LETTERS:
+        start -= 1
+    return text[start:end]
 
 
 def code_spans(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,8 +59,7 @@ def code_spans(texts: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for k, t in zip(batch["k"], batch["t"], strict=True):
                 for m in (m for p in _PATTERNS for m in p.finditer(t or "")):
-                    before = _LAST_WORD.search(t[max(0, m.start() - 80) : m.start()])
-                    if not (before and before[1].upper() in STRUCTURE_WORDS):
+                    if _word_before(t, m.start()).upper() not in STRUCTURE_WORDS:
                         rows.append((k, m.start(), m.end()))
             yield pd.DataFrame(rows, columns=["k", "start", "end"])
 
@@ -74,13 +84,16 @@ def uncovered(spans: DataFrame, covers: DataFrame, key: str) -> DataFrame:
 
 
 def colliding_keys(spans: DataFrame, key: str, owner: str) -> DataFrame:
-    """Keys with two overlapping spans of different owners. By start, a span collides with one of another owner that
-    reaches beyond its start: the farthest reach of any owner and of the next best other owner tell."""
-    w = Window.partitionBy(key).orderBy("start", "end", owner)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.collect_set(F.when(F.col("end") > F.col("start"), F.struct(F.col("end"), F.col(owner).alias("o")))).over(before)
-    hit = F.exists(ends, lambda e: (e["end"] > F.col("start")) & (e["o"] != F.col(owner)))
-    return spans.withColumn("__hit", hit).where("__hit").select(key).distinct()
+    """Keys with two overlapping spans of different owners; empty spans overlap nothing.
+
+    By start, the earlier span with the farthest end tells: if it is of another owner and ends beyond this start, the
+    two collide. If it is of the same owner while a shorter one of another owner collides, those two earlier spans
+    overlap each other at this start, so the first of all collisions is always seen.
+    """
+    before = Window.partitionBy(key).orderBy("start", "end", owner).rowsBetween(Window.unboundedPreceding, -1)
+    farthest = F.max(F.struct("end", F.col(owner).alias("o"))).over(before)
+    rows = spans.where(F.col("end") > F.col("start")).withColumn("__far", farthest)
+    return rows.where((F.col("__far.end") > F.col("start")) & (F.col("__far.o") != F.col(owner))).select(key).distinct()
 
 
 def alias_variants(code: Column) -> Column:
@@ -99,11 +112,18 @@ def alias_pattern(alias: Column) -> Column:
     return F.concat(F.lit("(?i)(?<![a-z0-9])"), F.array_join(flexible, ALIAS_SEPARATOR), F.lit("(?![a-z0-9])"))
 
 
+def first_signs(text: Column) -> Column:
+    """The distinct first letters and digits of a text's words of letters and digits; a number's zeros do not count."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+    return F.array_distinct(F.transform(runs, lambda r: F.substring(F.regexp_replace(r, "^0+(?=.)", ""), 1, 1)))
+
+
 def alias_spans(questions: DataFrame, aliases: DataFrame, key: str, text: str, owner: str) -> DataFrame:
-    """Rows (key, owner, start, end) where a question names an alias. The catalogue of aliases is a dimension: it is
-    the smaller side of a nested loop, and Spark broadcasts it if its size allows."""
-    pairs = questions.select(key, text).crossJoin(aliases.select(owner, alias_pattern(F.col("alias")).alias("__p")))
-    hits = pairs.withColumn("__m", F.expr(f"regexp_extract_all({text}, __p, 0)")).where(F.size("__m") > 0)
+    """Rows (key, owner, start, end) where a question names an alias. A question meets the aliases whose first sign
+    begins one of its words, by an equi-join."""
+    asked = questions.select(key, text, F.explode(first_signs(F.col(text))).alias("__sign"))
+    named = aliases.select(owner, alias_pattern(F.col("alias")).alias("__p"), F.get(first_signs(F.col("alias")), F.lit(0)).alias("__sign"))
+    hits = asked.join(named, "__sign").withColumn("__m", F.expr(f"regexp_extract_all({text}, __p, 0)")).where(F.size("__m") > 0)
     # Lengths of what stands before each match give its place.
     split = hits.withColumn("__before", F.expr(f"split({text}, __p)"))
     placed = split.select(key, owner, F.posexplode("__m").alias("__i", "__hit"), "__before", "__m")

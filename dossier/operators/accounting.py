@@ -80,12 +80,29 @@ def provider_health(events: DataFrame, *, provider: str, ts: str, order: list[st
     return rows.withColumn("degraded", (F.col("streak") >= failures) & recent)
 
 
+_BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4 = rf"{_BYTE}(?:\.{_BYTE}){{3}}"
+
+
+def is_ip(address: Column) -> Column:
+    """Whether a text is an address of either kind: four numbers up to 255, or eight groups of up to four hexadecimal
+    digits, of which one run may be written ``::`` and the last two as four numbers."""
+    plain = F.regexp_replace(address, r"%[^%/]+$", "")
+    groups = F.regexp_replace(plain, rf"(^|:){IPV4}$", "$10:0")
+    n = F.regexp_count(groups, F.lit(r"[0-9A-Fa-f]+"))
+    shaped = groups.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?$")
+    v6 = F.contains(plain, F.lit(":")) & shaped & F.when(F.contains(groups, F.lit("::")), n <= 7).otherwise(n == 8)
+    return F.coalesce(address.rlike(f"^{IPV4}$") | v6, F.lit(False))
+
+
 def client_ip(forwarded: Column, host: Column, hops: int) -> Column:
-    """The address that the ``hops``-th trusted proxy from the right saw; the direct host without proxies."""
+    """The address that the ``hops``-th trusted proxy from the right saw; the direct host without proxies, without so
+    many entries, or if the entry is no address."""
     if hops <= 0:
         return host
     parts = F.transform(F.split(forwarded, ","), lambda x: F.trim(x))
-    return F.coalesce(F.when(F.size(parts) >= hops, F.element_at(parts, -hops)), host)
+    seen = F.when(F.size(parts) >= hops, F.element_at(parts, -hops))
+    return F.coalesce(F.when(is_ip(seen), seen), host)
 
 
 def embedding_batches(items: DataFrame, *, group: list[str], order: str, tokens: str, most: int = 1000, most_tokens: int = 320_000) -> DataFrame:
@@ -112,22 +129,33 @@ def embedding_batches(items: DataFrame, *, group: list[str], order: str, tokens:
 
 def ingestion_budget(items: DataFrame, *, group: list[str], order: str, size: str, most: int = 5, most_size: int = 10_000) -> DataFrame:
     """Add accepted: an item takes of the day's budget if both caps allow it; one that is refused takes nothing, so a
-    smaller one may still fit."""
-    listed = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("t")))).alias("items"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"), F.from_json(F.lit("[]"), "array<boolean>").alias("out"))
+    smaller one may still fit.
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["n"] < most) & (s["t"] + x["t"] <= most_size)
-        return F.struct((s["n"] + fits.cast("int")).alias("n"), F.when(fits, s["t"] + x["t"]).otherwise(s["t"]).alias("t"), F.concat(s["out"], F.array(fits)).alias("out"))
-
-    folded = listed.withColumn("ok", F.aggregate("items", start, step, lambda s: s["out"]))
-    return folded.select(*group, F.explode(F.arrays_zip("items", "ok")).alias("z")).select(*group, F.col("z.items.o").alias(order), F.col("z.items.t").alias(size), F.col("z.ok").alias("accepted"))
+    ``order`` tells a group's items apart. What is left changes only when an item is accepted, so the next one accepted
+    is the first after it that fits: ``most`` rounds of a minimum per group find them all, and no task holds a group.
+    """
+    rows = items.select(*group, F.col(order).alias("__o"), F.col(size).cast("long").alias("__t"))
+    state = rows.groupBy(*group).agg(F.min(F.when(F.col("__t") <= most_size, F.struct("__o", "__t"))).alias("__next"))
+    state = state.select(*group, F.array_compact(F.array("__next")).alias("__taken"))
+    for _ in range(most - 1):
+        last, used = F.element_at("__taken", -1)["__o"], F.aggregate("__taken", F.lit(0).cast("long"), lambda a, x: a + x["__t"])
+        open_ = rows.join(state.where(F.size("__taken") > 0).select(*group, last.alias("__last"), used.alias("__used")), group)
+        fits = (F.col("__o") > F.col("__last")) & (F.col("__used") + F.col("__t") <= most_size)
+        found = open_.where(fits).groupBy(*group).agg(F.min(F.struct("__o", "__t")).alias("__next"))
+        state = state.join(found, group, "left").select(*group, F.concat("__taken", F.array_compact(F.array("__next"))).alias("__taken"))
+    done = items.select(*group, F.col(order), F.col(size).cast("long").alias(size)).join(state, group)
+    return done.withColumn("accepted", F.exists("__taken", lambda x: x["__o"] == F.col(order))).drop("__taken")
 
 
 def failure_class(status: Column, kind: Column) -> Column:
-    """Of a failed call, by HTTP status and kind of exception."""
+    """Of a failed call, by HTTP status and kind of exception. A billing error is told by its kind, whatever its status."""
     return (
-        F.when(kind.contains("timeout"), "timeout").when(status.isin(401, 403), "auth").when(status == 429, "rate_limit").when(status >= 500, "server").otherwise("other")
+        F.when(kind.contains("timeout"), "timeout")
+        .when(status.isNotNull() & (kind == "billing_error"), "credit_exhausted")
+        .when(status == 429, "rate_limited")
+        .when(status.isin(401, 403), "auth")
+        .when(status >= 500, "server_error")
+        .otherwise("other")
     )
 
 

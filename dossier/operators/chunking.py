@@ -6,9 +6,11 @@ Rows of one document are ordered by a number; a document is bounded, so windows
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -131,20 +133,89 @@ def without_chapter_lines(lines: DataFrame, doc: str) -> DataFrame:
     return kept.where(~plus & ~F.col("line").rlike(CHAPTER_LINE) & ~F.col("line").rlike(SECTION_LINE)).drop("__next")
 
 
+def _bare_lines(lines: Column, reach: int = HEADER_REACH) -> Column:
+    """``without_headers`` for an array of lines: a text with a sign for each line's kind tells what is near a number."""
+    kind = lambda x: F.when(x.rlike(HEADER), "H").when(x.rlike(r"(?U)^\s*$"), "B").when(x.rlike(r"(?U)^\s*\d{1,4}\s*$"), "P").otherwise("O")
+    kinds = F.array_join(F.transform(lines, kind), "")
+
+    def stays(_: Column, i: Column) -> Column:
+        before = F.substring(kinds, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
+        after = F.substring(kinds, i + 2, F.lit(reach))
+        own = F.substring(kinds, i + 1, F.lit(1))
+        return (own != "H") & ((own != "P") | ~(before.rlike("H[PB]*$") | after.rlike("^[PB]*H")))
+
+    return F.filter(lines, stays)
+
+
+def _toc_end(text: Column, dotted: bool) -> Column:
+    """Where the first table of contents of one style ends, as ``without_toc`` says; null without one. A fold over the
+    lines, in order, and only of texts that hold enough entries."""
+    span = 1 if dotted else 2
+    early = F.floor(F.length(text) * TOC_SHARE)
+    lines = F.split(text, "\n")
+    following = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(None).cast("string")))
+    blank = lambda c: c.rlike(r"(?U)^\s*$")
+    zero = F.struct(*(F.lit(0).cast("int").alias(n) for n in ("at", "entries", "end", "others", "skip")), F.lit(None).cast("int").alias("cut"))
+
+    def step(a: Column, x: Column) -> Column:
+        line, after = x["l"], x["n"]
+        entry = line.rlike(DOTTED_ENTRY) if dotted else line.rlike(TITLE_ENTRY) & F.coalesce(after.rlike(r"(?U)^\s*\d{1,4}\s*$"), F.lit(False))
+        entry = entry & (a["at"] < early)
+        stop = a["at"] + F.length(line) + 1
+        end = stop if dotted else stop + F.length(after) + 1
+        new = (a["others"] > TOC_GAP) & (a["entries"] > 0)
+        closed = F.coalesce(a["cut"], F.when(new & (a["entries"] >= TOC_ENTRIES), a["end"]))
+        counts = F.when(blank(line) | (a["skip"] > 0), 0).otherwise(1)
+        return F.struct(
+            stop.cast("int").alias("at"),
+            F.when(entry & new, 1).when(entry, a["entries"] + 1).otherwise(a["entries"]).alias("entries"),
+            F.when(entry, end).otherwise(a["end"]).cast("int").alias("end"),
+            F.when(entry, 0).otherwise(a["others"] + counts).alias("others"),
+            F.when(entry, span - 1).otherwise(F.greatest(a["skip"] - 1, F.lit(0))).alias("skip"),
+            F.when(entry, closed).otherwise(a["cut"]).alias("cut"),
+        )
+
+    found = F.aggregate(F.arrays_zip(lines.alias("l"), following.alias("n")), zero, step, lambda a: F.coalesce(a["cut"], F.when(a["entries"] >= TOC_ENTRIES, a["end"])))
+    likely = r"(?m)\.{4,}\s*\d{1,4}\s*$" if dotted else r"(?mU)^\s*\d+(?:\.\d+)*\.\s+\S.*\n\s*\d{1,4}\s*$"
+    return F.when(F.regexp_count(text, F.lit(likely)) >= TOC_ENTRIES, found)
+
+
+def _other_lines(lines: Column) -> Column:
+    """``without_chapter_lines`` for an array of lines."""
+    some = F.filter(lines, lambda x: ~(x.rlike(ROMAN_TITLE) & mostly_upper(F.regexp_extract(x, ROMAN_TITLE, 1))))
+
+    def stays(x: Column, i: Column) -> Column:
+        following = F.get(F.filter(F.slice(some, i + 2, F.size(some)), lambda y: ~y.rlike(r"(?U)^\s*$")), F.lit(0))
+        plus = F.when(x.rlike(r"(?U)^\s*\+\s*$"), F.coalesce(following.rlike(AFTER_PLUS), F.lit(False))).otherwise(False)
+        return ~plus & ~x.rlike(CHAPTER_LINE) & ~x.rlike(SECTION_LINE)
+
+    return F.filter(some, stays)
+
+
 def clean_text(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    """Everything that comes before markers are looked for."""
-    fixed = texts.select(doc, fix_pdf_substitutions(F.col(text)).alias("text"))
-    bare = from_lines(without_headers(to_lines(fixed, doc), doc), doc).withColumn("text", without_colophon(F.col("text")))
-    return from_lines(without_chapter_lines(to_lines(without_toc(bare, doc), doc), doc), doc)
+    """Everything that comes before markers are looked for. A document's lines are an array in its row, so that nothing
+    is shuffled."""
+    rows = texts.select(doc, F.split(fix_pdf_substitutions(F.col(text)), "\n").alias("lines"))
+    rows = rows.select(doc, without_colophon(F.array_join(_bare_lines(F.col("lines")), "\n")).alias("text"))
+    cut = F.greatest(_toc_end(F.col("text"), True), _toc_end(F.col("text"), False))
+    rows = rows.select(doc, F.substring(F.col("text"), F.coalesce(cut, F.lit(0)) + 1, F.length("text")).alias("text"))
+    return rows.select(doc, F.array_join(_other_lines(F.split("text", "\n")), "\n").alias("text"))
 
 
 MATCH = ArrayType(StructType([StructField(n, IntegerType() if n in ("start", "stop", "num_stop") else StringType()) for n in ("kind", "start", "stop", "num", "num_stop", "title", "before", "after", "next")]))
 _COMPILED = {k: re.compile(v) for k, v in MARKERS.items()}
 
 
+def _reach(source: str, at: int, some: int = 130) -> int:
+    """How far to look after a number: a suffix, and blanks after it or after a comma, of any length, and a few more."""
+    suffix = re.compile(r"\S*").match(source, at).end()
+    blanks = re.compile(r",?[ \t\u00a0\u202f]*").match(source, at).end()
+    return max(suffix, blanks, at) + some
+
+
 @F.pandas_udf(MATCH)
 def marker_matches(texts: pd.Series) -> pd.Series:
-    """Every match of every marker with what stands around it: the last filled line before, the characters after the
+    """Every match of every marker with what stands around it: the last filled line before, what follows the
     number, the next filled line. Spark has no positions of matches; what they mean is decided in columns."""
     out = []
     for t in texts:
@@ -163,7 +234,7 @@ def marker_matches(texts: pd.Series) -> pd.Series:
                 partial = source[cut : m.start()].strip()
                 newline = source.find("\n", m.end())
                 j = bisect_left(starts, newline + 1) if newline >= 0 else len(starts)
-                rows.append((kind, m.start(), m.end(), m[1], m.end(1), m[2].rstrip() if kind == "chapter" else None, partial or (lines[i - 1] if i else ""), source[m.end(1) : m.end(1) + 400], lines[j] if j < len(lines) else None))
+                rows.append((kind, m.start(), m.end(), m[1], m.end(1), m[2].rstrip() if kind == "chapter" else None, partial or (lines[i - 1] if i else ""), source[m.end(1) : _reach(source, m.end(1))], lines[j] if j < len(lines) else None))
         out.append([dict(zip(("kind", "start", "stop", "num", "num_stop", "title", "before", "after", "next"), r, strict=True)) for r in rows])
     return pd.Series(out)
 
@@ -172,7 +243,7 @@ def is_broken(base: Column, before: Column, after: Column) -> Column:
     """Whether a number at a line's start is a reference that the extraction broke, not a marker."""
     spaced = F.regexp_replace(after, r"^[ \t  ]*", "")
     word = F.lower(F.regexp_extract(before, LAST_WORD, 1))
-    comma = ~F.regexp_replace(F.substring(after, F.lit(2), F.lit(400)), r"^[ \t  ]*", "").rlike(r"^(\n|$)")
+    comma = ~F.regexp_replace(F.substring(after, F.lit(2), F.length(after)), r"^[ \t  ]*", "").rlike(r"^(\n|$)")
     one_line = F.substring(F.substring_index(after, "\n", 1), 1, 120)
     return base.rlike(r"^\d+(?:\.\d+)*\.$") & F.when(word.isin(*BROKEN_WORDS), True).when(after.startswith(","), comma).when(spaced.rlike(r"^(\n|$)"), False).when(after.rlike(r"^\d"), True).when(
         spaced.rlike(rf"^[{UPPER}„(0-9]"), False
@@ -233,10 +304,10 @@ def title_column(c: Column) -> Column:
     return (c != "") & ~F.contains(c, F.lit("\n")) & (F.length(c) <= TITLE_CHARS) & ~c.rlike("[.;:]$")
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seg_no").reset_index(drop=True)
-    base, title, text = pdf["base"].tolist(), pdf["title"].tolist(), pdf["text"].tolist()
-    dropped, context = [False] * len(pdf), [False] * len(pdf)
+def _with_context(segs: list[dict]) -> list[dict]:
+    """Of a document's segments, in order: each with its text, is_title and has_context."""
+    base, title, text = ([s[c] for s in segs] for c in ("base", "title", "text"))
+    dropped, context = [False] * len(segs), [False] * len(segs)
 
     def give(i: int, line: str) -> None:
         for j in range(i + 1, len(base)):
@@ -246,11 +317,11 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
                 text[j], context[j] = f"{line}\n{text[j]}", True
 
     for i, t in enumerate(title):
-        if isinstance(t, str):
+        if t is not None:
             give(i, f"{base[i]} {t}")
     names = sorted(set(base))
     for i, t in enumerate(text):
-        if isinstance(title[i], str) or not is_title(t):
+        if title[i] is not None or not is_title(t):
             continue
         after = bisect_left(names, base[i] + "\0")
         if after == len(names) or not names[after].startswith(base[i]):
@@ -258,16 +329,30 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
         dropped[i] = True
         if i + 1 < len(base) and base[i + 1] != base[i] and base[i + 1].startswith(base[i]):
             give(i, f"{base[i]} {t}")
-    return pdf.assign(text=text, is_title=dropped, has_context=context)
+    return [{**s, "text": t, "is_title": d, "has_context": c} for s, t, d, c in zip(segs, text, dropped, context, strict=True)]
+
+
+SEGMENT = ("seg_no", "article", "base", "title", "text")
+TITLED = "array<struct<seg_no: int, article: string, base: string, title: string, text: string, is_title: boolean, has_context: boolean>>"
 
 
 def with_titles(segs: DataFrame, doc: str) -> DataFrame:
     """Titles become the first line of their direct children. What a title is depends on what it was given itself, so
     this is a fold over a document's segments, in order; no join gives the same at more than one level."""
+
+    kinds = {"seg_no": pa.int32(), "is_title": pa.bool_(), "has_context": pa.bool_()}
+    names = (*SEGMENT, "is_title", "has_context")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listing = pa.list_(pa.struct([(n, kinds.get(n, pa.string())) for n in names]))
+        for batch in batches:
+            made = pa.array([_with_context(s) for s in batch.column("segs").to_pylist()], listing)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), made], names=["doc", "segs"])
+
     kind = segs.schema[doc].dataType.simpleString()
-    ordered = segs.select(F.col(doc).alias("doc"), "seg_no", "article", "base", "title", "text")
-    schema = f"doc {kind}, seg_no int, article string, base string, title string, text string, is_title boolean, has_context boolean"
-    return ordered.groupBy("doc").applyInPandas(_merge, schema).withColumnRenamed("doc", doc)
+    listed = segs.groupBy(F.col(doc).alias("doc")).agg(F.array_sort(F.collect_list(F.struct(*SEGMENT))).alias("segs"))
+    done = listed.mapInArrow(scan, f"doc {kind}, segs {TITLED}")
+    return done.select(F.col("doc").alias(doc), F.explode("segs").alias("s")).select(doc, "s.*")
 
 
 def longest_at_first_place(segs: DataFrame, doc: str, *, key: Column, order: str, text: str = "text") -> DataFrame:
@@ -305,17 +390,29 @@ def split_numbered(chunks: DataFrame, doc: str, *, order: str, text: str = "text
 
 
 def cut_text(text: str, limit: int = MAX_CHUNK) -> list[str]:
-    """Pieces of at most ``limit`` characters, cut at a line's or word's end, never inside a provenance mark."""
-    out = []
-    while len(text) > limit:
-        at = max(text.rfind("\n", 0, limit + 1), text.rfind(" ", 0, limit + 1))
-        at = limit if at < MIN_CHUNK else at
-        for m in re.finditer(PROVENANCE, text[: at + MARK_CHARS]):
-            if MIN_CHUNK <= m.start() < at < m.end():
-                at = m.start()
-        piece, text = text[:at].strip(), text[at:].strip()
-        out += [piece] if piece else []
-    return out + ([text] if text else [])
+    """Pieces of at most ``limit`` characters, cut at a line's or word's end, never inside a provenance mark.
+
+    All places where a cut may be, and all marks, are listed first; each piece then takes the last place within reach.
+    """
+    gaps = [m.start() for m in re.finditer("[ \n]", text)]
+    marks = [m.span() for m in re.finditer(PROVENANCE, text)]
+    cuts, at = [], 0
+    end = len(text.rstrip()) if len(text) > limit else len(text)
+    while end - at > limit:
+        reach = at + limit
+        last = bisect_right(gaps, reach) - 1
+        place = gaps[last] if last >= 0 and gaps[last] >= at + MIN_CHUNK else reach
+        mark = bisect_left(marks, (place,)) - 1  # the last that begins before the place
+        if mark >= 0 and marks[mark][0] >= at + MIN_CHUNK and marks[mark][1] > place:
+            place = marks[mark][0]
+        cuts.append((at, place))
+        at = _BLANKS.match(text, place).end()
+    if len(text) <= limit:
+        return [text] if text else []
+    return [p for p in (text[a:b].strip() for a, b in [*cuts, (at, end)]) if p]
+
+
+_BLANKS = re.compile(r"\s*")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -375,13 +472,23 @@ def chunk_statistics(segs: DataFrame, doc: str) -> DataFrame:
     )
 
 
+def removed_lines(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """Rows (doc, headers, toc_entries): header and page lines that cleaning drops, and lines of the table of contents."""
+    rows = texts.select(doc, F.split(fix_pdf_substitutions(F.col(text)), "\n").alias("lines"))
+    rows = rows.select(doc, F.size("lines").alias("__all"), _bare_lines(F.col("lines")).alias("bare"))
+    rows = rows.select(doc, (F.col("__all") - F.size("bare")).alias("headers"), without_colophon(F.array_join("bare", "\n")).alias("text"))
+    cut = F.coalesce(F.greatest(_toc_end(F.col("text"), True), _toc_end(F.col("text"), False)), F.lit(0))
+    before = F.split(F.substring(F.col("text"), F.lit(1), cut), "\n")
+    return rows.select(doc, "headers", F.size(F.filter(before, lambda x: x.rlike(DOTTED_ENTRY) | x.rlike(TITLE_ENTRY))).alias("toc_entries"))
+
+
 def line_coverage(texts: DataFrame, chunks: DataFrame, doc: str, *, text: str = "text", order: str = "chunk_order") -> DataFrame:
     """Rows (doc, coverage): the share of a text's long lines whose start is in its chunks; 1 without such lines."""
     whole = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("l"))
     whole = whole.select(doc, coverage_text(F.array_join(F.col(f"l.{text}"), " ")).alias("__all"))
-    lines = texts.select(doc, F.explode(F.split(fix_pdf_substitutions(F.col(text)), "\n")).alias("line"))
-    lines = lines.withColumn("line", strip(F.col("line"))).where((F.length("line") >= COVERAGE_CHARS) & ~F.contains("line", F.lit("MONITORUL OFICIAL")))
-    start = F.substring(coverage_text(F.col("line")), 1, 45)
-    rows = lines.withColumn("__start", start).join(whole, doc, "left")
-    found = rows.groupBy(doc).agg(F.avg(F.coalesce((F.col("__start") != "") & F.contains("__all", "__start"), F.lit(False)).cast("double")).alias("coverage"))
-    return texts.select(doc).join(found, doc, "left").withColumn("coverage", F.coalesce("coverage", F.lit(1.0)))
+    lines = F.transform(F.split(fix_pdf_substitutions(F.col(text)), "\n"), strip)
+    long = F.filter(lines, lambda x: (F.length(x) >= COVERAGE_CHARS) & ~F.contains(x, F.lit("MONITORUL OFICIAL")))
+    starts = F.transform(long, lambda x: F.substring(coverage_text(x), 1, 45))
+    rows = texts.select(doc, starts.alias("__starts")).join(whole, doc, "left")
+    held = F.size(F.filter("__starts", lambda x: (x != "") & F.contains(F.coalesce("__all", F.lit("")), x)))
+    return rows.select(doc, F.coalesce(F.try_divide(held.cast("double"), F.nullif(F.size("__starts"), F.lit(0)).cast("double")), F.lit(1.0)).alias("coverage"))

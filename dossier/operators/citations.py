@@ -148,6 +148,29 @@ def prompt(evidence: DataFrame, questions: DataFrame, instructions: str, *, ques
     return questions.join(listed, question).select(question, F.concat_ws("\n\n", F.lit(instructions), body).alias("prompt"))
 
 
+def retry_prompt(first: Column, unsupported: Column, note: str) -> Column:
+    """The prompt of the second attempt: the first one, and a note with the codes that the evidence does not name, as
+    JSON that cannot close a tag."""
+    return F.concat_ws("\n\n", first, F.lit(note), escape_json(F.to_json(F.array_sort(unsupported))))
+
+
+def tool_input(response: Column, tool: str) -> Column:
+    """(payload, problem) of a model's response, a JSON text: the input of its only block, which must be a call of the
+    tool with an object as input. ``problem`` is truncated or invalid_response; the payload is null then."""
+    blocks = F.from_json(F.get_json_object(response, "$.content"), "array<string>")
+    block = F.get(blocks, F.lit(0))
+    given = F.get_json_object(block, "$.input")
+    called = (F.get_json_object(block, "$.type") == "tool_use") & (F.get_json_object(block, "$.name") == tool) & given.startswith("{")
+    problem_ = F.when(F.get_json_object(response, "$.stop_reason") == "max_tokens", "truncated").when(~F.coalesce((F.size(blocks) == 1) & called, F.lit(False)), "invalid_response")
+    return F.struct(F.when(problem_.isNull(), given).alias("payload"), problem_.alias("problem"))
+
+
+def diagnostic_code(payload: Column, known: Column) -> Column:
+    """``problem`` with an empty answer told apart, for logs that may hold no text of an answer; null if it is sound."""
+    empty = payload["valid"] & payload["found"] & (F.length(collapse_spaces(F.regexp_replace(payload["answer"], r"\[[Cc][1-9][0-9]*\]", ""))) == 0)
+    return F.when(empty, "empty_answer").otherwise(problem(payload, known))
+
+
 def with_notice(answer: Column, truncated: Column, notice: str) -> Column:
     return F.when(truncated, F.concat_ws("\n\n", answer, F.lit(notice))).otherwise(answer)
 
@@ -155,16 +178,20 @@ def with_notice(answer: Column, truncated: Column, notice: str) -> Column:
 def containing(texts: DataFrame, quotes: DataFrame, *, text_id: str, text: str, quote_id: str, quote: str) -> DataFrame:
     """Rows (text_id, quote_id) of texts that hold a quote, white space aside.
 
-    The second to fourth words of a quote are whole words of any text that holds it, so an equi-join on them finds
-    the candidates, and the text itself is checked for those only. Shorter quotes, which are few, meet all texts.
+    The words of a quote but the first and the last are whole words of any text that holds it, so an equi-join on up
+    to three of them finds the candidates, and the text itself is checked for those only. Quotes of one or two words,
+    which are few, meet all texts.
     """
     t = texts.select(text_id, collapse_spaces(F.col(text)).alias("__t"))
     q = quotes.select(quote_id, collapse_spaces(F.col(quote)).alias("__q")).where("__q <> ''").withColumn("__w", F.split("__q", " "))
-    anchored = q.where(F.size("__w") >= 5).withColumn("__a", F.xxhash64(F.slice("__w", 2, 3)))
-    words = t.withColumn("__w", F.split("__t", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("__w", i, 3)))
-    hits = words.select(text_id, F.explode(F.array_distinct(grams)).alias("__a")).join(anchored.select(quote_id, "__a"), "__a").select(text_id, quote_id)
+    size = F.least(F.size("__w") - 2, F.lit(3))
+    anchor = lambda words, start, n: F.xxhash64(F.lit(n), F.slice(words, start, n))
+    named = F.when(size == 3, anchor("__w", F.lit(2), 3)).when(size == 2, anchor("__w", F.lit(2), 2)).when(size == 1, anchor("__w", F.lit(2), 1))
+    anchored = q.withColumn("__a", named)
+    at = t.select(text_id, F.split("__t", " ").alias("__w")).select(text_id, "__w", F.posexplode("__w").alias("__i", "__x"))
+    grams = at.select(text_id, F.explode(F.array(*(anchor("__w", F.col("__i") + 1, n) for n in (1, 2, 3)))).alias("__a"))
+    hits = grams.join(anchored.where("__a is not null").select(quote_id, "__a"), "__a").select(text_id, quote_id).distinct()
     checked = hits.join(t, text_id).join(anchored.select(quote_id, "__q"), quote_id).where(F.contains("__t", "__q"))
-    short = q.where(F.size("__w") < 5).select(quote_id, "__q")
+    short = anchored.where("__a is null").select(quote_id, "__q")
     rest = t.join(short, F.contains("__t", "__q"))
     return checked.select(text_id, quote_id).unionByName(rest.select(text_id, quote_id))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TYPES = ("exact", "semantic", "negative")
@@ -65,6 +65,24 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+GENERATION_ERROR = "generation_error:"
+
+
+def generation_summary(cases: DataFrame) -> DataFrame:
+    """One row: answers, and of them how many cite what was expected, say that something is missing, and quote
+    literally; calls of the model; outcomes and errors (outcomes that begin with GENERATION_ERROR) with their numbers.
+
+    cases: outcome (null ones count nowhere), cites_expected, says_missing, quotes_literal, calls. Outcomes are few.
+    """
+    answered = F.col("outcome") == "answered"
+    totals = cases.agg(F.count_if(answered).alias("answers"), *(F.count_if(answered & F.col(c)).alias(c) for c in ("cites_expected", "says_missing", "quotes_literal")), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"))
+    counted = cases.where("outcome is not null").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct("outcome", "n")))
+    failed = F.filter(entries, lambda e: e["outcome"].startswith(GENERATION_ERROR))
+    maps = counted.agg(F.map_from_entries(entries).alias("outcomes"), F.map_from_entries(failed).alias("errors"))
+    return totals.crossJoin(maps)  # one row each
+
+
 def visible_status(status: Column, outcome: Column) -> Column:
     """What a user sees: the answer only if it was generated and passed; otherwise why not."""
     return F.when(status != "found", status).when(outcome == "answered", "answered").when(outcome == "not_found", "not_found").otherwise("unsupported_answer")
@@ -84,12 +102,18 @@ def findings(cases: DataFrame) -> DataFrame:
 
 
 def within_cap(calls: DataFrame, *, order: list[str], kind: str, caps: dict[str, int]) -> DataFrame:
-    """Add allowed: whether a call of its kind is still under the cap of an evaluation, which is small by contract."""
-    from pyspark.sql import Window
+    """Add allowed: whether a call is among the first of its kind, as many as the kind's cap; other kinds have none.
 
+    ``order`` tells calls apart. Only the first calls of a kind are ranked, each task giving its own first ones; the
+    last of them then decides for all, so no task holds a kind.
+    """
     cap = F.create_map(*(F.lit(x) for pair in caps.items() for x in pair))
-    n = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    return calls.withColumn("allowed", F.coalesce(n <= F.try_element_at(cap, F.col(kind)), F.lit(False)))
+    place = F.struct(*order)
+    capped = calls.where(F.col(kind).isin(*caps)).select(kind, place.alias("__place"))
+    ranked = capped.withColumn("__n", F.row_number().over(Window.partitionBy(kind).orderBy("__place"))).where(F.col("__n") <= max(caps.values(), default=0))
+    last = ranked.where(F.col("__n") <= F.try_element_at(cap, F.col(kind))).groupBy(kind).agg(F.max("__place").alias("__last"))
+    rows = calls.join(F.broadcast(last), kind, "left")  # a row for each of ``caps`` at most
+    return rows.withColumn("allowed", F.coalesce(place <= F.col("__last"), F.lit(False))).drop("__last").select(*calls.columns, "allowed")
 
 
 def public_view(cases: DataFrame, hidden: tuple[str, ...] = ("question", "text", "chunk_id", "content_hash", "source_key")) -> DataFrame:

@@ -68,6 +68,57 @@ def unique_or_null(found: Column) -> Column:
     return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0)))
 
 
+# Where a regulation's first pages name it.
+CODE_LINE = r"(?im)^\s*((?:NP|P|I|C|NE|GP|GT|CR|STAS|SR(?:\s+EN(?:\s+ISO)?)?)\s*\d+(?:\s*[./-]\s*\d+){0,3}(?:\s*[-/]\s*\d{4})?)\s*$"
+TITLE_LINE = r"(?imu)^\s*((?:NORMATIV(?:UL)?|REGLEMENTARE(?:A)?|GHID(?:UL)?|INSTRUCȚIUNI(?:LE)?|INSTRUCTIUNI(?:LE)?|COD(?:UL)?|METODOLOGIA)\b[^\n]{12,500})\s*$"
+YEAR = r"(?:^|[^0-9])(18[0-9]{2}|19[0-9]{2}|20[0-9]{2})(?:$|[^0-9])"
+
+
+def metadata_candidates(text: Column) -> Column:
+    """(codes, titles, years): the distinct ones that a text's lines name, in order; years are those of the codes."""
+    found = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), collapse_spaces))
+    codes = found(CODE_LINE)
+    years = F.array_distinct(F.flatten(F.transform(codes, lambda c: F.transform(F.regexp_extract_all(c, F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")))))
+    return F.struct(codes.alias("codes"), found(TITLE_LINE).alias("titles"), years.alias("years"))
+
+
+def discovered_metadata(rows: DataFrame, *, text: str, sha256: str) -> DataFrame:
+    """Add document_id, source_key, official_code, title, year and problem. A document is named only by a single dated
+    code, a single title and a single year; otherwise all are null and ``problem`` is ambiguous_metadata."""
+    found = rows.withColumn("__m", metadata_candidates(F.col(text)))
+    dated = F.filter("__m.codes", lambda c: c.rlike(YEAR))
+    years = F.transform(F.regexp_extract_all(F.get(dated, F.lit(0)), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int"))
+    found = found.withColumn("__code", unique_or_null(dated)).withColumn("__title", unique_or_null(F.col("__m.titles"))).withColumn("__year", unique_or_null(years))
+    named = F.col("__code").isNotNull() & F.col("__title").isNotNull() & F.col("__year").isNotNull() & (F.size(F.regexp_extract_all(F.lower("__code"), F.lit("[a-z]+|[0-9]+"), F.lit(0))) >= 3)
+    values = {"document_id": document_id_of(F.col("__code")), "source_key": F.concat(F.lit("pdf_"), F.col(sha256)), "official_code": F.col("__code"), "title": F.col("__title"), "year": F.col("__year")}
+    found = found.select("*", *(F.when(named, v).alias(k) for k, v in values.items()), F.when(~F.coalesce(named, F.lit(False)), "ambiguous_metadata").alias("problem"))
+    return found.drop("__m", "__code", "__title", "__year")
+
+
+def preflight(extractions: DataFrame, chunks: DataFrame, *, key: str = "source_sha256") -> DataFrame:
+    """Rows (key, status, page_count, character_count, chunk_count, official_code, title, year) of extracted files.
+
+    extractions: key, sha256_before, sha256_after, text, pages; chunks: key, problem (null for a sound one). A file is
+    ready_for_human_metadata, or in this order: unstable_pdf (it changed meanwhile), invalid_extraction (no text or no
+    pages), invalid_chunks (none, or an unsound one), ambiguous_metadata (not just one code, title and year).
+    """
+    counted = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunk_count"), F.count("problem").alias("__wrong"))
+    rows = extractions.join(counted, key, "left").withColumn("__m", metadata_candidates(F.col("text")))
+    one = {"official_code": "codes", "title": "titles", "year": "years"}
+    ready = "ready_for_human_metadata"
+    status = (
+        F.when(~F.col("sha256_before").eqNullSafe(F.col("sha256_after")), "unstable_pdf")
+        .when((F.length(collapse_spaces(F.coalesce("text", F.lit("")))) == 0) | ~F.coalesce(F.col("pages") > 0, F.lit(False)), "invalid_extraction")
+        .when((F.coalesce("chunk_count", F.lit(0)) == 0) | (F.col("__wrong") > 0), "invalid_chunks")
+        .when(F.greatest(*(F.abs(F.size(F.col(f"__m.{v}")) - 1) for v in one.values())) > 0, "ambiguous_metadata")
+        .otherwise(ready)
+    )
+    rows = rows.withColumn("status", status)
+    is_ready = F.col("status") == ready
+    facts = {"page_count": F.col("pages"), "character_count": F.length("text"), "chunk_count": F.col("chunk_count")} | {k: F.get(F.col(f"__m.{v}"), F.lit(0)) for k, v in one.items()}
+    return rows.select(key, "status", *(F.when(is_ready, v).alias(k) for k, v in facts.items()))
+
+
 def document_id_of(code: Column) -> Column:
     """Letters and first number together, further numbers after underscores, in lower case."""
     parts = F.regexp_extract_all(F.lower(code), F.lit("[a-z]+|[0-9]+"), F.lit(0))
@@ -107,6 +158,15 @@ def approve(documents: DataFrame, wanted: DataFrame, chunk_counts: DataFrame) ->
     return rows.withColumn("refused", asked & ~ok).withColumn("status", F.when(asked & ok, "approved").otherwise(F.col("status"))).drop("__source", "__wanted", "__has")
 
 
+def disable(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents with their new status. ``wanted``: document_id, source_key. A document is disabled if it is pending,
+    approved or disabled already, and has this source; otherwise nothing changes and ``refused`` is true."""
+    rows = documents.join(wanted.select("document_id", F.col("source_key").alias("__source")), "document_id", "left")
+    asked = F.col("__source").isNotNull()
+    ok = (F.col("source_key") == F.col("__source")) & F.col("status").isin(*STATUSES)
+    return rows.withColumn("refused", asked & ~ok).withColumn("status", F.when(asked & ok, "disabled").otherwise(F.col("status"))).drop("__source")
+
+
 def backfill(chunks: DataFrame, documents: DataFrame, *, on: str, column: str) -> DataFrame:
     """Set ``column`` of chunks from their documents; what has no document keeps null."""
     return chunks.drop(column).join(documents.select(on, column), on, "left")

@@ -33,10 +33,10 @@ def exact_or_children(chunks: DataFrame, questions: DataFrame, *, key: str, ques
     ``questions`` has (question, asked, document), where a null document means any. Equal keys and prefixes up to a dot
     are found by one equi-join on all ancestors of a chunk's key.
     """
-    parts = F.split(F.col(key), r"\.")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    depth = F.length(key) - F.length(F.replace(F.col(key), F.lit("."), F.lit(""))) + 1
     asked = questions.select(F.col(question).alias("__q"), F.col("asked").alias("__asked"), F.col("document").alias("__doc"))
-    found = chunks.withColumn("__up", F.explode(up)).join(asked, F.col("__up") == F.col("__asked"))
+    levels = chunks.withColumn("__n", F.explode(F.sequence(F.lit(1), depth)))
+    found = levels.withColumn("__up", F.expr(f"substring_index(`{key}`, '.', __n)")).drop("__n").join(asked, F.col("__up") == F.col("__asked"))
     found = found.where(F.col("__doc").isNull() | (F.col("__doc") == F.col("document")))
     exact = found.withColumn("__exact", F.col(key) == F.col("__asked"))
     exact = exact.withColumn("__any", F.max("__exact").over(Window.partitionBy("__q")))
@@ -108,7 +108,9 @@ def restricted_documents(questions: DataFrame, aliases: DataFrame, articles: Dat
     means the code is not approved.
     """
     asked = questions.select(question, codes.restriction(F.col(text)).alias("rest")).where("rest is not null")
-    pairs = asked.crossJoin(aliases.select("document_id", codes.alias_pattern(F.col("alias")).alias("p")))
+    sign = lambda c: F.get(codes.first_signs(c), F.lit(0)).alias("sign")
+    named = aliases.select("document_id", codes.alias_pattern(F.col("alias")).alias("p"), sign(F.col("alias")))
+    pairs = asked.select("*", sign(F.col("rest"))).join(named, "sign").drop("sign")
     pairs = pairs.withColumn("hit", F.expr("regexp_extract(rest, concat('^(?:', p, ')'), 0)")).where("hit <> ''")
     pairs = pairs.withColumn("after", F.expr("substring(rest, length(hit) + 1)"))
     number = F.regexp_extract("after", rf"(?iU)^[ \t\n\r\f\x0b  ]+([0-9]+(?:\s*\.\s*{codes.ARTICLE_PART}){{2,}}\s*\.?)(?![0-9a-z.])", 1)

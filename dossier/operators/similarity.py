@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_K, MIN_SCORE = 10, 0.50
-#: Questions that go to the executors at once.
-QUESTION_BLOCK = 2048
+#: Questions and chunks that one task compares.
+QUESTION_BLOCK, CHUNK_BLOCK = 2048, 16_384
 
 
 def is_valid_vector(v: Column) -> Column:
@@ -50,50 +50,69 @@ def top_k(chunks: DataFrame, query: list[float], *, chunk_id: str, embedding: st
     return rows.withColumn("score", cosine(F.col(embedding), q)).orderBy(F.desc_nulls_last("score"), chunk_id).limit(k)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k best, then by id."""
+    keep = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, keep, axis=1), np.take_along_axis(scores, keep, axis=1)
+
+
+def _units(column: pa.ChunkedArray | pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows that are not zero."""
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+    size = np.sqrt((x * x).sum(axis=1))
+    return ids[size > 0], x[size > 0] / size[size > 0, None]
+
+
+def _hits(names: np.ndarray, ids: np.ndarray, best: np.ndarray) -> dict:
+    n = ids.shape[1]
+    return {"q": pa.array(np.repeat(names, n), pa.int64()), "c": pa.array(ids.ravel(), pa.int64()), "score": pa.array(best.ravel(), pa.float64())}
+
+
+def _near_a_few(asked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """At most QUESTION_BLOCK questions go to every task; a task gives back its k best for each."""
+    got = asked.toArrow()
+    names, matrix = _units(got.column("v"), got.column("q").to_numpy())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for batch in batches:
+            if batch.num_rows and len(names):
+                c, x = _units(batch.column("v"), batch.column("c").to_numpy())
+                ids, best = _best(np.hstack([ids, np.broadcast_to(c, (len(names), len(c)))]), np.hstack([best, matrix @ x.T]), k)
+        yield pa.RecordBatch.from_pydict(_hits(names, ids, best))
+
+    return pairs.mapInArrow(scan, "q long, c long, score double")
+
+
+def _near_in_tiles(asked: DataFrame, pairs: DataFrame, n: int, k: int) -> DataFrame:
+    """Blocks of questions meet blocks of chunks, each pair of blocks in a task."""
+    q_tiles, c_tiles = math.ceil(n / QUESTION_BLOCK), max(1, math.ceil(pairs.count() / CHUNK_BLOCK))
+    every = lambda tiles: F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    left = asked.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(q_tiles)).cast("int").alias("qt"), every(c_tiles).alias("ct"))
+    right = pairs.select("c", "v", F.pmod(F.xxhash64("c"), F.lit(c_tiles)).cast("int").alias("ct"), every(q_tiles).alias("qt"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, matrix = _units(a.column("v"), a.column("q").to_numpy())
+        c, x = _units(b.column("v"), b.column("c").to_numpy())
+        if not (len(names) and len(c)):
+            return pa.table(_hits(names, np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))))
+        return pa.table(_hits(names, *_best(np.broadcast_to(c, (len(names), len(c))), matrix @ x.T, k)))
+
+    return left.groupBy("qt", "ct").cogroup(right.groupBy("qt", "ct")).applyInArrow(meet, "q long, c long, score double")
+
+
 def top_k_each(questions: DataFrame, chunks: DataFrame, *, question_id: str, chunk_id: str, embedding: str = "embedding", k: int = TOP_K) -> DataFrame:
     """Rows (question_id, chunk_id, score, rank): the k nearest chunks of every question.
 
-    Questions go out in blocks of a fixed size; a task scores its chunks against a block by one matrix product and
-    gives back its k best for each, so that what is shuffled grows with tasks, not with chunks. Zero and null vectors
-    are left out.
+    A task scores chunks against a block of questions by one matrix product and gives back its k best for each, so that
+    what is shuffled after it grows with tasks, not with chunks. Up to QUESTION_BLOCK questions travel to all tasks;
+    more of them meet the chunks in pairs of blocks. Zero and null vectors are left out.
     """
-    rows = questions.where(is_valid_vector(F.col(embedding))).select(F.col(question_id).alias("q"), _doubles(F.col(embedding)).alias("v")).orderBy("q")
-    pairs = chunks.where(is_valid_vector(F.col(embedding))).select(F.col(chunk_id).alias("c"), _doubles(F.col(embedding)).alias("v"))
-    found: DataFrame | None = None
-    block: list = []
-
-    def score(names: list, matrix: np.ndarray):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                size = np.sqrt((x * x).sum(axis=1))
-                x, c = x[size > 0] / size[size > 0, None], batch.column("c").to_numpy()[size > 0]
-                best = np.hstack([best, matrix @ x.T])
-                ids = np.hstack([ids, np.broadcast_to(c, (len(names), len(c)))])
-                keep = np.lexsort((ids, -best), axis=1)[:, :k]
-                ids, best = np.take_along_axis(ids, keep, axis=1), np.take_along_axis(best, keep, axis=1)
-            n = ids.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel()), pa.array(best.ravel())], names=["q", "c", "score"])
-
-        return pairs.mapInArrow(scan, "q long, c long, score double")
-
-    def add() -> None:
-        nonlocal found, block
-        vectors = np.array([r["v"] for r in block])
-        size = np.sqrt((vectors * vectors).sum(axis=1))
-        part = score(np.array([r["q"] for r in block])[size > 0], vectors[size > 0] / size[size > 0, None])
-        found, block = part if found is None else found.unionByName(part), []
-
-    for row in rows.toLocalIterator():
-        block.append(row)
-        if len(block) == QUESTION_BLOCK:
-            add()
-    if block or found is None:
-        block = block or [{"q": 0, "v": [0.0]}]
-        add()
+    asked = questions.where(is_valid_vector(F.col(embedding))).select(F.col(question_id).cast("long").alias("q"), _doubles(F.col(embedding)).alias("v"))
+    pairs = chunks.where(is_valid_vector(F.col(embedding))).select(F.col(chunk_id).cast("long").alias("c"), _doubles(F.col(embedding)).alias("v"))
+    n = asked.count()
+    found = _near_a_few(asked, pairs, k) if n <= QUESTION_BLOCK else _near_in_tiles(asked, pairs, n, k)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(question_id), F.col("c").alias(chunk_id), "score", "rank")

@@ -72,11 +72,13 @@ def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     return done.select("event_id", "minute_count", "hour_count", "allowed")
 
 
-@query("""SELECT event_id, coalesce(CASE event_id % 3 WHEN 0 THEN NULL ELSE CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 250) ELSE '10.1.1.1' END END, 'host') AS ip FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 7 IN (1, 2) THEN 'host' WHEN event_id % 7 = 3 THEN '2001:db8::' || (event_id % 10) WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 250) ELSE '10.1.1.1' END AS ip FROM events""")
 def client_address(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     mine = F.concat(F.lit("10.0.0."), (e % 250).cast("string"))
-    forwarded = F.when(e % 3 == 0, None).otherwise(F.when(e % 2 == 0, F.concat(F.lit("9.9.9.9, "), mine, F.lit(", 10.2.2.2"))).otherwise("10.1.1.1, 10.2.2.2"))
+    forged = F.when(e % 7 == 1, "10.0.0.256, 10.2.2.2").when(e % 7 == 2, "admin, 10.2.2.2").when(e % 7 == 3, F.concat(F.lit("2001:db8::"), (e % 10).cast("string"), F.lit(", 10.2.2.2")))
+    plain = F.when(e % 2 == 0, F.concat(F.lit("9.9.9.9, "), mine, F.lit(", 10.2.2.2"))).otherwise("10.1.1.1, 10.2.2.2")
+    forwarded = F.when(e % 3 == 0, None).otherwise(F.coalesce(forged, plain))
     return table(spark, d, "events").select("event_id", accounting.client_ip(forwarded, F.lit("host"), 2).alias("ip"))
 
 
@@ -102,9 +104,9 @@ def unchanged_multiset(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.unchanged(rows.drop("doc_id"), rows.where("doc_id % 40 <> 3").drop("doc_id"), key="source", content="hash")
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INTEGER AS chunk_order FROM documents")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS chunk_order FROM conversations")
 def chunk_order(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.with_chunk_order(table(spark, d, "documents").select("doc_id", "lang"), document="lang", order=["doc_id"]).drop("lang")
+    return lifecycle.with_chunk_order(table(spark, d, "conversations").select("conv_id", "turn"), document="conv_id", order=["turn"])
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
@@ -126,16 +128,16 @@ def chunk_problems(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.chunk_violations(rows, document="doc_id", article="article", text="text").drop("article")
 
 
-@query("""WITH RECURSIVE items AS (SELECT source, doc_id, ceil(n_chars / 4.0)::BIGINT AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-fold(source, k, b, n, used, batch) AS (
-  SELECT source, 0::BIGINT, 1, 0, 0::BIGINT, NULL::INT FROM (SELECT DISTINCT source FROM items)
-  UNION ALL SELECT f.source, i.k, CASE WHEN t > 2000 THEN b WHEN n >= 5 OR used + t > 2000 THEN b + 1 ELSE b END, CASE WHEN t > 2000 THEN n WHEN n >= 5 OR used + t > 2000 THEN 1 ELSE n + 1 END,
-    CASE WHEN t > 2000 THEN used WHEN n >= 5 OR used + t > 2000 THEN t ELSE used + t END, CASE WHEN t > 2000 THEN NULL WHEN n >= 5 OR used + t > 2000 THEN b + 1 ELSE b END
-  FROM fold f JOIN items i ON i.source = f.source AND i.k = f.k + 1)
-SELECT i.source, i.doc_id, i.t AS tokens, coalesce(f.batch, 0) AS batch FROM fold f JOIN items i ON f.source = i.source AND f.k = i.k""")
+@query("""WITH RECURSIVE items AS (SELECT conv_id, turn, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+fold(conv_id, k, b, n, used, batch) AS (
+  SELECT conv_id, 0::BIGINT, 1, 0, 0::BIGINT, NULL::INT FROM (SELECT DISTINCT conv_id FROM items)
+  UNION ALL SELECT f.conv_id, i.k, CASE WHEN t > 120 THEN b WHEN n >= 3 OR used + t > 120 THEN b + 1 ELSE b END, CASE WHEN t > 120 THEN n WHEN n >= 3 OR used + t > 120 THEN 1 ELSE n + 1 END,
+    CASE WHEN t > 120 THEN used WHEN n >= 3 OR used + t > 120 THEN t ELSE used + t END, CASE WHEN t > 120 THEN NULL WHEN n >= 3 OR used + t > 120 THEN b + 1 ELSE b END
+  FROM fold f JOIN items i ON i.conv_id = f.conv_id AND i.k = f.k + 1)
+SELECT i.conv_id, i.turn, i.t AS tokens, coalesce(f.batch, 0) AS batch FROM fold f JOIN items i ON f.conv_id = i.conv_id AND f.k = i.k""")
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("source", "doc_id", F.ceil(F.col("n_chars") / 4).alias("tokens"))
-    batches = accounting.embedding_batches(rows, group=["source"], order="doc_id", tokens="tokens", most=5, most_tokens=2000)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tokens"))
+    batches = accounting.embedding_batches(rows, group=["conv_id"], order="turn", tokens="tokens", most=3, most_tokens=120)
     return batches.withColumn("batch", F.coalesce("batch", F.lit(0)))
 
 
@@ -150,14 +152,14 @@ def daily_ingest_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 RANKS = """hits AS (SELECT a.vec_id AS case_id, a.label AS want, b.label AS got, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
-  FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND a.vec_id <> b.vec_id),
-results AS (SELECT case_id, CASE WHEN case_id % 7 = 0 THEN 'negative' WHEN case_id % 2 = 0 THEN 'exact' ELSE 'semantic' END AS type, min(rank) FILTER (rank <= 8 AND want = got) AS rank FROM hits GROUP BY case_id),
-judged AS (SELECT *, CASE WHEN type = 'negative' THEN case_id % 14 = 0 ELSE rank IS NOT NULL END AS correct FROM results)"""
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+results AS (SELECT case_id, CASE WHEN case_id // 50 % 7 = 0 THEN 'negative' WHEN case_id // 50 % 2 = 0 THEN 'exact' ELSE 'semantic' END AS type, min(rank) FILTER (rank <= 8 AND want = got) AS rank FROM hits GROUP BY case_id),
+judged AS (SELECT *, CASE WHEN type = 'negative' THEN case_id // 50 % 14 = 0 ELSE rank IS NOT NULL END AS correct FROM results)"""
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id < 40").select(F.col("vec_id").alias("case_id"), "embedding")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), "embedding")
     near = similarity.top_k_each(asked, rows, question_id="case_id", chunk_id="vec_id", k=9).where("case_id <> vec_id")
     from pyspark.sql import Window
 
@@ -165,9 +167,10 @@ def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     near = near.withColumn("rank", place).where("rank <= 8")
     label = rows.select("vec_id", F.col("label").cast("string").alias("article"))
     hits = near.join(label, "vec_id").withColumn("document_id", F.lit("d"))
-    expected = rows.where("vec_id < 40").select(F.col("vec_id").alias("case_id"), F.lit("d").alias("document_id"), F.col("label").cast("string").alias("article"))
-    kind = F.when(F.col("case_id") % 7 == 0, "negative").when(F.col("case_id") % 2 == 0, "exact").otherwise("semantic")
-    status = F.when((F.col("case_id") % 7 == 0) & (F.col("case_id") % 14 == 0), "not_found").otherwise("found")
+    expected = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.lit("d").alias("document_id"), F.col("label").cast("string").alias("article"))
+    number = F.floor(F.col("case_id") / 50)
+    kind = F.when(number % 7 == 0, "negative").when(number % 2 == 0, "exact").otherwise("semantic")
+    status = F.when(number % 14 == 0, "not_found").otherwise("found")
     cases = asked.select("case_id", kind.alias("type"), status.alias("status"))
     return evaluation.judged(cases, evaluation.first_rank(hits, expected)), expected
 
@@ -195,9 +198,9 @@ def outcome_distribution(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.distribution(table(spark, d, "conversations"), "role")
 
 
-@query("SELECT event_id, event_id % 5 <> 0 OR row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 50 AS allowed FROM (SELECT * FROM events WHERE event_type = 'error' AND event_id % 5 = 0) UNION ALL SELECT event_id, false FROM events WHERE event_type <> 'error' AND event_id % 5 = 0")
+@query("SELECT event_id, event_type = 'error' AND row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 50 AS allowed FROM events")
 def cost_caps(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where("event_id % 5 = 0").select("event_id", "event_type")
+    rows = table(spark, d, "events").select("event_id", "event_type")
     return evaluation.within_cap(rows, order=["event_id"], kind="event_type", caps={"error": 50}).drop("event_type")
 
 

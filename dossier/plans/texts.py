@@ -201,37 +201,44 @@ def consolidate(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
-@query("""SELECT p_size AS gid, min(chr((944 + p_size + CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END)::INT)) AS char FROM part WHERE p_size % 4 <> 1 GROUP BY p_size HAVING count(DISTINCT p_size + CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END) = 1""")
+@query("""SELECT p_size * 2 AS gid, min(chr((944 + p_size * 2 + CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END)::INT)) AS char FROM part GROUP BY p_size HAVING count(DISTINCT CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END) = 1""")
 def proxy_learn(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.learned(_observed(spark, d))
 
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
-    code = 944 + F.col("p_size") + F.when(F.col("p_size") % 10 == 0, F.col("p_partkey") % 2).otherwise(0)
-    return table(spark, d, "part").where("p_size % 4 <> 1").select(F.col("p_size").alias("gid"), glyphs._character(code).alias("char"))
+    """Glyphs with even numbers only; some show two characters."""
+    code = 944 + F.col("p_size") * 2 + F.when(F.col("p_size") % 10 == 0, F.col("p_partkey") % 2).otherwise(0)
+    return table(spark, d, "part").select((F.col("p_size") * 2).alias("gid"), glyphs._character(code).alias("char"))
 
 
-@query("""WITH obs AS (SELECT p_size AS g, 944 + p_size + CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END AS c FROM part WHERE p_size % 4 <> 1),
+@query("""WITH obs AS (SELECT p_size * 2 AS g, 944 + p_size * 2 + CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END AS c FROM part),
 known AS (SELECT g, min(c) AS c, lead(g) OVER (ORDER BY g) AS ng, lead(min(c)) OVER (ORDER BY g) AS nc FROM obs GROUP BY g HAVING count(DISTINCT c) = 1)
 SELECT g AS gid, chr(c::INT) AS char FROM known UNION ALL SELECT g + i, chr((c + i)::INT) FROM known, range(1, 8) t(i) WHERE ng - g BETWEEN 2 AND 8 AND nc - c = ng - g AND i < ng - g""")
 def proxy_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.interpolated(glyphs.learned(_observed(spark, d))).withColumn("gid", F.col("gid").cast("long"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id AS page, event_id, CASE WHEN event_id % 3 = 0 THEN 10.0::DOUBLE ELSE 7.0::DOUBLE END AS size, value % 3 AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+fold(page, k, s, b, script) AS (
+  SELECT page, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR FROM (SELECT DISTINCT page FROM l)
+  UNION ALL SELECT f.page, l.k, CASE WHEN s IS NULL OR size >= s * 0.85 THEN size ELSE s END, CASE WHEN s IS NULL OR size >= s * 0.85 THEN y ELSE b END,
+    CASE WHEN s IS NULL OR size >= s * 0.85 THEN NULL WHEN y > b + 0.5 THEN 'sub' WHEN y < b - 0.5 THEN 'sup' END
+  FROM fold f JOIN l ON l.page = f.page AND l.k = f.k + 1)
+SELECT l.page, l.event_id, l.size, l.y, f.script FROM l JOIN fold f ON l.page = f.page AND l.k = f.k""")
 def span_scripts(spark: SparkSession, d: str) -> DataFrame:
     spans = table(spark, d, "events").select(F.col("user_id").alias("page"), "event_id", F.when(F.col("event_id") % 3 == 0, 10.0).otherwise(7.0).alias("size"), (F.col("value") % 3).alias("y"))
     return glyphs.scripts(spans, page="page", order="event_id", size="size", y="y")
 
 
-@query("""WITH p AS (SELECT user_id AS page, event_id AS point, (event_id % 50)::DOUBLE AS x, (event_id % 20)::DOUBLE AS y FROM events WHERE event_id % 5 = 0),
-b AS (SELECT user_id AS page, event_id AS box, (event_id % 45)::DOUBLE AS x0, (event_id % 45 + 4)::DOUBLE AS x1, (event_id % 18)::DOUBLE AS y0, (event_id % 18 + 2)::DOUBLE AS y1 FROM events WHERE event_id % 5 = 1),
+@query("""WITH p AS (SELECT user_id AS page, event_id AS point, (event_id % 50)::DOUBLE AS x, (event_id % 20)::DOUBLE AS y FROM events),
+b AS (SELECT user_id AS page, event_id AS box, (event_id % 45)::DOUBLE AS x0, (event_id % 45 + 4)::DOUBLE AS x1, (event_id % 18)::DOUBLE AS y0, (event_id % 18 + 2)::DOUBLE AS y1 FROM events),
 r AS (SELECT page, point, box, row_number() OVER (PARTITION BY page, point ORDER BY abs(y - (y0 + y1) / 2) > 6, pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(y0 - y, 0, y - y1), 2), pow(x - (x0 + x1) / 2, 2) + pow(y - (y0 + y1) / 2, 2), box) AS n FROM p JOIN b USING (page))
 SELECT page, point, box FROM r WHERE n = 1""")
 def nearest_span(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     dbl = lambda c: c.cast("double")
     e = F.col("event_id")
-    points = events.where("event_id % 5 = 0").select(F.col("user_id").alias("page"), e.alias("point"), dbl(e % 50).alias("x"), dbl(e % 20).alias("y"))
-    boxes = events.where("event_id % 5 = 1").select(F.col("user_id").alias("page"), e.alias("box"), dbl(e % 45).alias("x0"), dbl(e % 45 + 4).alias("x1"), dbl(e % 18).alias("y0"), dbl(e % 18 + 2).alias("y1"))
+    points = events.select(F.col("user_id").alias("page"), e.alias("point"), dbl(e % 50).alias("x"), dbl(e % 20).alias("y"))
+    boxes = events.select(F.col("user_id").alias("page"), e.alias("box"), dbl(e % 45).alias("x0"), dbl(e % 45 + 4).alias("x1"), dbl(e % 18).alias("y0"), dbl(e % 18 + 2).alias("y1"))
     return glyphs.nearest_span(points, boxes, page="page", point="point", box="box")

@@ -10,22 +10,25 @@ from dossier.operators.lifecycle import metadata_violations
 
 METADATA = "document_id string, source_key string, official_code string, title string, year int, status string"
 GOLD = "id string, type string, question string, expected array<struct<document_id:string,article:string>>"
+GOLD_KEYS = ("id", "type", "question", "expected")
 MAX_CASES = 36
 
 
 def read_collection(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(documents with text, rejected folders with what is wrong). Each folder under ``root`` whose name does not begin
-    with an underscore has a metadata.json and an extracted.txt."""
+    with an underscore has a metadata.json and an extracted.txt; one that lacks either is rejected."""
     folder = F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1)
     found = spark.read.schema(METADATA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").json(root)
     found = found.withColumn("folder", folder).where(~F.col("folder").startswith("_"))
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "extracted.txt").text(root, wholetext=True)
-    texts = texts.select(folder.alias("folder"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    texts = texts.select(folder.alias("folder"), F.regexp_replace("value", "^﻿", "").alias("text")).where(~F.col("folder").startswith("_"))
+    lacking = found.select("folder").join(texts.select("folder"), "folder", "left_anti").select("folder", F.array(F.lit("extracted.txt")).alias("problems"))
+    lacking = lacking.unionByName(texts.select("folder").join(found.select("folder"), "folder", "left_anti").select("folder", F.array(F.lit("metadata.json")).alias("problems")))
     rows = found.join(texts, "folder")
     wrong = metadata_violations(rows.withColumn("document_id", F.coalesce("document_id", "folder")))
     bad = wrong.groupBy(F.col("document_id").alias("__id")).agg(F.array_sort(F.collect_list("field")).alias("problems"))
     keyed = rows.withColumn("__id", F.coalesce("document_id", "folder"))
-    return keyed.join(bad, "__id", "left_anti").drop("__id"), keyed.join(bad, "__id").select("folder", "problems")
+    return keyed.join(bad, "__id", "left_anti").drop("__id"), keyed.join(bad, "__id").select("folder", "problems").unionByName(lacking)
 
 
 def not_yet_extracted(spark: SparkSession, root: str, done: DataFrame, pattern: str = "*.pdf") -> DataFrame:
@@ -55,13 +58,39 @@ def replace_documents(chunks: DataFrame, path: str, document: str = "document_id
     chunks.repartition(document).write.partitionBy(document).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+PENDING, APPROVED = "indexed_pending_validation", "approved"
+
+
 def append_new(chunks: DataFrame, existing: DataFrame, path: str, document: str = "document_id") -> DataFrame:
-    """Append chunks of documents that are not there yet, and return those rows."""
+    """Append chunks of documents that are not there yet, and return those rows. A new document is always pending,
+    whatever its rows say of their status."""
     fresh = chunks.join(existing.select(document).distinct(), document, "left_anti")
+    fresh = fresh.withColumn("status", F.lit(PENDING)) if "status" in fresh.columns else fresh
     fresh.write.partitionBy(document).mode("append").parquet(path)
     return fresh
 
 
+def replace_pending(chunks: DataFrame, documents: DataFrame, path: str, document: str = "document_id") -> DataFrame:
+    """Replace the chunks of documents that are still pending. Returns rows (document, status) of those that were
+    refused: not pending, or not known (null)."""
+    known = documents.select(document, F.col("status").alias("__now"))
+    rows = chunks.join(known, document, "left")
+    replace_documents(rows.where(F.col("__now") == PENDING).drop("__now"), path, document)
+    return rows.where(~F.col("__now").eqNullSafe(F.lit(PENDING))).select(document, F.col("__now").alias("status")).distinct()
+
+
+def replace_approved(chunks: DataFrame, current: DataFrame, judged: DataFrame, documents: DataFrame, path: str, backup_path: str, document: str = "document_id") -> DataFrame:
+    """Replace the chunks of approved documents that pass the gate (``judged``: document, passes), after the chunks
+    they have now were written to ``backup_path``, where nothing may be yet. Returns rows (document, passes, status) of
+    those that were refused; without a verdict or without approval a document is refused."""
+    verdict = chunks.select(document).distinct().join(judged.select(document, "passes"), document, "left").join(documents.select(document, "status"), document, "left")
+    good = F.coalesce(F.col("passes") & (F.col("status") == APPROVED), F.lit(False))
+    ready = verdict.where(good).select(document)
+    backup(current.join(ready, document, "left_semi"), backup_path)
+    replace_documents(chunks.join(ready, document, "left_semi"), path, document)
+    return verdict.where(~good)
+
+
 def backup(table: DataFrame, path: str, as_text: tuple[str, ...] = ("embedding",)) -> int:
     """Write a table as JSON, arrays as text, and return its number of rows. An existing backup is not replaced."""
     rows = table.withColumns({c: F.to_json(c) for c in as_text if c in table.columns})
@@ -75,19 +104,39 @@ def restore(spark: SparkSession, path: str, schema: str, vectors: tuple[str, ...
     return rows.withColumns({c: F.from_json(c, "array<float>") for c in vectors if c in rows.columns})
 
 
+def restore_problems(rows: DataFrame, documents: DataFrame, fields: list[str], document: str = "document_id") -> DataFrame:
+    """Rows (document, problem) of a backup that may not be restored: a document that is not known, or whose ``fields``
+    are not those of the rows (identity), rows without a text or a content hash, and hashes of other texts."""
+    now = documents.select(document, *(F.col(f).alias(f"__{f}") for f in fields), F.lit(True).alias("__known"))
+    joined = rows.join(now, document, "left")
+    differs = F.lit(False)
+    for f in fields:
+        differs = differs | ~F.col(f).eqNullSafe(F.col(f"__{f}"))
+    problem = (
+        F.when(F.col("__known").isNull(), "unknown_document")
+        .when(differs, "identity")
+        .when(F.col("text").isNull() | F.col("content_hash").isNull(), "missing_field")
+        .when(F.md5("text") != F.col("content_hash"), "content_hash")
+    )
+    return joined.select(document, problem.alias("problem")).where("problem is not null").distinct()
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """A report, once; the commit protocol makes it appear whole or not at all."""
-    report.write.mode("errorifexists").json(path)
+    """A report, once, in one file; the commit protocol makes it appear whole or not at all. Reports are small."""
+    report.coalesce(1).write.mode("errorifexists").json(path)
 
 
 def read_gold(spark: SparkSession, path: str, limit: int = MAX_CASES) -> tuple[DataFrame, DataFrame]:
     """(cases with normalised articles, violations as rows (id, problem)) of a gold set, one JSON case a line."""
-    cases = spark.read.schema(GOLD + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", GOLD + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    cases = lines.select(parsed.alias("c"), F.coalesce(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, GOLD_KEYS))), F.array().cast("array<string>")).alias("_extra")).select("c.*", "_extra")
     key = lambda e: F.struct(e["document_id"].alias("document_id"), article_key(e["article"]).alias("article"))
     normal = cases.withColumn("expected", F.transform("expected", key))
     negative = F.col("type") == "negative"
     checks = {
         "not_json": F.col("_corrupt").isNotNull(),
+        "extra_key": F.size("_extra") > 0,
         "id": F.coalesce(collapse_spaces(F.col("id")) == "", F.lit(True)),
         "type": ~F.coalesce(F.col("type").isin("exact", "semantic", "negative"), F.lit(False)),
         "question": F.coalesce(collapse_spaces(F.col("question")) == "", F.lit(True)),
@@ -97,7 +146,7 @@ def read_gold(spark: SparkSession, path: str, limit: int = MAX_CASES) -> tuple[D
     per_case = normal.select("id", F.explode(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in checks.items())))).alias("problem"))
     repeated = normal.groupBy("id").count().where("count > 1").select("id", F.lit("repeated").alias("problem"))
     total = normal.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(F.lit(None).cast("string").alias("id"), F.lit("too_many").alias("problem"))
-    return normal.drop("_corrupt"), per_case.unionByName(repeated).unionByName(total)
+    return normal.drop("_corrupt", "_extra"), per_case.unionByName(repeated).unionByName(total)
 
 
 def manifest_violations(cases: DataFrame, wanted: dict[str, int]) -> DataFrame:

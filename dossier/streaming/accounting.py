@@ -25,9 +25,13 @@ def events_of(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now, and return what it wrote. Output and progress are in the folder that the
-    cluster names in spark.checkpoint.dir; only where none is set, as in tests, in one of our own."""
+    cluster names in spark.checkpoint.dir. Where none is named, a local session (tests) takes a folder of its own, and any
+    other is refused."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-stream-")
     where = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
