@@ -133,10 +133,15 @@ def without_chapter_lines(lines: DataFrame, doc: str) -> DataFrame:
     return kept.where(~plus & ~F.col("line").rlike(CHAPTER_LINE) & ~F.col("line").rlike(SECTION_LINE)).drop("__next")
 
 
-def _bare_lines(lines: Column, reach: int = HEADER_REACH) -> Column:
-    """``without_headers`` for an array of lines: a text with a sign for each line's kind tells what is near a number."""
+def _line_kinds(lines: Column) -> Column:
+    """A text with a sign for each line: header, blank, page number or other."""
     kind = lambda x: F.when(x.rlike(HEADER), "H").when(x.rlike(r"(?U)^\s*$"), "B").when(x.rlike(r"(?U)^\s*\d{1,4}\s*$"), "P").otherwise("O")
-    kinds = F.array_join(F.transform(lines, kind), "")
+    return F.array_join(F.transform(lines, kind), "")
+
+
+def _bare_lines(lines: Column, kinds: Column, reach: int = HEADER_REACH) -> Column:
+    """``without_headers`` for an array of lines. ``kinds`` is a column of its own: within the filter it would be made
+    anew for each line."""
 
     def stays(_: Column, i: Column) -> Column:
         before = F.substring(kinds, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
@@ -151,16 +156,16 @@ def _toc_end(text: Column, dotted: bool) -> Column:
     """Where the first table of contents of one style ends, as ``without_toc`` says; null without one. A fold over the
     lines, in order, and only of texts that hold enough entries."""
     span = 1 if dotted else 2
-    early = F.floor(F.length(text) * TOC_SHARE)
     lines = F.split(text, "\n")
     following = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(None).cast("string")))
     blank = lambda c: c.rlike(r"(?U)^\s*$")
-    zero = F.struct(*(F.lit(0).cast("int").alias(n) for n in ("at", "entries", "end", "others", "skip")), F.lit(None).cast("int").alias("cut"))
+    early = F.floor(F.length(text) * TOC_SHARE).cast("long")  # once, in the state
+    zero = F.struct(*(F.lit(0).cast("int").alias(n) for n in ("at", "entries", "end", "others", "skip")), F.lit(None).cast("int").alias("cut"), early.alias("early"))
 
     def step(a: Column, x: Column) -> Column:
         line, after = x["l"], x["n"]
         entry = line.rlike(DOTTED_ENTRY) if dotted else line.rlike(TITLE_ENTRY) & F.coalesce(after.rlike(r"(?U)^\s*\d{1,4}\s*$"), F.lit(False))
-        entry = entry & (a["at"] < early)
+        entry = entry & (a["at"] < a["early"])
         stop = a["at"] + F.length(line) + 1
         end = stop if dotted else stop + F.length(after) + 1
         new = (a["others"] > TOC_GAP) & (a["entries"] > 0)
@@ -173,6 +178,7 @@ def _toc_end(text: Column, dotted: bool) -> Column:
             F.when(entry, 0).otherwise(a["others"] + counts).alias("others"),
             F.when(entry, span - 1).otherwise(F.greatest(a["skip"] - 1, F.lit(0))).alias("skip"),
             F.when(entry, closed).otherwise(a["cut"]).alias("cut"),
+            a["early"].alias("early"),
         )
 
     found = F.aggregate(F.arrays_zip(lines.alias("l"), following.alias("n")), zero, step, lambda a: F.coalesce(a["cut"], F.when(a["entries"] >= TOC_ENTRIES, a["end"])))
@@ -195,11 +201,11 @@ def _other_lines(lines: Column) -> Column:
 def clean_text(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """Everything that comes before markers are looked for. A document's lines are an array in its row, so that nothing
     is shuffled."""
-    rows = texts.select(doc, F.split(fix_pdf_substitutions(F.col(text)), "\n").alias("lines"))
-    rows = rows.select(doc, without_colophon(F.array_join(_bare_lines(F.col("lines")), "\n")).alias("text"))
+    rows = texts.select(doc, F.split(fix_pdf_substitutions(F.col(text)), "\n").alias("lines")).withColumn("kinds", _line_kinds(F.col("lines")))
+    rows = rows.select(doc, F.array_join(_bare_lines(F.col("lines"), F.col("kinds")), "\n").alias("text")).select(doc, without_colophon(F.col("text")).alias("text"))
     cut = F.greatest(_toc_end(F.col("text"), True), _toc_end(F.col("text"), False))
-    rows = rows.select(doc, F.substring(F.col("text"), F.coalesce(cut, F.lit(0)) + 1, F.length("text")).alias("text"))
-    return rows.select(doc, F.array_join(_other_lines(F.split("text", "\n")), "\n").alias("text"))
+    rows = rows.select(doc, F.split(F.substring(F.col("text"), F.coalesce(cut, F.lit(0)) + 1, F.length("text")), "\n").alias("lines"))
+    return rows.select(doc, F.array_join(_other_lines(F.col("lines")), "\n").alias("text"))
 
 
 MATCH = ArrayType(StructType([StructField(n, IntegerType() if n in ("start", "stop", "num_stop") else StringType()) for n in ("kind", "start", "stop", "num", "num_stop", "title", "before", "after", "next")]))
@@ -474,8 +480,8 @@ def chunk_statistics(segs: DataFrame, doc: str) -> DataFrame:
 
 def removed_lines(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """Rows (doc, headers, toc_entries): header and page lines that cleaning drops, and lines of the table of contents."""
-    rows = texts.select(doc, F.split(fix_pdf_substitutions(F.col(text)), "\n").alias("lines"))
-    rows = rows.select(doc, F.size("lines").alias("__all"), _bare_lines(F.col("lines")).alias("bare"))
+    rows = texts.select(doc, F.split(fix_pdf_substitutions(F.col(text)), "\n").alias("lines")).withColumn("kinds", _line_kinds(F.col("lines")))
+    rows = rows.select(doc, F.size("lines").alias("__all"), _bare_lines(F.col("lines"), F.col("kinds")).alias("bare"))
     rows = rows.select(doc, (F.col("__all") - F.size("bare")).alias("headers"), without_colophon(F.array_join("bare", "\n")).alias("text"))
     cut = F.coalesce(F.greatest(_toc_end(F.col("text"), True), _toc_end(F.col("text"), False)), F.lit(0))
     before = F.split(F.substring(F.col("text"), F.lit(1), cut), "\n")
