@@ -94,10 +94,6 @@ def test_stages_take_empty_tables(spark, folder, tmp_path):
         assert made.count() == 0 and (name == "sharding" or made.columns == none.columns)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_query_runs_and_agrees_with_its_sql(name, spark, oracle, same):
-    got = queries.QUERIES[name](spark, f"{TESTDATA}/sf0.001").toPandas()
-    if name in queries.ORACLES:
-        same(got, oracle(queries.ORACLES[name]))
-    else:
-        assert len(got) and len(got.columns)
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_agrees_with_its_sql(name, spark, oracle, same):
+    same(queries.QUERIES[name](spark, f"{TESTDATA}/sf0.001").toPandas(), oracle(queries.ORACLES[name]))
