@@ -103,9 +103,12 @@ def _tile_pairs(placed: DataFrame, threshold: float, dim: int, tile: int | None)
     for i in range(len(lo)):
         gap = np.maximum(0, np.maximum(lo[i] - hi, lo - hi[i]))
         near += [(i, int(j)) for j in np.nonzero((gap * gap).sum(axis=1) <= reach * reach)[0]]
-    layout = spark.createDataFrame([(r["cell"], int(f), p) for r, f, p in zip(cells, first, parts, strict=False)], "cell int, first int, parts int")
     partners = spark.createDataFrame(near, "own int, other int")
-    owned = celled.join(layout, "cell").withColumn("own", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    if len(cells) > 1:
+        layout = spark.createDataFrame([(r["cell"], int(f), p) for r, f, p in zip(cells, first, parts, strict=False)], "cell int, first int, parts int")
+        owned = celled.join(layout, "cell").withColumn("own", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    else:  # a join on the one cell would be a cross join
+        owned = celled.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(parts[0] if parts else 1)).cast("int"))
     rows = owned.select("own", "rep", "n", "embedding").join(partners, "own")
     pair = F.least("own", "other").cast("long") * len(lo) + F.greatest("own", "other")
     return rows.select(pair.alias("pair"), "own", "other", (F.col("own") > F.col("other")).alias("second"), "rep", "n", "embedding")
