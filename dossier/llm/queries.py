@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dossier.llm.bpe import op13_byte_bpe
 from dossier.llm.chat import OP2_SQL, op2_chat_format
 from dossier.llm.debruijn import op5_word_repeats
 from dossier.llm.decontam import op4_template_leaks
@@ -26,6 +27,7 @@ QUERIES = {
         op8_merkle_audit,
         op9_hash_tree_shards,
         op10_pca_tiles,
+        op13_byte_bpe,
     )
 }
 ORACLES = {"op2_chat_format": OP2_SQL, "op3_weighted_mix": OP3_SQL, "op8_merkle_audit": OP8_SQL, "op10_pca_tiles": OP10_SQL}
