@@ -8,6 +8,7 @@ from dossier.llm.debruijn import op5_word_repeats
 from dossier.llm.decontam import op4_template_leaks
 from dossier.llm.mixing import OP3_SQL, op3_weighted_mix
 from dossier.llm.quality import op6_byte_quality
+from dossier.llm.ranking import OP12_SQL, op12_treap_search
 from dossier.llm.sharding import op9_hash_tree_shards
 from dossier.llm.simhash import op1_simhash
 from dossier.llm.suffixes import op7_byte_repeats
@@ -27,7 +28,14 @@ QUERIES = {
         op8_merkle_audit,
         op9_hash_tree_shards,
         op10_pca_tiles,
+        op12_treap_search,
         op13_byte_bpe,
     )
 }
-ORACLES = {"op2_chat_format": OP2_SQL, "op3_weighted_mix": OP3_SQL, "op8_merkle_audit": OP8_SQL, "op10_pca_tiles": OP10_SQL}
+ORACLES = {
+    "op2_chat_format": OP2_SQL,
+    "op3_weighted_mix": OP3_SQL,
+    "op8_merkle_audit": OP8_SQL,
+    "op10_pca_tiles": OP10_SQL,
+    "op12_treap_search": OP12_SQL,
+}
