@@ -7,6 +7,7 @@ from dossier.llm.chat import OP2_SQL, op2_chat_format
 from dossier.llm.debruijn import op5_word_repeats
 from dossier.llm.decontam import op4_template_leaks
 from dossier.llm.mixing import OP3_SQL, op3_weighted_mix
+from dossier.llm.phrases import OP11_SQL, op11_collocations
 from dossier.llm.quality import op6_byte_quality
 from dossier.llm.ranking import OP12_SQL, op12_treap_search
 from dossier.llm.sharding import op9_hash_tree_shards
@@ -28,6 +29,7 @@ QUERIES = {
         op8_merkle_audit,
         op9_hash_tree_shards,
         op10_pca_tiles,
+        op11_collocations,
         op12_treap_search,
         op13_byte_bpe,
     )
@@ -37,5 +39,6 @@ ORACLES = {
     "op3_weighted_mix": OP3_SQL,
     "op8_merkle_audit": OP8_SQL,
     "op10_pca_tiles": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_treap_search": OP12_SQL,
 }
