@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Ranks = dict[bytes, int]
 
-#: Distinct pieces whose ids a task remembers, and bytes of the longest such piece; beyond these pieces are merged again.
-REMEMBERED, SHORT = 1 << 17, 64
+#: Distinct pieces whose ids a task remembers, twice, and bytes of the longest such piece; beyond these pieces are merged again.
+REMEMBERED, SHORT = 1 << 18, 64
 #: Bytes of a rank file at most, for every executor holds it.
 FILE_BYTES = 64 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -102,27 +102,30 @@ class MergeTree:
 
 
 class Codec:
-    """Encodes and decodes with the ranks of one file; ids of pieces that come again are remembered."""
+    """Encodes and decodes with the ranks of one file. Ids of pieces that come again are remembered; when a memory is full,
+    it becomes the old one, from which only pieces that come again move on."""
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.longest, self.beyond = ranks, max(map(len, ranks)), max(ranks.values()) + 1
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.tokens = {rank: token for token, rank in ranks.items()}
 
     def piece_ids(self, piece: str) -> list[int]:
+        found = self.old.get(piece)
         data = piece.encode()
-        whole = self.ranks.get(data)  # a whole token is itself, whether or not merges lead there
-        found = MergeTree(data, self.ranks, self.longest, self.beyond).ids() if whole is None else [whole]
+        if found is None:
+            whole = self.ranks.get(data)  # a whole token is itself, whether or not merges lead there
+            found = MergeTree(data, self.ranks, self.longest, self.beyond).ids() if whole is None else [whole]
         if len(data) <= SHORT:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.old = {}, self.known
             self.known[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
-        known = self.known.get
-        return list(chain.from_iterable([known(p) or self.piece_ids(p) for p in self.split(text)]))
+        return list(chain.from_iterable([self.known.get(p) or self.piece_ids(p) for p in self.split(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
