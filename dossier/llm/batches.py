@@ -68,8 +68,8 @@ class Packed:
     tasks: int
 
 
-def pack_documents(docs: DataFrame, *, doc_id: str, text: str, part_bytes: int = PART_BYTES) -> Packed:
-    """Null texts are packed as empty ones."""
+def pack_documents(docs: DataFrame, *, doc_id: str, text: str, part_bytes: int = PART_BYTES, total: int | None = None) -> Packed:
+    """Null texts are packed as empty ones. ``total``: about how many bytes all texts have, if that is known."""
 
     def pack(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, made = [], [], 0, 0
@@ -90,7 +90,8 @@ def pack_documents(docs: DataFrame, *, doc_id: str, text: str, part_bytes: int =
             yield row()
 
     rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = rows.mapInArrow(pack, "batch_id long, payload binary")
     tasks = max(1, math.ceil(total / TASK_BYTES))
     return Packed(_kept_as_dealt(packed.repartition(tasks, "batch_id")), max(1, math.ceil(total / part_bytes)), tasks)

@@ -8,10 +8,11 @@ from collections.abc import Callable
 import duckdb
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.batches import Batch, Columns, Packed, answer, ask, gather, pack_documents, visit
+from dossier.llm.batches import Batch, Columns, Packed, answer, ask, gather, pack_documents, unplanes, visit
 from dossier.llm.debruijn import KEY_ANSWER, Words, may_repeat, mixed, word_hashes
 from dossier.llm.durable import durable, stored
 from dossier.llm.graph import hot_join, spread_join
@@ -85,12 +86,17 @@ def count_question(h: np.ndarray, weight: np.ndarray, parts: int) -> tuple[np.nd
     return part, {"part": part.astype(np.uint32), "key": key, "weight": weight}
 
 
-def frequent_keys(asked: Columns, least: int) -> np.ndarray:
-    """The keys of a bucket whose weights sum up to ``least``; duckdb spills what exceeds its memory and clears it away."""
-    rows = pa.table({"key": asked["key"], "weight": asked["weight"]})
+def _in_duckdb(rows: pa.Table, query: str, least: int) -> pa.Table:
+    """A query over the table ``asked``; duckdb spills what exceeds its memory to the task's disk, and clears it away."""
     with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"memory_limit": BUCKET_MEMORY, "threads": 1, "temp_directory": spill, "preserve_insertion_order": False}) as db:
         db.register("asked", rows)
-        return db.execute("SELECT key FROM asked GROUP BY key HAVING sum(weight) >= ?", [least]).fetchnumpy()["key"]
+        return db.sql(query, params=[least]).to_arrow_table()
+
+
+def frequent_keys(asked: Columns, least: int) -> np.ndarray:
+    """The keys of a bucket whose weights sum up to ``least``."""
+    rows = pa.table({"key": asked["key"], "weight": asked["weight"]})
+    return _in_duckdb(rows, "SELECT key FROM asked GROUP BY key HAVING sum(weight) >= ?", least)["key"].to_numpy()
 
 
 def _ask_counts(packed: Packed, known: DataFrame | None, grams: Callable, least: int) -> DataFrame:
@@ -110,12 +116,30 @@ def _ask_counts(packed: Packed, known: DataFrame | None, grams: Callable, least:
     return durable(answer(packed, questions, COUNT_FIELDS, reply, KEY_ANSWER))
 
 
-PHRASES = "tag string, phrase string, words int, weight long"
+PHRASES = "tag string, phrase string, a long"
+TEXT_FIELDS = {"size": np.uint32, "weight": np.int64}
 
 
-def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    offsets = np.r_[0, np.cumsum(end - start)].astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(gather(data, start, end - start))])
+def _tagged(grams: Grams, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of n-grams, each after its tag and a space: bytes, starts and sizes."""
+    tag = grams.tag[at]
+    start = np.stack([grams.start[tag], grams.start[at]], axis=1)
+    end = np.stack([grams.end[tag] + 1, grams.end[at + n - 1]], axis=1)
+    size = end - start
+    both = size.sum(axis=1)
+    return gather(grams.batch.data, start.ravel(), size.ravel()), np.cumsum(both) - both, both
+
+
+def counted_texts(bucket: pa.Table, least: int) -> pa.Table:
+    """PHRASES of a bucket, by their texts: those that occur ``least`` times."""
+    sizes = np.concatenate([unplanes(b, np.uint32) for b in bucket.column("size").to_pylist()])
+    weight = np.concatenate([unplanes(b, np.int64) for b in bucket.column("weight").to_pylist()])
+    texts = b"".join(map(zstandard.decompress, bucket.column("text").to_pylist()))
+    offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    rows = pa.table({"text": pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(texts)]), "weight": weight})
+    query = "SELECT text, sum(weight)::BIGINT AS a FROM asked GROUP BY text HAVING sum(weight) >= ?"
+    found = _in_duckdb(rows, f"SELECT text[:strpos(text, ' ') - 1] AS tag, text[strpos(text, ' ') + 1:] AS phrase, a FROM ({query})", least)
+    return found.cast(pa.schema([("tag", pa.string()), ("phrase", pa.string()), ("a", pa.int64())]))
 
 
 def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -154,10 +178,10 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
         found = [(runs(grams, pair, n), n) for n in range(3, longest + 1)]
         return np.concatenate([np.zeros(0, U), *(grams.hashes(at, n) for at, n in found)]), np.concatenate([np.zeros(0, np.int64), *(grams.weights(at) for at, _ in found)])
 
-    def named(batch: Batch, known: Columns) -> pa.Table:
+    def named(batch: Batch, known: Columns):
         grams, other = Grams(batch), Grams(batch, 1)
-        tables = []
         pair = np.zeros(len(grams.word), bool)
+        found = []
         for n in range(1, longest + 1):
             at = grams.places(n) if n < 3 else runs(grams, pair, n)
             at = at[may_repeat(grams.hashes(at, n), parts, known)]
@@ -165,14 +189,13 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
                 pair[at] = True
             h, g = grams.hashes(at, n), other.hashes(at, n)  # phrases of a batch are told by 128 bits
             order = np.lexsort((g, h))
-            h, g = h[order], g[order]
+            h, g, at = h[order], g[order], at[order]
             starts = np.nonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])[0] if len(h) else np.zeros(0, int)
-            weight = np.add.reduceat(grams.weights(at)[order], starts) if len(h) else np.zeros(0, np.int64)
-            at = at[order][starts]
-            tag, data = grams.tag[at], batch.data
-            columns = [_texts(data, grams.start[tag], grams.end[tag]), _texts(data, grams.start[at], grams.end[at + n - 1]), pa.array(np.full(len(at), n, np.int32)), pa.array(weight)]
-            tables.append(pa.Table.from_arrays(columns, names=["tag", "phrase", "words", "weight"]))
-        return pa.concat_tables(tables)
+            weight = np.add.reduceat(grams.weights(at), starts) if len(h) else np.zeros(0, np.int64)
+            found.append((h[starts], at[starts], np.full(len(starts), n), weight))
+        h, at, n, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        texts = _tagged(grams, at, n)
+        return (h % U(parts)).astype(np.int64), {"size": texts[2].astype(np.uint32), "weight": weight}, texts
 
     answers = [_ask_counts(packed, None, words, least)]
     if longest > 1:
@@ -182,8 +205,24 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
     known = answers[0]
     for more in answers[1:]:
         known = known.unionByName(more)
-    rows = visit(packed, known, KEY_ANSWER, named, PHRASES)
-    return rows.groupBy("tag", "phrase", "words").agg(F.sum("weight").alias("a")).where(F.col("a") >= least)
+    texts = ask(packed, known, KEY_ANSWER, named, TEXT_FIELDS, "text")
+    counted = texts.repartition(packed.tasks, "dealt_to").groupBy("dealt_to").applyInArrow(lambda bucket: counted_texts(bucket, least), PHRASES)
+    return counted.select("tag", "phrase", F.size(F.split("phrase", " ")).alias("words"), "a")
+
+
+def word_totals(packed: Packed) -> DataFrame:
+    """(tag, n): the words of each language."""
+
+    def count(batch: Batch, _: Columns) -> pa.Table:
+        words = Words(batch)
+        tags, n = {}, (np.diff(words.first) - 1) * batch.ids
+        data = batch.data.tobytes()
+        for at, size in zip(words.first[:-1].tolist(), n.tolist(), strict=True):
+            tag = data[words.start[at] : words.end[at]]
+            tags[tag] = tags.get(tag, 0) + size
+        return pa.table({"tag": pa.array([t.decode() for t in tags], pa.string()), "n": pa.array(list(tags.values()), pa.int64())})
+
+    return visit(packed, None, {}, count, "tag string, n long").groupBy("tag").agg(F.sum("n").alias("n"))
 
 
 def _parts(phrase: Column, words: Column, longest: int) -> Column:
@@ -229,11 +268,11 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lon
     """
     if longest < 2:
         raise ValueError("phrases have two words at least")
-    pieces = stored(weighted_pieces(docs, text, lang).select(_tag(F.col("lang")).alias("tag"), "piece", "weight"))
-    sizes = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
-    totals = pieces.groupBy("tag").agg(F.sum(sizes.cast("long") * F.col("weight")).alias("n"))
-    packed = pack_documents(pieces.select("weight", F.concat_ws(" ", "tag", "piece").alias("piece")), doc_id="weight", text="piece")
+    pieces = weighted_pieces(docs, text, lang).select("weight", F.concat_ws(" ", _tag(F.col("lang")), "piece").alias("piece"))
+    total = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
+    packed = pack_documents(pieces, doc_id="weight", text="piece", total=total)
     phrases = stored(frequent_phrases(packed, longest, least))
+    totals = word_totals(packed)
     some = phrases.where("words > 1")
     inside = some.where("words > 2").select("tag", F.col("a").alias("around"), F.explode(_parts(F.col("phrase"), F.col("words"), longest)).alias("phrase"))
     around = inside.groupBy("tag", "phrase").agg(F.max("around").alias("around"))

@@ -54,7 +54,7 @@ def made(spark, rows):
 def test_phrases_are_those_of_plain_counting(spark, monkeypatch, batch_bytes, part_bytes, options):
     monkeypatch.setattr(batches, "BATCH_BYTES", batch_bytes)
     monkeypatch.setattr(batches, "TASK_BYTES", 4 * batch_bytes)
-    monkeypatch.setattr(batches.pack_documents, "__kwdefaults__", {"part_bytes": part_bytes})
+    monkeypatch.setattr(batches.pack_documents, "__kwdefaults__", {"part_bytes": part_bytes, "total": None})
     rows = sample(batch_bytes)
     got = sorted(map(tuple, collocations(made(spark, rows), **options).collect()))
     assert got == brute(rows, **options) and len(got) > 5
