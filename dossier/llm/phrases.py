@@ -194,6 +194,8 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
             weight = np.add.reduceat(grams.weights(at), starts) if len(h) else np.zeros(0, np.int64)
             found.append((h[starts], at[starts], np.full(len(starts), n), weight))
         h, at, n, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((grams.word[np.minimum(at + 1, len(grams.word) - 1)], grams.word[at], grams.tag[at]))  # like ones side by side compress well
+        h, at, n, weight = h[by], at[by], n[by], weight[by]
         texts = _tagged(grams, at, n)
         return (h % U(parts)).astype(np.int64), {"size": texts[2].astype(np.uint32), "weight": weight}, texts
 
