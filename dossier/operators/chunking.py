@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from dossier.functions.normalize import article_key, coverage_text, fix_pdf_substitutions, is_article_key
 
@@ -134,20 +136,28 @@ def without_chapter_lines(lines: DataFrame, doc: str) -> DataFrame:
 
 
 def _line_kinds(lines: Column) -> Column:
-    """A text with a sign for each line: header, blank, page number or other."""
+    """A sign for each line: header, blank, page number or other."""
     kind = lambda x: F.when(x.rlike(HEADER), "H").when(x.rlike(r"(?U)^\s*$"), "B").when(x.rlike(r"(?U)^\s*\d{1,4}\s*$"), "P").otherwise("O")
-    return F.array_join(F.transform(lines, kind), "")
+    return F.transform(lines, kind)
 
 
 def _bare_lines(lines: Column, kinds: Column, reach: int = HEADER_REACH) -> Column:
     """``without_headers`` for an array of lines. ``kinds`` is a column of its own: within the filter it would be made
     anew for each line."""
 
+    at = lambda i: F.get(kinds, i)
+
+    def header_near(i: Column, step: int) -> Column:
+        """Whether a header is within reach in one direction, with only blank lines and numbers before it."""
+        found, clear = F.lit(False), F.lit(True)
+        for k in range(1, reach + 1):
+            kind = at(i + step * k)
+            found = found | (clear & F.coalesce(kind == "H", F.lit(False)))
+            clear = clear & F.coalesce(kind.isin("P", "B"), F.lit(False))
+        return found
+
     def stays(_: Column, i: Column) -> Column:
-        before = F.substring(kinds, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
-        after = F.substring(kinds, i + 2, F.lit(reach))
-        own = F.substring(kinds, i + 1, F.lit(1))
-        return (own != "H") & ((own != "P") | ~(before.rlike("H[PB]*$") | after.rlike("^[PB]*H")))
+        return F.when(at(i) == "H", False).when(at(i) == "P", ~(header_near(i, -1) | header_near(i, 1))).otherwise(True)
 
     return F.filter(lines, stays)
 
@@ -187,15 +197,13 @@ def _toc_end(text: Column, dotted: bool) -> Column:
 
 
 def _other_lines(lines: Column) -> Column:
-    """``without_chapter_lines`` for an array of lines."""
+    """``without_chapter_lines`` for an array of lines: the text of those that stay. One pass of a pattern takes the plus
+    signs, looking ahead over blank lines only."""
     some = F.filter(lines, lambda x: ~(x.rlike(ROMAN_TITLE) & mostly_upper(F.regexp_extract(x, ROMAN_TITLE, 1))))
-
-    def stays(x: Column, i: Column) -> Column:
-        following = F.get(F.filter(F.slice(some, i + 2, F.size(some)), lambda y: ~y.rlike(r"(?U)^\s*$")), F.lit(0))
-        plus = F.when(x.rlike(r"(?U)^\s*\+\s*$"), F.coalesce(following.rlike(AFTER_PLUS), F.lit(False))).otherwise(False)
-        return ~plus & ~x.rlike(CHAPTER_LINE) & ~x.rlike(SECTION_LINE)
-
-    return F.filter(some, stays)
+    after = AFTER_PLUS.removeprefix(r"(?U)^\s*")
+    plus = rf"(?mdU)^[^\S\n]*\+[^\S\n]*\n(?=(?:[^\S\n]*+\n)*+[^\S\n]*{after})"
+    kept = F.split(F.regexp_replace(F.array_join(some, "\n"), plus, ""), "\n")
+    return F.array_join(F.filter(kept, lambda x: ~x.rlike(CHAPTER_LINE) & ~x.rlike(SECTION_LINE)), "\n")
 
 
 def clean_text(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
@@ -205,7 +213,7 @@ def clean_text(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
     rows = rows.select(doc, F.array_join(_bare_lines(F.col("lines"), F.col("kinds")), "\n").alias("text")).select(doc, without_colophon(F.col("text")).alias("text"))
     cut = F.greatest(_toc_end(F.col("text"), True), _toc_end(F.col("text"), False))
     rows = rows.select(doc, F.split(F.substring(F.col("text"), F.coalesce(cut, F.lit(0)) + 1, F.length("text")), "\n").alias("lines"))
-    return rows.select(doc, F.array_join(_other_lines(F.col("lines")), "\n").alias("text"))
+    return rows.select(doc, _other_lines(F.col("lines")).alias("text"))
 
 
 MATCH = ArrayType(StructType([StructField(n, IntegerType() if n in ("start", "stop", "num_stop") else StringType()) for n in ("kind", "start", "stop", "num", "num_stop", "title", "before", "after", "next")]))
@@ -488,6 +496,21 @@ def removed_lines(texts: DataFrame, doc: str, text: str = "text") -> DataFrame:
     return rows.select(doc, "headers", F.size(F.filter(before, lambda x: x.rlike(DOTTED_ENTRY) | x.rlike(TITLE_ENTRY))).alias("toc_entries"))
 
 
+@F.pandas_udf(LongType())
+def _held(starts: pd.Series, texts: pd.Series) -> pd.Series:
+    """How many of the starts, empty ones aside, are in the text: one pass over it for all, by an automaton."""
+    out = []
+    for wanted, text in zip(starts, texts, strict=True):
+        wanted = Counter(x for x in wanted if x)
+        automaton = ahocorasick.Automaton()
+        for x in wanted:
+            automaton.add_word(x, x)
+        automaton.make_automaton()
+        found = {x for _, x in automaton.iter(text or "")} if wanted else set()
+        out.append(sum(wanted[x] for x in found))
+    return pd.Series(out, dtype="int64")
+
+
 def line_coverage(texts: DataFrame, chunks: DataFrame, doc: str, *, text: str = "text", order: str = "chunk_order") -> DataFrame:
     """Rows (doc, coverage): the share of a text's long lines whose start is in its chunks; 1 without such lines."""
     whole = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("l"))
@@ -496,5 +519,5 @@ def line_coverage(texts: DataFrame, chunks: DataFrame, doc: str, *, text: str =
     long = F.filter(lines, lambda x: (F.length(x) >= COVERAGE_CHARS) & ~F.contains(x, F.lit("MONITORUL OFICIAL")))
     starts = F.transform(long, lambda x: F.substring(coverage_text(x), 1, 45))
     rows = texts.select(doc, starts.alias("__starts")).join(whole, doc, "left")
-    held = F.size(F.filter("__starts", lambda x: (x != "") & F.contains(F.coalesce("__all", F.lit("")), x)))
+    held = _held("__starts", F.coalesce("__all", F.lit("")))
     return rows.select(doc, F.coalesce(F.try_divide(held.cast("double"), F.nullif(F.size("__starts"), F.lit(0)).cast("double")), F.lit(1.0)).alias("coverage"))
