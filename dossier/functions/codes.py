@@ -112,18 +112,39 @@ def alias_pattern(alias: Column) -> Column:
     return F.concat(F.lit("(?i)(?<![a-z0-9])"), F.array_join(flexible, ALIAS_SEPARATOR), F.lit("(?![a-z0-9])"))
 
 
-def first_signs(text: Column) -> Column:
-    """The distinct first letters and digits of a text's words of letters and digits; a number's zeros do not count."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+"), F.lit(0))
-    return F.array_distinct(F.transform(runs, lambda r: F.substring(F.regexp_replace(r, "^0+(?=.)", ""), 1, 1)))
+def _alias_parts(alias: Column) -> Column:
+    return F.regexp_extract_all(F.lower(alias), F.lit("[a-z]+|[0-9]+"), F.lit(0))
+
+
+def whole_key(alias: Column) -> Column:
+    """What an alias and every way to write it have in common: letters and digits in order, without separators and zeros."""
+    return F.translate(F.array_join(_alias_parts(alias), ""), "0", "")
+
+
+def most_words(aliases: DataFrame) -> int:
+    """Into how many words the alias of most parts can be written."""
+    return aliases.agg(F.max(F.size(_alias_parts(F.col("alias"))))).first()[0] or 0
+
+
+def run_keys(text: Column, most: int, *, at_start: bool = False) -> Column:
+    """The distinct whole keys of all runs of 1 to ``most`` words with nothing but separators between; ``at_start``: of
+    those that begin the text. A text of n words has at most n times ``most``."""
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    gap = ALIAS_SEPARATOR.removesuffix("*") + "+"
+    found = []
+    for n in range(1, most + 1):
+        run = rf"([a-z0-9]+(?:{gap}[a-z0-9]+){{{n - 1}}})(?![a-z0-9])"
+        found.append(F.regexp_extract_all(lowered, F.lit(f"^{run}" if at_start else f"(?<![a-z0-9])(?={run})"), F.lit(1)))
+    runs = F.flatten(F.array(*found)) if found else F.array().cast("array<string>")
+    return F.array_distinct(F.transform(runs, lambda r: F.regexp_replace(r, "[^a-z1-9]", "")))
 
 
 def alias_spans(questions: DataFrame, aliases: DataFrame, key: str, text: str, owner: str) -> DataFrame:
-    """Rows (key, owner, start, end) where a question names an alias. A question meets the aliases whose first sign
-    begins one of its words, by an equi-join."""
-    asked = questions.select(key, text, F.explode(first_signs(F.col(text))).alias("__sign"))
-    named = aliases.select(owner, alias_pattern(F.col("alias")).alias("__p"), F.get(first_signs(F.col("alias")), F.lit(0)).alias("__sign"))
-    hits = asked.join(named, "__sign").withColumn("__m", F.expr(f"regexp_extract_all({text}, __p, 0)")).where(F.size("__m") > 0)
+    """Rows (key, owner, start, end) where a question names an alias. A question meets an alias by an equi-join on its
+    whole key, so that its candidates are bounded by its own words; the alias's pattern then decides."""
+    asked = questions.select(key, text, F.explode(run_keys(F.col(text), most_words(aliases))).alias("__run"))
+    named = aliases.select(owner, alias_pattern(F.col("alias")).alias("__p"), whole_key(F.col("alias")).alias("__run"))
+    hits = asked.join(named, "__run").withColumn("__m", F.expr(f"regexp_extract_all({text}, __p, 0)")).where(F.size("__m") > 0)
     # Lengths of what stands before each match give its place.
     split = hits.withColumn("__before", F.expr(f"split({text}, __p)"))
     placed = split.select(key, owner, F.posexplode("__m").alias("__i", "__hit"), "__before", "__m")

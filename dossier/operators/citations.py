@@ -175,12 +175,38 @@ def with_notice(answer: Column, truncated: Column, notice: str) -> Column:
     return F.when(truncated, F.concat_ws("\n\n", answer, F.lit(notice))).otherwise(answer)
 
 
+def _letter_grams(c: Column) -> Column:
+    """The distinct runs of one, two and three characters of a word."""
+    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)))))
+
+
+def _texts_of_short_quotes(words: DataFrame, quotes: DataFrame, *, text_id: str, quote_id: str) -> DataFrame:
+    """Rows (text_id, quote_id) of texts with a word that holds a quote of one word, or the longer word of a quote of two.
+
+    words: the distinct words __x of each text. quotes: quote_id and their words __w. The distinct words of all texts are
+    an index by runs of three characters (fewer where the quote's word has fewer); of a quote's runs the one that fewest
+    words have leads to its words, and only these lead to texts.
+    """
+    second = F.get("__w", F.lit(1))
+    first = F.get("__w", F.lit(0))
+    last = F.coalesce(F.length(second) > F.length(first), F.lit(False))
+    asked = quotes.select(quote_id, F.when(last, second).otherwise(first).alias("__p"), F.when(second.isNull(), "in").when(last, "start").otherwise("end").alias("__side"))
+    size = F.least(F.length("__p"), F.lit(3))
+    grams = asked.select(quote_id, "__p", "__side", F.explode(F.filter(_letter_grams(F.col("__p")), lambda g: F.length(g) == size)).alias("__g"))
+    index = words.select("__x").distinct().select("__x", F.explode(_letter_grams(F.col("__x"))).alias("__g")).join(grams.select("__g").distinct(), "__g", "left_semi")
+    counted = grams.join(index.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")), "__g", "left")
+    rarest = counted.groupBy(quote_id, "__p", "__side").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g"))).alias("r"))
+    fits = F.when(F.col("__side") == "in", F.contains("__x", "__p")).when(F.col("__side") == "start", F.startswith("__x", "__p")).otherwise(F.endswith("__x", "__p"))
+    found = index.join(rarest.select(quote_id, "__p", "__side", F.col("r.__g").alias("__g")), "__g").where(fits).select(quote_id, "__x")
+    return words.join(found, "__x").select(text_id, quote_id)
+
+
 def containing(texts: DataFrame, quotes: DataFrame, *, text_id: str, text: str, quote_id: str, quote: str) -> DataFrame:
     """Rows (text_id, quote_id) of texts that hold a quote, white space aside.
 
     The words of a quote but the first and the last are whole words of any text that holds it, so an equi-join on up
-    to three of them finds the candidates, and the text itself is checked for those only. Quotes of one or two words,
-    which are few, meet all texts.
+    to three of them finds the candidates. Quotes of one or two words find theirs by the words that hold their rarest
+    run of characters. The text itself is checked for candidates only; empty quotes are in none.
     """
     t = texts.select(text_id, collapse_spaces(F.col(text)).alias("__t"))
     q = quotes.select(quote_id, collapse_spaces(F.col(quote)).alias("__q")).where("__q <> ''").withColumn("__w", F.split("__q", " "))
@@ -188,10 +214,11 @@ def containing(texts: DataFrame, quotes: DataFrame, *, text_id: str, text: str,
     anchor = lambda words, start, n: F.xxhash64(F.lit(n), F.slice(words, start, n))
     named = F.when(size == 3, anchor("__w", F.lit(2), 3)).when(size == 2, anchor("__w", F.lit(2), 2)).when(size == 1, anchor("__w", F.lit(2), 1))
     anchored = q.withColumn("__a", named)
-    at = t.select(text_id, F.split("__t", " ").alias("__w")).select(text_id, "__w", F.posexplode("__w").alias("__i", "__x"))
+    cut = t.select(text_id, F.split("__t", " ").alias("__w"))
+    at = cut.select(text_id, "__w", F.posexplode("__w").alias("__i", "__x"))
     grams = at.select(text_id, F.explode(F.array(*(anchor("__w", F.col("__i") + 1, n) for n in (1, 2, 3)))).alias("__a"))
-    hits = grams.join(anchored.where("__a is not null").select(quote_id, "__a"), "__a").select(text_id, quote_id).distinct()
-    checked = hits.join(t, text_id).join(anchored.select(quote_id, "__q"), quote_id).where(F.contains("__t", "__q"))
-    short = anchored.where("__a is null").select(quote_id, "__q")
-    rest = t.join(short, F.contains("__t", "__q"))
-    return checked.select(text_id, quote_id).unionByName(rest.select(text_id, quote_id))
+    hits = grams.join(anchored.where("__a is not null").select(quote_id, "__a"), "__a").select(text_id, quote_id)
+    words = cut.select(text_id, F.explode(F.array_distinct("__w")).alias("__x")).where("__x <> ''")
+    short = _texts_of_short_quotes(words, anchored.where("__a is null").select(quote_id, "__w"), text_id=text_id, quote_id=quote_id)
+    checked = hits.unionByName(short).distinct().join(t, text_id).join(anchored.select(quote_id, "__q"), quote_id).where(F.contains("__t", "__q"))
+    return checked.select(text_id, quote_id)

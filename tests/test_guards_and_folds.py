@@ -46,7 +46,7 @@ def test_colliding_keys_against_all_pairs(spark):
     assert {r.key for r in got.collect()} == want and 5 < len(want) < 55
 
 
-def test_aliases_meet_questions_by_their_first_sign(spark):
+def test_aliases_meet_questions(spark):
     questions = spark.createDataFrame([(1, "vezi NP10 si SREN 12831"), (2, "(i-7) sau 0010"), (3, "xNP 10"), (4, None)], "q int, t string")
     aliases = spark.createDataFrame([("a", "NP 010"), ("b", "SR EN 12831"), ("c", "I7"), ("d", "10")], "doc string, alias string")
     got = {(r.q, r.doc) for r in codes.alias_spans(questions, aliases, "q", "t", "doc").collect()}
