@@ -101,6 +101,67 @@ def findings(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.explode(kinds).alias("finding"))
 
 
+#: What may be wrong with a case of a grounding run, by its outcome and its required passages.
+OUTCOME_FINDINGS = ("execution_error", "non_publishable_published", "publishable_rejected")
+PASSAGE_FINDING = "relevant_passage_missing"
+
+
+def passage_checks(required: DataFrame, citations: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Rows (case_id, citation_id, text, state), one for each required passage.
+
+    required: case_id, citation_id, text. citations: case_id, id, quote, of published answers. outcomes: case_id, outcome,
+    one row a case. A passage is ``present`` if a citation of its id holds its text, ``missing`` if an answer was published
+    without, and ``not_observed`` if none was. The quotes of one citation are few, for an answer has few passages.
+    """
+    quotes = citations.groupBy("case_id", F.col("id").alias("citation_id")).agg(F.collect_list("quote").alias("__quotes"))
+    rows = required.select("case_id", "citation_id", "text").join(outcomes.select("case_id", "outcome"), "case_id", "left").join(quotes, ["case_id", "citation_id"], "left")
+    held = F.exists(F.coalesce("__quotes", F.array().cast("array<string>")), lambda q: F.coalesce(F.contains(q, F.col("text")), F.lit(False)))
+    state = F.when(F.col("outcome") == "published", F.when(held, "present").otherwise("missing")).otherwise("not_observed")
+    return rows.select("case_id", "citation_id", "text", state.alias("state"))
+
+
+def case_findings(cases: DataFrame, checks: DataFrame) -> DataFrame:
+    """Rows (case_id, kind, citation_id, text); the last two for missing passages only. cases: case_id, outcome, expected_publishable."""
+    published = F.col("outcome") == "published"
+    kind = (
+        F.when(F.col("outcome") == "execution_error", OUTCOME_FINDINGS[0])
+        .when(published & ~F.col("expected_publishable"), OUTCOME_FINDINGS[1])
+        .when(~published & F.col("expected_publishable"), OUTCOME_FINDINGS[2])
+    )
+    none = F.lit(None).cast("string")
+    own = cases.select("case_id", kind.alias("kind"), none.alias("citation_id"), none.alias("text")).where("kind is not null")
+    lost = checks.where(F.col("state") == "missing").select("case_id", F.lit(PASSAGE_FINDING).alias("kind"), "citation_id", "text")
+    return own.unionByName(lost)
+
+
+def passage_states(cases: DataFrame, checks: DataFrame) -> DataFrame:
+    """Rows (case_id, passage_state): the worst of a case's passages; ``not_applicable`` for a case that requires none."""
+    worst = checks.groupBy("case_id").agg(F.bool_or(F.col("state") == "not_observed").alias("__unseen"), F.bool_or(F.col("state") == "missing").alias("__lost"))
+    state = F.when(F.col("__unseen").isNull(), "not_applicable").when(F.col("__unseen"), "not_observed").when(F.col("__lost"), "missing").otherwise("present")
+    return cases.select("case_id").join(worst, "case_id", "left").select("case_id", state.alias("passage_state"))
+
+
+def grounding_summary(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of a run's counts, and its exit code: 2 if a case could not run, else 1 if anything was found, else 0.
+
+    cases: case_id, outcome, calls. found: ``case_findings``. Without cases all counts are 0.
+    """
+    each = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("__n"), *(F.count_if(F.col("kind") == k).alias(k) for k in (*OUTCOME_FINDINGS, PASSAGE_FINDING)))
+    rows = cases.select("case_id", "outcome", "calls").join(each, "case_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("total_cases"),
+        F.count_if(F.col("__n") > 0).alias("cases_with_findings"),
+        total("__n").alias("total_findings"),
+        total("calls").alias("calls"),
+        F.count_if(F.col("outcome") == "published").alias("published"),
+        F.count_if(F.col("outcome") == "rejected").alias("typed_refusals"),
+        F.count_if(F.col("outcome") == "not_found").alias("not_found"),
+        *(total(k).alias(k) for k in (*OUTCOME_FINDINGS, PASSAGE_FINDING)),
+    )
+    return counts.withColumn("exit_code", F.when(F.col("execution_error") > 0, 2).when(F.col("total_findings") > 0, 1).otherwise(0))
+
+
 def within_cap(calls: DataFrame, *, order: list[str], kind: str, caps: dict[str, int]) -> DataFrame:
     """Add allowed: whether a call is among the first of its kind, as many as the kind's cap; other kinds have none.
 

@@ -211,6 +211,40 @@ def grounding_findings(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.findings(cases)
 
 
+RUN = """cases AS (SELECT doc_id AS case_id, text, ['published', 'published', 'rejected', 'not_found', 'execution_error'][1 + doc_id % 5] AS outcome, doc_id % 3 <> 0 AS expected FROM documents),
+required AS (SELECT case_id, outcome, i AS citation_id, substring(text, 5, 20) AS wanted, substring(text, CASE i WHEN 'C1' THEN 1 ELSE 61 END, 60) AS quote FROM cases, (VALUES ('C1'), ('C2')) ids(i) WHERE case_id % 4 <> 0),
+checks AS (SELECT case_id, citation_id, CASE WHEN outcome <> 'published' THEN 'not_observed' WHEN contains(quote, wanted) THEN 'present' ELSE 'missing' END AS state FROM required)"""
+
+
+def _run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, passage checks) of a run made of documents: a third should not be published, and two passages are required of most."""
+    docs = table(spark, d, "documents")
+    outcome = F.get(F.array(*map(F.lit, ("published", "published", "rejected", "not_found", "execution_error"))), (F.col("doc_id") % 5).cast("int"))
+    cases = docs.select(F.col("doc_id").alias("case_id"), outcome.alias("outcome"), (F.col("doc_id") % 3 != 0).alias("expected_publishable"), F.lit(1).alias("calls"))
+    ids = lambda f: F.explode(F.array(*(F.struct(F.lit(i).alias("id"), f(at).alias("text")) for i, at in (("C1", 1), ("C2", 61))))).alias("p")
+    cited = docs.select(F.col("doc_id").alias("case_id"), ids(lambda at: F.substring("text", at, 60))).select("case_id", "p.id", F.col("p.text").alias("quote"))
+    required = docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("case_id"), ids(lambda at: F.substring("text", 5, 20))).select("case_id", F.col("p.id").alias("citation_id"), "p.text")
+    return cases, evaluation.passage_checks(required, cited, cases)
+
+
+@query(f"""WITH {RUN}, worst AS (SELECT case_id, max(CASE state WHEN 'not_observed' THEN 2 WHEN 'missing' THEN 1 ELSE 0 END) AS w FROM checks GROUP BY case_id)
+SELECT case_id, coalesce(['present', 'missing', 'not_observed'][w + 1], 'not_applicable') AS passage_state FROM cases LEFT JOIN worst USING (case_id)""")
+def grounding_passages(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.passage_states(*_run(spark, d))
+
+
+@query(f"""WITH {RUN}, found AS (
+SELECT case_id, CASE WHEN outcome = 'execution_error' THEN outcome WHEN outcome = 'published' AND NOT expected THEN 'non_publishable_published' WHEN outcome <> 'published' AND expected THEN 'publishable_rejected' END AS kind FROM cases
+UNION ALL SELECT case_id, 'relevant_passage_missing' FROM checks WHERE state = 'missing'),
+kinds AS (SELECT count(DISTINCT case_id) AS cases_with_findings, count(*) AS total_findings, count(*) FILTER (kind = 'execution_error') AS execution_error, count(*) FILTER (kind = 'non_publishable_published') AS non_publishable_published,
+count(*) FILTER (kind = 'publishable_rejected') AS publishable_rejected, count(*) FILTER (kind = 'relevant_passage_missing') AS relevant_passage_missing FROM found WHERE kind IS NOT NULL)
+SELECT count(*) AS total_cases, count(*) AS calls, count(*) FILTER (outcome = 'published') AS published, count(*) FILTER (outcome = 'rejected') AS typed_refusals, count(*) FILTER (outcome = 'not_found') AS not_found,
+any_value(kinds), CASE WHEN any_value(execution_error) > 0 THEN 2 WHEN any_value(total_findings) > 0 THEN 1 ELSE 0 END::INTEGER AS exit_code FROM cases, kinds""".replace("any_value(kinds)", ", ".join(f"any_value({c}) AS {c}" for c in ("cases_with_findings", "total_findings", "execution_error", "non_publishable_published", "publishable_rejected", "relevant_passage_missing"))))
+def grounding_run(spark: SparkSession, d: str) -> DataFrame:
+    cases, checks = _run(spark, d)
+    return evaluation.grounding_summary(cases, evaluation.case_findings(cases, checks))
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
