@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.batches import Batch, Columns, Packed, answer, ask, gather, pack_documents, unplanes, visit
 from dossier.llm.debruijn import KEY_ANSWER, Words, may_repeat, mixed, word_hashes
-from dossier.llm.durable import durable, stored
+from dossier.llm.durable import durable, release, stored
 from dossier.llm.graph import hot_join, spread_join
 
 U = np.uint64
@@ -204,6 +204,7 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
         answers.append(_ask_counts(packed, answers[0], pairs, least))
     if longest > 2:
         answers.append(_ask_counts(packed, answers[1], longer, least))
+    release(packed.table.sparkSession)  # the questions' shuffles
     known = answers[0]
     for more in answers[1:]:
         known = known.unionByName(more)
@@ -273,6 +274,8 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lon
     pieces = weighted_pieces(docs, text, lang).select("weight", F.concat_ws(" ", _tag(F.col("lang")), "piece").alias("piece"))
     total = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
     packed = pack_documents(pieces, doc_id="weight", text="piece", total=total)
+    del pieces
+    release(docs.sparkSession)  # the pieces' shuffles
     phrases = stored(frequent_phrases(packed, longest, least))
     totals = word_totals(packed)
     some = phrases.where("words > 1")
