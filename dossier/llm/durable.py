@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -37,10 +36,3 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files that nothing names any more, such as those behind a checkpoint. Otherwise they
-    stay until the driver happens to collect its garbage, which a driver that holds little rarely does."""
-    gc.collect()  # Python's handles keep the JVM's plans alive
-    spark.sparkContext._jvm.System.gc()
