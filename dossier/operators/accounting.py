@@ -13,19 +13,43 @@ def _before(keys: list, order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _with_row_of(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what ``one`` has for their keys; nulls are keys like others. ``one`` has a row for each of the rows' keys."""
+    named = one.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return rows.join(named, same).drop(*(f"__k_{k}" for k in keys))
+
+
 def rate_limited(requests: DataFrame, *, caller: str, ts: str, order: list[str], per_minute: int = PER_MINUTE, per_hour: int = PER_HOUR) -> DataFrame:
-    """Add minute_count, hour_count and allowed. Every attempt counts in both windows, refused ones too."""
+    """Add minute_count, hour_count and allowed. Every attempt counts in both windows, refused ones too. ``order`` begins
+    with ``ts``.
+
+    An hour's count is that of the minutes before, of which there are 59 at most, and that within the minute. So the
+    largest window holds what one caller sends in a minute.
+    """
     rows = requests.withColumn("minute_start", F.date_trunc("minute", ts).cast("timestamp_ntz")).withColumn("hour_start", F.date_trunc("hour", ts).cast("timestamp_ntz"))
+    sums = rows.groupBy(caller, "hour_start", "minute_start").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(caller, "hour_start").orderBy("minute_start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(caller, "minute_start", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
     rows = rows.withColumn("minute_count", F.count(F.lit(1)).over(_before([caller, "minute_start"], order)))
-    rows = rows.withColumn("hour_count", F.count(F.lit(1)).over(_before([caller, "hour_start"], order)))
+    rows = _with_row_of(rows, sums, [caller, "minute_start"]).withColumn("hour_count", F.col("__base") + F.col("minute_count")).drop("__base")
     return rows.withColumn("allowed", (F.col("minute_count") <= per_minute) & (F.col("hour_count") <= per_hour))
 
 
 def within_quota(requests: DataFrame, *, visitor: str, order: list[str], consumes: Column, quota: int = QUOTA) -> DataFrame:
     """Add used (before the request) and reserved. Only accepted requests that are not refunded consume; those after
-    the quota is used up are refused, so counting all consuming ones before is enough."""
-    used = F.coalesce(F.sum(consumes.cast("long")).over(Window.partitionBy(visitor).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = requests.withColumn("used", F.least(used, F.lit(quota)).cast("long"))
+    the quota is used up are refused, so counting all consuming ones before is enough. ``order`` tells requests apart.
+
+    A visitor's first ``quota`` consuming requests decide for all others. Each task ranks its own first ones, so no
+    window holds a visitor.
+    """
+    place = F.struct(*order)
+    taken = requests.where(consumes).select(visitor, place.alias("__place"))
+    ranked = taken.withColumn("__n", F.row_number().over(Window.partitionBy(visitor).orderBy("__place"))).where(F.col("__n") <= quota)
+    first = ranked.groupBy(F.col(visitor).alias("__visitor")).agg(F.collect_list("__place").alias("__first"))
+    rows = requests.withColumn("__place", place).join(first, F.col(visitor).eqNullSafe(F.col("__visitor")), "left")
+    used = F.coalesce(F.size(F.filter("__first", lambda p: p < F.col("__place"))), F.lit(0))
+    rows = rows.withColumn("used", F.when(F.col("__first").isNull(), 0).otherwise(used).cast("long")).drop("__place", "__visitor", "__first")
     return rows.withColumn("reserved", F.col("used") < quota)
 
 
@@ -72,10 +96,22 @@ def unexpired(buckets: DataFrame, now: Column) -> DataFrame:
 
 def provider_health(events: DataFrame, *, provider: str, ts: str, order: list[str], ok: Column, failures: int = HEALTH_FAILURES, minutes: int = HEALTH_MINUTES, now: Column | None = None) -> DataFrame:
     """Add streak (failures since the last success) and degraded: a streak long and recent enough at ``now``, by
-    default the event's own time."""
-    w = _before([provider], order)
-    rows = events.withColumn("__island", F.sum(ok.cast("int")).over(w))
-    rows = rows.withColumn("streak", F.sum((~ok).cast("long")).over(_before([provider, "__island"], order))).drop("__island")
+    default the event's own time. ``order`` begins with ``ts``.
+
+    A streak is what the hours before leave, and what the hour adds. Hours are a row each, so no window holds a provider.
+    """
+    rows = events.withColumn("__hour", F.date_trunc("hour", ts)).withColumn("__ok", ok)
+    local = _before([provider, "__hour"], order)
+    rows = rows.withColumn("__island", F.sum(F.col("__ok").cast("int")).over(local))
+    rows = rows.withColumn("__streak", F.sum((~F.col("__ok")).cast("long")).over(_before([provider, "__hour", "__island"], order)))
+    left = F.max_by("__streak", F.struct(*order)).alias("__left")
+    hours = rows.groupBy(provider, "__hour").agg(left, F.max((F.col("__island") > 0).cast("int")).alias("__some"))
+    by_hour = Window.partitionBy(provider).orderBy("__hour")
+    hours = hours.withColumn("__run", F.sum("__some").over(by_hour.rowsBetween(Window.unboundedPreceding, 0)))
+    hours = hours.withColumn("__sum", F.sum("__left").over(Window.partitionBy(provider, "__run").orderBy("__hour").rowsBetween(Window.unboundedPreceding, 0)))
+    hours = hours.withColumn("__base", F.coalesce(F.lag("__sum").over(by_hour), F.lit(0))).select(provider, "__hour", "__base")
+    rows = _with_row_of(rows, hours, [provider, "__hour"])
+    rows = rows.withColumn("streak", F.col("__streak") + F.when(F.col("__island") > 0, 0).otherwise(F.col("__base"))).drop("__hour", "__ok", "__island", "__streak", "__base")
     recent = F.lit(True) if now is None else F.col(ts) >= now - F.expr(f"interval {minutes} minutes")
     return rows.withColumn("degraded", (F.col("streak") >= failures) & recent)
 
