@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import normalize
@@ -186,19 +186,71 @@ def phrase_replace_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", n.cast("int").alias("replaced"), F.md5(text).alias("text_md5"))
 
 
-@query()
+AMENDED = r"""WITH s AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS c, length(c) // 9 + 1 AS n FROM documents),
+w AS (SELECT doc_id, doc_id % 10 AS kind, list_transform(range(9), lambda k: trim(substr(c, k * n + 1, n))) AS w FROM s)
+"""
+
+
+def _amended(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Regulations of nine slices of each document's words, an order of eight items for each, its manifest, and a phrase
+    that is replaced everywhere. Some orders have an item less, repeat a point's number or touch a point twice."""
+    words = F.regexp_replace("text", "[^A-Za-z]+", " ")
+    size = F.expr("length(c) div 9 + 1")
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 10).alias("k"), words.alias("c"))
+    docs = docs.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.trim(F.substring("c", k * size + 1, size)))).drop("c")
+
+    def filled(form: str) -> Column:
+        parts = form.split("@")
+        return F.concat(F.lit(parts[0]), *(x for p in parts[1:] for x in (F.col("w")[int(p[0])], F.lit(p[1:]))))
+
+    again = F.when(F.col("k") == 5, filled("\n1.3. @0")).otherwise("")
+    base = F.concat(filled("Preambul prag\n vechi\n1.1. @0\n1.2. (1) @1\n(2) a) @2\nb) @3\n1.3. @4\n1.4. @5\n1.5. @6\n1.6. Anexe\nTabel A\n@7\nTabel B\nputere  veche @8\nSfarsit\n1.7. prag vechi @0"), again, F.lit("\n"))
+    order = F.concat(
+        filled("Ordin\nArt. I\n1. Punctele 1.1 și 1.4 se modifică și vor avea următorul cuprins:\n„\n1.1. Nou @5\n12\n1.4. Alt @0”\n2. La punctul 1.2 litera b) a alineatului (2) va avea următorul cuprins:\n„b) noua @4”\n3. Punctul 1.3 se abrogă.\n4. Litera a) a alineatului (2) al punctului 1.2 se abrogă.\n5. La punctul 1.5 după alineatul (1) se introduce un alineat cu următorul cuprins:\n„(2) Adaos @1”\n6. Punctul 1.7 se renumerotează 1.9 și va avea următorul cuprins:\n„1.9. Mutat @2 prag vechi”\n7. Tabelul A va avea următorul cuprins:\n„Tabel A nou @3”\n"),
+        F.when(F.col("k") != 3, "8. În tabelul B sintagma „putere veche” se înlocuiește cu sintagma „putere $1 noua”.\n").otherwise(""),
+        F.lit("Art. II\nFine"),
+    )
+    targets = [
+        (1, "replace_point", 0, {"point": "1.1"}), (1, "replace_point", 1, {"point": "1.4"}),
+        (2, "replace_unit", 0, {"point": "1.2", "paragraph": "2", "letter": "b"}), (3, "repeal_point", 0, {"point": "1.3"}),
+        (4, "repeal_unit", 0, {"point": "1.2", "paragraph": "2", "letter": "a"}), (5, "insert_after", 0, {"point": "1.5", "paragraph": "1"}),
+        (6, "renumber", 0, {"point": "1.7", "new_point": "1.9"}), (7, "replace_block", 0, {"first": "Tabel A", "last": "Tabel B"}),
+        (8, "replace_phrase", 0, {"first": "Tabel B", "last": "Sfarsit"}),
+    ]
+    names = [x.split()[0] for x in consolidation.MANIFEST.split(", ")]
+    rows = [tuple({"nr": nr, "kind": kind, "target": at, **said}.get(n) for n in names) for nr, kind, at, said in targets]
+    asked = docs.select("doc_id", "k").crossJoin(F.broadcast(spark.createDataFrame(rows, consolidation.MANIFEST)))
+    asked = asked.withColumn("point", F.when((F.col("k") == 4) & (F.col("nr") == 3), "1.1").otherwise(F.col("point"))).drop("k")
+    titled = docs.select("doc_id", order.alias("text"), F.concat(F.lit("Ordinul nr. "), F.col("doc_id").cast("string")).alias("order_title"))
+    phrases = docs.select("doc_id", F.lit(1).alias("place"), F.lit("prag vechi").alias("old"), F.lit("prag nou").alias("new"))
+    return docs.select("doc_id", base.alias("text")), titled, asked, phrases
+
+
+@query(AMENDED + r""", t AS (SELECT *, chr(10) AS n, ' prin Ordinul nr. ' || doc_id || ']' AS o FROM w),
+r AS (SELECT doc_id, kind, regexp_replace('Preambul prag' || n || ' vechi' || n || '1.1. Nou' || rtrim(' ' || w[6]) || n || '[Text modificat' || o || n || '1.2. (1) ' || w[2] || n
+  || '(2) a) Abrogat.' || n || '[Abrogat' || o || n || 'b) noua' || rtrim(' ' || w[5]) || n || '[Text modificat' || o || n || '1.3. Abrogat.' || n || '[Abrogat' || o || n
+  || '1.4. Alt' || rtrim(' ' || w[1]) || n || '[Text modificat' || o || n || '1.5. ' || w[7] || n || n || '(2) Adaos' || rtrim(' ' || w[2]) || n || '[Text introdus' || o || n
+  || '1.6. Anexe' || n || 'Tabel A nou' || rtrim(' ' || w[4]) || n || '[Text modificat' || o || n || 'Tabel B' || n || 'putere $1 noua ' || w[9] || n || 'Sfarsit' || n
+  || '1.9. Mutat ' || w[3] || ' prag vechi' || n || '[Text modificat' || o, 'prag\s+vechi', 'prag nou', 'g') AS made FROM t)
+SELECT doc_id, CASE WHEN kind NOT IN (3, 4, 5) THEN md5(made) END AS text_md5, CASE WHEN kind NOT IN (3, 4, 5) THEN length(made)::INTEGER END AS chars,
+  CASE kind WHEN 3 THEN 'numbers_disagree' WHEN 4 THEN 'no_point' WHEN 5 THEN 'no_place' ELSE '' END AS problems FROM r""")
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
-    """An order against each regulation: items, their points, and the consolidated text."""
-    order = "Art. I\n1. Punctul 1.2. se modifică și va avea următorul cuprins:\n„1.2. Text nou.”\n2. Punctul 1.3. se abrogă.\nArt. II\nFine."
-    base = _regulation(spark, d).withColumn("order", F.lit(order))
-    items = consolidation.items(base.select("doc_id", F.col("order").alias("text")), "doc_id")
-    none = F.lit(None).cast("string")
-    asked = items.withColumn("point", F.when(F.col("nr") == 1, "1.2").otherwise("1.3")).join(base.select("doc_id", F.col("text").alias("base")), "doc_id")
-    at = asked.withColumn("at", consolidation.locate("base", "point", none, none, F.lit(False), F.lit(None).cast("int"))).where("at.start is not null")
-    new = F.when(F.col("nr") == 1, consolidation.clean_new_text(F.col("new_text"))).otherwise(F.concat("point", F.lit(". Abrogat.")))
-    edits = at.select("doc_id", "at.start", "at.stop", new.alias("new_text"))
-    made = consolidation.splice(base.select("doc_id", "text"), edits, "doc_id")
-    return made.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+    """Orders with all eight kinds of amendment, carried out from their items to the checks of the result."""
+    texts, orders, manifest, phrases = _amended(spark, d)
+    made = consolidation.consolidated(texts, orders, manifest, "doc_id", phrases=phrases)
+    return made.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"), F.array_join("problems", ",").alias("problems"))
+
+
+@query(AMENDED + r""", kinds(kind, n) AS (VALUES ('replace_point', 2), ('replace_unit', 1), ('repeal_point', 1), ('repeal_unit', 1), ('insert_after', 1), ('renumber', 1), ('replace_block', 1), ('replace_phrase', 1), ('replace_everywhere', 1)),
+docs AS (SELECT kind AS k, count(*) AS docs FROM w GROUP BY kind),
+rows AS (SELECT kinds.kind, n * docs AS targets, CASE WHEN k = 3 AND kind = 'replace_phrase' THEN 'numbers_disagree'
+  WHEN k = 4 AND kind = 'repeal_point' THEN 'no_point' WHEN k = 5 AND kind = 'repeal_point' THEN 'no_place' WHEN k IN (3, 4, 5) THEN 'refused' ELSE 'applied' END AS status FROM docs, kinds)
+SELECT kind, status, sum(targets)::BIGINT AS targets FROM rows GROUP BY kind, status""")
+def consolidation_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every target, by kind."""
+    texts, orders, manifest, phrases = _amended(spark, d)
+    report = consolidation.consolidated(texts, orders, manifest, "doc_id", phrases=phrases)
+    return report.select(F.explode("report").alias("r")).select("r.*").groupBy("kind", "status").agg(F.count(F.lit(1)).alias("targets"))
 
 
 @query("""SELECT p_size * 2 AS gid, min(chr((944 + p_size * 2 + CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END)::INT)) AS char FROM part GROUP BY p_size HAVING count(DISTINCT CASE WHEN p_size % 10 = 0 THEN p_partkey % 2 ELSE 0 END) = 1""")
