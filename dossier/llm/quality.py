@@ -142,20 +142,29 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
-    """Train on at most ``sample`` labelled documents outside the held-out fold, the first by a digest of their ids, as
-    far as their whole texts have at most ``sample_bytes``.
+    """Train on at most ``sample`` labelled documents outside the held-out fold, the first by a digest of their ids whose
+    whole texts fit: one that would bring their sum above ``sample_bytes`` is passed over, and those after it are not.
 
-    Only those documents reach the driver. A document with several labels takes the least, and an id with several texts
-    the least text; null labels and ids are left out. Without any labelled document the network is a constant.
+    Lengths are looked at first, of four times as many documents as are wanted; only the texts that are taken are
+    fetched, and only they reach the driver. A document with several labels takes the least, and an id with several
+    texts the least text of the shortest; null labels and ids are left out. Without any labelled document the network is
+    a constant.
     """
     known = labels.where(labels[label].isNotNull() & labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("__id")).agg(F.min(labels[label]).cast("int").alias("__label"))
-    picked = known.where(~held_out("__id")).orderBy(F.md5(F.col("__id").cast("string"))).limit(sample)
+    digest = F.md5(F.col("__id").cast("string"))
     rows = docs.select(docs[doc_id].alias("__id"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("__text"))
-    rows = rows.join(F.broadcast(picked), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))  # at most ``sample`` rows
-    so_far = F.sum(F.octet_length("__text")).over(Window.orderBy(F.md5(F.col("__id").cast("string")), "__id"))
-    fits = rows.withColumn("__so_far", so_far).where(F.col("__so_far") <= sample_bytes)
-    got = sorted(fits.select("__id", "__label", "__text").collect(), key=lambda r: r["__id"])
-    return train([bytes(r["__text"]) for r in got], [r["__label"] for r in got])
+    sizes = rows.select("__id", F.octet_length("__text").alias("__size")).join(known.where(~held_out("__id")), "__id").groupBy("__id", "__label").agg(F.min("__size").alias("__size"))
+    first = sizes.orderBy(digest, "__id").limit(4 * sample).collect()
+    taken, total = {}, 0
+    for r in first:
+        if len(taken) < sample and total + r["__size"] <= sample_bytes:
+            taken[r["__id"]], total = r["__label"], total + r["__size"]
+    if not taken:
+        return train([], [])
+    ids = docs.sparkSession.createDataFrame([(r["__id"], r["__size"]) for r in first if r["__id"] in taken], sizes.select("__id", "__size").schema)
+    chosen = rows.withColumn("__size", F.octet_length("__text")).join(F.broadcast(ids), ["__id", "__size"]).groupBy("__id").agg(F.min("__text").alias("__text"))  # at most ``sample`` rows
+    got = sorted(chosen.collect(), key=lambda r: r["__id"])
+    return train([bytes(r["__text"]) for r in got], [taken[r["__id"]] for r in got])
 
 
 def score_documents(docs: DataFrame, net: Network, *, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
