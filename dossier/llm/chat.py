@@ -166,11 +166,12 @@ def format_conversations(turns: DataFrame, *, strict: bool = True) -> DataFrame:
     """One row per key: formatted text and loss_spans, the code point ranges [start, end) of the assistants' texts.
 
     Parts are put together by order, equal orders by their turns' text. A conversation is one training text, so its
-    turns meet in one row. A key without turns gets an empty text; a part that is not JSON or too long is an error, for
-    its turns would be missing from the text; without ``strict`` it has none.
+    turns meet in one row. A key without turns gets an empty text. A part with a problem (not JSON or too long, or of an
+    unknown shape) is an error that names it, for its turns would be missing from the text; without ``strict`` it has
+    none. A null part says nothing and is no error.
     """
-    lost = F.raise_error(F.concat(F.lit("a record of conversation "), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(" is not JSON, or too long")))
-    turns = turns.withColumn("turns", F.when(F.col("problem") == "not JSON, or too long", lost).otherwise(F.col("turns"))) if strict else turns
+    lost = F.raise_error(F.concat(F.lit("a record of conversation "), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(" is "), F.when(F.col("problem") == "unknown shape", "of unknown shape").otherwise(F.col("problem"))))
+    turns = turns.withColumn("turns", F.when(F.col("problem") != "null", lost).otherwise(F.col("turns"))) if strict else turns
     parts = turns.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("order", "turns"))).alias("parts"))
     ready = F.transform(F.flatten(F.col("parts.turns")), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     whole = parts.select("key", ready.alias("turns"))
