@@ -122,15 +122,14 @@ def _record(data: bytes, is_whole: bool) -> tuple[str | None, str | None, str |
 
 
 def records_of(data: bytes) -> Iterator[tuple]:
-    """READ without the file, from a file's bytes. What cannot be read, up to the next member that can, is one record."""
+    """READ without the file, from a file's bytes. What cannot be read, up to where the next member begins, is one record."""
     at, ordinal, offset = 0, 0, 0
     while at < len(data):
         content, stop = _member_at(data, at)
-        is_whole, place = stop is not None, at
-        while stop is None:
-            place = data.find(MEMBER, place + 1)
-            if place < 0 or _member_at(data, place)[1] is not None:
-                stop = len(data) if place < 0 else place
+        is_whole = stop is not None
+        if not is_whole:
+            place = data.find(MEMBER, at + 1)
+            stop = len(data) if place < 0 else place
         if content or not is_whole:
             size = len(content) if is_whole else int.from_bytes(data[max(at, stop - 4) : stop], "little")
             digest = hashlib.sha256(content if is_whole else data[at:stop]).hexdigest()
@@ -145,7 +144,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Bytes are read as they are. A member that cannot be read, or whose fields or lengths do not fit, is a record of its
     own with ``damaged``, the SHA-256 of its bytes, its key as far as that can be read, and the size that its end tells;
-    reading goes on at the next member. A task reads files whose number of records and bytes the writer bounds.
+    reading goes on where the next member's first bytes stand. A task reads files whose number of records and bytes the writer bounds.
     """
     types = [pa.int64()] * 4 + [pa.string()] * 4 + [pa.binary(), pa.bool_()]
     names = [c.split()[0] for c in READ.split(", ")]

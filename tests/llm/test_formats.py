@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,7 +59,10 @@ def test_what_cannot_be_parsed_says_so(spark):
     assert {r.key: r.problem for r in turns.select("key", "problem").collect()} == {1: "not JSON, or too long", 2: "null", 3: "unknown shape", 4: "not JSON, or too long"}
     with pytest.raises(Exception, match="is not JSON, or too long"):
         chat.format_conversations(turns.where("key = 1")).collect()
-    assert chat.format_conversations(turns.where("key = 3")).first().formatted == ""
+    with pytest.raises(Exception, match="conversation 3 is of unknown shape"):
+        chat.format_conversations(turns.where("key = 3")).collect()
+    assert chat.format_conversations(turns.where("key = 3"), strict=False).first().formatted == ""
+    assert chat.format_conversations(turns.where("key = 2")).first().formatted == ""
 
 
 def test_typed_records_of_any_length(spark):
@@ -145,3 +149,61 @@ def test_warc_of_no_pages(spark):
     none = warc.warc_records(spark.createDataFrame([], PAGES))
     assert none.count() == 0
     assert warc.audit(warc.merkle_tree(none), warc.merkle_tree(none)).count() == 0
+
+
+def spoil_record(change):
+    """Change one record inside its member, and compress it again."""
+    return lambda member: gzip.compress(change(gzip.decompress(member)), 6, mtime=0)
+
+
+def flip(at):
+    return lambda member: member[:at] + bytes([member[at] ^ 0x55]) + member[at + 1 :]
+
+
+SPOILT = {
+    "no_utf8": (spoil_record(lambda r: r.replace(b"<p>", b"<\xff>")), "changed"),
+    "no_utf8_in_two_places": (spoil_record(lambda r: r.replace(b"</p>", b"\xc3(/p")), "changed"),
+    "length_digit": (spoil_record(lambda r: re.sub(rb"Content-Length: \d", b"Content-Length: 9", r)), "damaged"),
+    "length_is_no_number": (spoil_record(lambda r: re.sub(rb"Content-Length: \d", b"Content-Length: x", r)), "damaged"),
+    "no_id": (spoil_record(lambda r: r.replace(b"WARC-Record-ID", b"WARC-Record-IX")), "damaged"),
+    "magic": (flip(0), "damaged"),
+    "first_bytes": (flip(12), "damaged"),
+    "middle": (lambda m: flip(len(m) // 2)(m), "damaged"),
+    "checksum": (lambda m: flip(len(m) - 6)(m), "damaged"),
+    "cut_short": (lambda m: m[: len(m) // 2], "damaged"),
+    "nothing_left": (lambda m: b"\0", "damaged"),
+}
+
+
+def test_each_damage_to_a_file_is_one_finding(spark, tmp_path):
+    """Files are changed after they were written; no other record is reported, and all others are read."""
+    table = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("<p>"), F.sha2(F.col("id").cast("string"), 256), F.lit("</p>")).alias("html"))
+    ours = warc.warc_records(table, files=3).cache()
+    mine = warc.merkle_tree(ours)
+    records = {(r.file, r.ordinal): (r.page_id, bytes(r.record, "utf8")) for r in ours.collect()}
+    warc.write_warc(ours, str(tmp_path / "w"), 3)
+    file = next((tmp_path / "w/records/file=1").glob("part-*"))
+    whole = file.read_bytes()
+    packed = [gzip.compress(records[1, i][1], 6, mtime=0) for i in range(sum(f == 1 for f, _ in records))]
+    assert b"".join(packed) == whole
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    for name, (change, status) in SPOILT.items():
+        file.write_bytes(b"".join(change(m) if i == 40 else m for i, m in enumerate(packed)))
+        back = warc.read_warc(spark, str(tmp_path / "w"))
+        found = [tuple(r) for r in warc.audit(mine, warc.merkle_tree(back)).collect()]
+        assert found == [(1, 40, status)], name
+        assert back.where("not damaged").count() == 300 - (status == "damaged") and back.where("raw is not null").count() == 1, name
+    file.write_bytes(b"".join(flip(30)(m) if i in (3, 4, 90) else m for i, m in enumerate(packed) if i != 7))
+    found = sorted(tuple(r) for r in warc.audit(mine, warc.merkle_tree(warc.read_warc(spark, str(tmp_path / "w")))).collect())
+    assert {x for x in found if x[1] < 80} == {(1, 3, "damaged"), (1, 4, "damaged"), (1, 7, "missing")} and found[3:]
+
+
+def test_very_long_and_binary_records(spark, tmp_path):
+    long = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("ab"), (F.col("id") * 10_000_000).cast("int")).alias("html"))
+    records = warc.warc_records(long, files=1)
+    warc.write_warc(records, str(tmp_path / "w"), 1)
+    back = warc.read_warc(spark, str(tmp_path / "w"))
+    same = ["ordinal", "offset", "length", "key", "record_sha256"]
+    assert sorted(map(tuple, back.select(*same).collect())) == sorted(map(tuple, records.select(*same).collect()))
+    assert warc.file_count(long) == 1 and warc.file_count(long, file_bytes=1 << 20) == 58 and warc.file_count(long.limit(0)) == 1

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -179,3 +180,16 @@ def test_classifier_without_labels(spark):
     net = quality.fit(table, none)
     assert quality.score_documents(table, net, keep=["doc_id"]).count() == 1
     assert quality.score_documents(table.limit(0), net, keep=["doc_id"]).count() == 0
+
+
+def test_one_long_labelled_text_does_not_end_the_sample(spark):
+    """The text that does not fit is passed over; those after it are learnt from as before."""
+    ids = sorted((i for i in range(200) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:60]
+    words = {0: "zzzz xxxx qqqq ", 1: "the good text of it "}
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    rows = [(i, words[k % 2] * 12) for k, i in enumerate(ids)]
+    for texts in (rows, [(ids[0], words[0] * 3000), *rows[1:]]):
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        net = quality.fit(docs, labels, sample_bytes=20_000)
+        got = {r.doc_id: r.score for r in quality.score_documents(docs, net, keep=["doc_id"]).collect()}
+        assert all((got[i] > 0.5) == bool(k % 2) for k, i in enumerate(ids))
