@@ -9,6 +9,8 @@ from dossier.functions import codes
 from dossier.functions.normalize import alias_key, article_key, collapse_spaces
 
 QUESTION_CHARS, CONTEXT_TURNS, CONTEXT_CODES, CODE_CHARS = 1000, 3, 4, 64
+#: Asked keys are broadcast up to so many (about 40 bytes each), by their first LEVELS parts and one more.
+BROADCAST_KEYS, LEVELS = 100_000, 8
 
 
 def catalogue(documents: DataFrame, chunks: DataFrame, *, document: str = "document_id", status: str = "status", article: str = "article") -> DataFrame:
@@ -27,22 +29,45 @@ def is_known(candidates: DataFrame, articles: DataFrame, *, article: str = "arti
     return candidates.join(known, [*keys, article], "left_semi")
 
 
+def _below(chunks: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows of ``chunks`` with ``__asked``: each asked key that a chunk's key is, or lies below.
+
+    Up to BROADCAST_KEYS asked keys go to every task, a table for each depth they have, so that chunks are read once,
+    moved nowhere, and multiplied only by what they meet. Keys of more than LEVELS parts meet by their first ones, and
+    then by the whole. More asked keys than that meet the ancestors of chunks by a shuffle.
+    """
+    keys = asked.where("asked is not null").select(F.col("asked").alias("__asked")).distinct()
+    parts = lambda k: F.length(k) - F.length(F.replace(F.col(k), F.lit("."), F.lit(""))) + 1
+    is_below = (F.col(key) == F.col("__asked")) | F.startswith(F.col(key), F.concat("__asked", F.lit(".")))
+    depth = F.least(parts("__asked"), F.lit(LEVELS + 1))
+    keys = keys.withColumn("__depth", depth).withColumn("__start", F.substring_index("__asked", ".", LEVELS + 1))
+    if keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        ups = F.transform(F.sequence(F.lit(1), F.least(parts(key), F.lit(LEVELS + 1))), lambda n: F.struct(n.alias("n"), F.call_function("substring_index", F.col(key), F.lit("."), n).alias("up")))
+        levels = chunks.withColumn("__up", F.explode(ups))
+        same = (F.col("__up.up") == F.col("__start")) & (F.col("__up.n") == F.col("__depth"))
+        return levels.join(keys, same & is_below).drop("__up", "__depth", "__start")
+    found = chunks.withColumn("__met", F.array().cast("array<string>"))
+    for (n,) in sorted(keys.select("__depth").distinct().collect()):  # LEVELS + 1 rows at most
+        level = keys.where(F.col("__depth") == n).groupBy(F.col("__start").alias("__up")).agg(F.collect_list("__asked").alias("__here"))
+        found = found.join(F.broadcast(level), F.substring_index(F.col(key), ".", n) == F.col("__up"), "left")
+        found = found.withColumn("__met", F.concat("__met", F.coalesce("__here", F.array().cast("array<string>")))).drop("__up", "__here")
+    return found.where(F.size("__met") > 0).withColumn("__asked", F.explode("__met")).drop("__met").where(is_below)
+
+
 def exact_or_children(chunks: DataFrame, questions: DataFrame, *, key: str, question: str, order: list[str]) -> DataFrame:
     """Chunks of the asked key; only if no document has it, those below it. Rows (question, seq, columns of chunks).
 
-    ``questions`` has (question, asked, document), where a null document means any. Equal keys and prefixes up to a dot
-    are found by one equi-join on all ancestors of a chunk's key.
+    ``questions`` has (question, asked, document), where a null document means any. A null asked key or chunk key finds
+    nothing.
     """
-    depth = F.length(key) - F.length(F.replace(F.col(key), F.lit("."), F.lit(""))) + 1
-    asked = questions.select(F.col(question).alias("__q"), F.col("asked").alias("__asked"), F.col("document").alias("__doc"))
-    levels = chunks.withColumn("__n", F.explode(F.sequence(F.lit(1), depth)))
-    found = levels.withColumn("__up", F.expr(f"substring_index(`{key}`, '.', __n)")).drop("__n").join(asked, F.col("__up") == F.col("__asked"))
-    found = found.where(F.col("__doc").isNull() | (F.col("__doc") == F.col("document")))
+    found = _below(chunks, questions, key)
+    asked = questions.select(F.col(question).alias("__q"), F.col("asked").alias("__key"), F.col("document").alias("__doc"))
+    found = found.join(asked, (F.col("__asked") == F.col("__key")) & (F.col("__doc").isNull() | (F.col("__doc") == F.col("document"))))
     exact = found.withColumn("__exact", F.col(key) == F.col("__asked"))
     exact = exact.withColumn("__any", F.max("__exact").over(Window.partitionBy("__q")))
     kept = exact.where(F.col("__exact") | ~F.col("__any"))
     kept = kept.withColumn("seq", F.row_number().over(Window.partitionBy("__q").orderBy(*order)))
-    return kept.withColumnRenamed("__q", question).drop("__up", "__asked", "__doc", "__exact", "__any")
+    return kept.withColumnRenamed("__q", question).drop("__key", "__asked", "__doc", "__exact", "__any")
 
 
 def valid_question(text: Column, limit: int = QUESTION_CHARS) -> Column:
