@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.operators import accounting, evaluation, lifecycle, similarity
 from dossier.plans.registry import query, table
 from dossier.streaming import accounting as stream
+from dossier.streaming import settled
 
 COUNTS = """c AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS minute_count,
   count(*) OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS hour_count FROM events)"""
@@ -72,6 +73,26 @@ def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
     return done.select("event_id", "minute_count", "hour_count", "allowed")
 
 
+ARRIVED = """a AS (SELECT *, ts + to_seconds((event_id * 7919) % 500) AS arrived FROM events),
+done AS (SELECT * FROM a WHERE date_trunc('minute', ts) + INTERVAL 11 MINUTES <= (SELECT max(arrived) FROM a))"""
+
+
+def _arriving(spark: SparkSession, d: str, *more) -> DataFrame:
+    """The events as a stream, each up to 500 seconds after its time, in a session whose state is kept as settling needs."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", settled.STORE)
+    events = stream.events_of(session, f"{d}/event[s].parquet", table(spark, d, "events").schema)
+    return events.select(F.col("user_id").cast("string").alias("key"), "event_id", "ts", F.expr("ts + make_dt_interval(0, 0, 0, (event_id * 7919) % 500)").alias("arrived"), *more)
+
+
+@query(f"""WITH {ARRIVED} SELECT event_id, count(*) OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS minute_count,
+  count(*) OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS hour_count, false AS is_late FROM done""")
+def rate_limit_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a stream whose requests arrive out of order, of all that are settled at its end."""
+    rows = _arriving(spark, d).withColumnRenamed("key", "caller")
+    return stream.run_available(settled.rate_limited(rows), "settled").select("event_id", "minute_count", "hour_count", "is_late")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 7 IN (1, 2) THEN 'host' WHEN event_id % 7 = 3 THEN '2001:db8::' || (event_id % 10) WHEN event_id % 2 = 0 THEN '10.0.0.' || (event_id % 250) ELSE '10.1.1.1' END AS ip FROM events""")
 def client_address(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
