@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose, exact sets decide."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints under covering masks propose, exact sets decide."""
 
 from __future__ import annotations
 
@@ -9,36 +9,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.debruijn import mixed
 from dossier.llm.durable import durable
 from dossier.llm.graph import connected_components, hot_join, spread_join
-from dossier.llm.simhash import shingle_hashes
+from dossier.llm.simhash import covering_masks, fingerprints_of, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A pair at similarity s meets in some band with probability 1 - (1 - s^5)^20: 0.9996 at 0.8.
-ROWS, BANDS = 5, 20
-#: Texts that one task compares with each other.
-BLOCK = 128
-SLICE = 1 << 11
+#: SimHashes of a text: those that are cut into parts, each under the covering masks of RADIUS, and those by which texts of a bucket are compared.
+KEY_WORDS, CHECK_WORDS = 4, 2
+RADIUS, PART_BITS = 2, 21
+PARTS = KEY_WORDS * (64 // PART_BITS)
+#: Texts that differ in at most PARTS * (RADIUS + 1) - 1 = 35 of the 252 key bits meet for certain. At similarity 0.8
+#: the bits differ with probability 0.151, and a pair meets under some mask with probability 0.9998.
+MASKS = np.array(covering_masks(RADIUS, bits=PART_BITS), np.int64)
+TABLES = PARTS * len(MASKS)
+#: Differing bits of the 128 others, beyond which a pair is not compared: 19 are usual at 0.8, and 64 for unlike texts.
+NEAR = 40
+#: Texts that one task compares with each other, and by how many more fingerprints are compared.
+BLOCK, PRINTS = 128, 32
+#: Fingerprints of a bucket that are compared side by side with those of other buckets.
+SMALL = 256
 #: Pairs that one copy of a text serves.
 PAIRS = 256
-
+PRINT = ["p0", "p1"]
 
 _rng = np.random.default_rng(42)
-TIMES = _rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
-PLUS = _rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)
+TIMES = _rng.integers(0, 1 << 64, KEY_WORDS + CHECK_WORDS, dtype=np.uint64) | np.uint64(1)
+PLUS = _rng.integers(0, 1 << 64, KEY_WORDS + CHECK_WORDS, dtype=np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHashes of the same shingles, each by other hashes of them; texts without words have zeros."""
+    return fingerprints_of(mixed(hashes[:, None] * TIMES + PLUS))
+
+
+def covering_keys(words: np.ndarray) -> np.ndarray:
+    """The key words of each row, as a number of table and masked bits a table."""
+    parts = np.stack([(words >> (PART_BITS * j)) & ((1 << PART_BITS) - 1) for j in range(64 // PART_BITS)], axis=2).reshape(len(words), PARTS)
+    return (np.arange(TABLES, dtype=np.int64) << 32) | (parts[:, :, None] & MASKS).reshape(len(words), TABLES)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key a band; texts without words share all of theirs."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), SLICE):
-        least = np.minimum(least, (hashes[at : at + SLICE, None] * TIMES + PLUS).min(axis=0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+    """The buckets of a text; texts without words share all of theirs."""
+    return covering_keys(wide_fingerprint(hashes)[None, :KEY_WORDS])[0]
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -49,18 +63,132 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _banded(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, band) for each band of each text."""
+def _prints(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, k0 ... k3, p0, p1): the wide fingerprint of each text, once."""
+    names = [*(f"k{i}" for i in range(KEY_WORDS)), *PRINT]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(np.unique(shingle_hashes(t or b"", shingle))) for t in batch.column("text").to_pylist()]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(flat)], names=["node", "band"])
+            found = [wide_fingerprint(np.unique(shingle_hashes(t or b"", shingle))) for t in batch.column("text").to_pylist()]
+            columns = np.array(found, np.int64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["node", *names])
+
+    rows = texts.select("node", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(scan, "node string, " + ", ".join(f"{n} long" for n in names)).dropDuplicates(["node"])
+
 
-    rows = texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "node string, band long")
-    return rows.distinct()
+def _bucketed(prints: DataFrame) -> DataFrame:
+    """(bucket, p0, p1) for each table and distinct fingerprint."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                keys = covering_keys(np.stack([batch.column(f"k{i}").to_numpy() for i in range(KEY_WORDS)], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(), TABLES)) for c in PRINT)], names=["bucket", *PRINT])
+
+    return prints.drop("node").distinct().mapInArrow(scan, "bucket long, p0 long, p1 long")
+
+
+def _reached(prints: np.ndarray) -> np.ndarray:
+    """For each fingerprint the place of the first one that it reaches by steps of at most NEAR bits."""
+    first, left = np.arange(len(prints)), np.arange(len(prints))
+    while len(left):
+        root, queue, left = left[0], [left[0]], left[1:]
+        while queue and len(left):
+            near = np.bitwise_count(prints[left] ^ prints[queue.pop()]).sum(axis=1, dtype=np.int64) <= NEAR
+            queue += left[near].tolist()
+            first[left[near]] = root
+            left = left[~near]
+    return first
+
+
+def near_in_buckets(bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """``_reached`` in each of many buckets, which come in order; places are those among all."""
+    start = np.nonzero(np.r_[True, bucket[1:] != bucket[:-1]])[0] if len(bucket) else np.zeros(0, int)
+    size = np.diff(np.r_[start, len(bucket)])
+    first = np.arange(len(bucket))
+    for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        first[s : s + n] = s + _reached(prints[s : s + n])
+    behind = np.repeat(start + size, size) - np.arange(len(bucket)) - 1
+    at, step, pairs = np.nonzero(np.where(np.repeat(size, size) > SMALL, 0, behind) > 0)[0], 1, []
+    while len(at):
+        near = np.bitwise_count(prints[at, 0] ^ prints[at + step, 0]) + np.bitwise_count(prints[at, 1] ^ prints[at + step, 1]) <= NEAR
+        pairs.append(np.stack([at[near], at[near] + step]))
+        step += 1
+        at = at[behind[at] >= step]
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
+    while (first[a] != first[b]).any():
+        least = np.minimum(first[a], first[b])
+        np.minimum.at(first, a, least)
+        np.minimum.at(first, b, least)
+    return first
+
+
+def _grouped(rows: DataFrame, most: int | None) -> DataFrame:
+    """(band, p0, p1, whole) of rows (bucket, p0, p1): fingerprints that reach each other inside a bucket have a band,
+    which is named by its fingerprints. A bucket of over ``most`` is handed on, with ``whole``, and is not held."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["band", *PRINT, "whole"]
+        bucket, prints, passing = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), None
+
+        def out(band: np.ndarray, prints: np.ndarray, whole: bool) -> pa.RecordBatch:
+            signed = np.ascontiguousarray(prints.T).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(band), pa.array(signed[0]), pa.array(signed[1]), pa.array(np.full(len(band), whole))], names=names)
+
+        def ready(bucket: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if most is not None and len(bucket):
+                start = np.nonzero(np.r_[True, bucket[1:] != bucket[:-1]])[0]
+                size = np.diff(np.r_[start, len(bucket)])
+                large = np.repeat(size, size) > most
+                if large.any():
+                    yield out(bucket[large], prints[large], True)
+                    bucket, prints = bucket[~large], prints[~large]
+            first = near_in_buckets(bucket, prints)
+            members = np.bincount(first, minlength=len(first))
+            name = np.zeros(len(first), np.uint64)
+            np.add.at(name, first, mixed(prints[:, 0] ^ mixed(prints[:, 1])))
+            some = members[first] > 1
+            yield out(mixed(name[first[some]] + members[first[some]].astype(np.uint64)).view(np.int64), prints[some], False)
+
+        for batch in batches:
+            bucket = np.concatenate([bucket, batch.column("bucket").to_numpy()])
+            prints = np.concatenate([prints, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in PRINT], axis=1)])
+            if passing is not None:
+                n = int(np.searchsorted(bucket, passing, side="right"))
+                yield out(bucket[:n], prints[:n], True)
+                bucket, prints = bucket[n:], prints[n:]
+            if not len(bucket):
+                continue
+            n = int(np.searchsorted(bucket, bucket[-1]))
+            yield from ready(bucket[:n], prints[:n])
+            bucket, prints, passing = bucket[n:], prints[n:], None
+            if most is not None and len(bucket) > most:
+                passing = bucket[0]
+                yield out(bucket, prints, True)
+                bucket, prints = bucket[:0], prints[:0]
+        yield from ready(bucket, prints)
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(scan, "band long, p0 long, p1 long, whole boolean")
+
+
+def _banded(texts: DataFrame, shingle: int, most: int) -> DataFrame:
+    """(node, band): any two texts whose fingerprints meet under a mask and differ in at most NEAR other bits share a band.
+
+    Buckets of more than ``most`` fingerprints are cut into parts, each two of which meet in a task.
+    """
+    prints = durable(_prints(texts, shingle))
+    found = durable(_grouped(_bucketed(prints), most))
+    large = found.where("whole").select(F.col("band").alias("bucket"), *PRINT)
+    sizes = large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    dealt = spread_join(large, sizes, "bucket", F.xxhash64(*PRINT)).withColumn("own", F.pmod(F.xxhash64(*PRINT), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *PRINT)
+    equal = prints.groupBy(*PRINT).count().where("count > 1").select(F.xxhash64(*PRINT).alias("band"), *PRINT)
+    bands = found.where("not whole").drop("whole").unionByName(_grouped(pairs, None).drop("whole")).unionByName(equal).distinct()
+    return prints.join(bands, PRINT).select("node", "band")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -145,10 +273,10 @@ def similar_texts(texts: DataFrame, *, shingle: int = SHINGLE, similarity: float
     """(node, component) of texts (node, text; equal texts share a node) that have links; a link is a Jaccard similarity of at least
     ``similarity`` between the sets of word shingles, and the component is the smallest node.
 
-    Texts of a band are compared with its first one; what this leaves in several components is compared in full, by
+    Fingerprints that meet share a band. Texts of a band are compared with its first one; what this leaves in several components is compared in full, by
     blocks of ``block`` texts. Tasks give back spanning edges, and no text goes without an exact comparison.
     """
-    rows = durable(_banded(texts, shingle))
+    rows = durable(_banded(texts, shingle, PRINTS * block))
     bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).where("n > 1")
     shared = durable(spread_join(rows, bands, "band", "node", spread=4))
     wanted = durable(shared.select("node").distinct())

@@ -33,17 +33,24 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.
     return np.fromiter((digest(g, seed) for g in grams), dtype=np.uint64)
 
 
-def fingerprint_of(hashes: np.ndarray) -> int:
-    """Signed 64 bits: a bit is set if it is set in over half the hashes; without hashes, zero."""
-    n = len(hashes)
-    if not n:
-        return 0
-    counts = np.zeros(64, dtype=np.int64)
+#: The eight bits of each byte value as the eight bytes of a number, so that sums of 255 of them count bits.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints_of(hashes: np.ndarray) -> np.ndarray:
+    """Signed 64 bits for each column: a bit is set if it is set in over half the column's hashes; without hashes, zero."""
+    n, columns = hashes.shape
+    counts = np.zeros(64 * columns, dtype=np.int64)
     for at in range(0, n, SLICE):
-        bits = np.unpackbits(hashes[at : at + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255  # sums of 255 bits fit in a byte
-        counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        lanes = LANES[np.ascontiguousarray(hashes[at : at + SLICE], dtype="<u8").view(np.uint8)]
+        whole = len(lanes) // 255 * 255
+        counts += lanes[:whole].reshape(-1, 255, 8 * columns).sum(axis=1).view(np.uint8).sum(axis=0, dtype=np.int64) + lanes[whole:].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * counts > n, bitorder="little").view("<i8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of one set of hashes."""
+    return int(fingerprints_of(hashes[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str]) -> DataFrame:
@@ -60,12 +67,12 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str]) -> Dat
     return rows.mapInArrow(scan, f"{schema}, fp long")
 
 
-def covering_masks(radius: int = RADIUS, seed: int = 1) -> list[int]:
-    """2^(r+1)-1 signed masks. Each bit has a nonzero vector of r+1 bits, and the mask of v holds the bits whose vector
+def covering_masks(radius: int = RADIUS, seed: int = 1, bits: int = 64) -> list[int]:
+    """2^(r+1)-1 signed masks over the lowest ``bits``. Each bit has a nonzero vector of r+1 bits, and the mask of v holds the bits whose vector
     has an odd product with v. Any r bits leave some v at an even product with all of theirs, so two fingerprints that
     differ in at most r bits agree under some mask."""
     top = 1 << (radius + 1)
-    vectors = [1 + i % (top - 1) for i in range(64)]
+    vectors = [1 + i % (top - 1) for i in range(bits)]
     random.Random(seed).shuffle(vectors)
     masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, top)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]

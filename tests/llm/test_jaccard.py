@@ -72,3 +72,65 @@ def test_bands_reach_the_similarity():
 
 def test_nothing_to_compare(spark):
     assert jaccard.similar_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def flipped(rng, prints, bits, n):
+    """The same words with n of the given bits turned."""
+    out = prints.copy()
+    for b in rng.choice(bits, n, replace=False):
+        out[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return out
+
+
+def test_candidates_come_from_simhashes_under_covering_masks():
+    rng = np.random.default_rng(4)
+    bits = np.array([64 * w + b for w in range(jaccard.KEY_WORDS) for b in range(64 // jaccard.PART_BITS * jaccard.PART_BITS)])
+    for _ in range(300):
+        x = rng.integers(0, 1 << 64, jaccard.KEY_WORDS, dtype=np.uint64)
+        y = flipped(rng, x, bits, jaccard.PARTS * (jaccard.RADIUS + 1) - 1)
+        one, other = jaccard.covering_keys(np.stack([x, y]).view(np.int64))
+        assert (one == other).any()
+    hashes = rng.integers(0, 1 << 64, 700, dtype=np.uint64)
+    words = jaccard.wide_fingerprint(hashes)
+    assert len(set(words.tolist())) == len(words) == jaccard.KEY_WORDS + jaccard.CHECK_WORDS
+    for word, t, p in zip(words, jaccard.TIMES, jaccard.PLUS, strict=True):
+        assert simhash.fingerprint_of(jaccard.mixed(hashes * t + p)) == word
+    assert not jaccard.wide_fingerprint(np.zeros(0, np.uint64)).any()
+
+
+@pytest.mark.parametrize("most", [None, 1000, 7])
+def test_groups_in_small_large_and_divided_buckets(spark, most):
+    rng = np.random.default_rng(5)
+    rows = []
+    for bucket, n in ((5, 900), (-3, 40), (8, 2), (9, 1), (2, 300)):
+        prints = [rng.integers(0, 1 << 64, 2, dtype=np.uint64)]
+        while len(prints) < n:
+            prints.append(flipped(rng, prints[rng.integers(len(prints))], np.arange(128), 20) if rng.random() < 0.5 else rng.integers(0, 1 << 64, 2, dtype=np.uint64))
+        rows += [(bucket, *map(int, p.view(np.int64))) for p in prints]
+    got = jaccard._grouped(spark.createDataFrame(rows, "bucket long, p0 long, p1 long"), most).collect()
+    sizes = {b: sum(r[0] == b for r in rows) for b in (5, -3, 8, 9, 2)}
+    large = {b for b, n in sizes.items() if most and n > most}
+    assert sorted((r.band, r.p0, r.p1) for r in got if r.whole) == sorted(r for r in rows if r[0] in large)
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip((a[0] % 2**64, a[1] % 2**64), (b[0] % 2**64, b[1] % 2**64), strict=True))
+    want = set()
+    for b in set(sizes) - large:
+        root = brute_components({r[1:]: r[1:] for r in rows if r[0] == b}, lambda x, y: bits(x, y) <= jaccard.NEAR)
+        want |= {frozenset(k for k, v in root.items() if v == top) for top in set(root.values())}
+    bands = {}
+    for r in got:
+        if not r.whole:
+            bands.setdefault(r.band, set()).add((r.p0, r.p1))
+    assert set(map(frozenset, bands.values())) == {g for g in want if len(g) > 1}
+
+
+def test_divided_buckets_lose_no_pair(spark):
+    """With seven fingerprints a task at most, texts without words and their likes share buckets that are cut into parts."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    rows = [(i, " ".join(base[: 5 * i] + [f"x{i}"] + base[5 * i :])) for i in range(60)]
+    texts = spark.createDataFrame([(str(i), t) for i, t in rows], "node string, text string")
+    bands = {}
+    for r in jaccard._banded(texts, 5, 7).collect():
+        bands.setdefault(r.band, set()).add(r.node)
+    met = {(a, b) for nodes in bands.values() for a in nodes for b in nodes if a < b}
+    assert met == {(a, b) for a, _ in texts.collect() for b, _ in texts.collect() if a < b}
