@@ -42,58 +42,50 @@ class MergeTree:
     merge changes three leaves at most, the pair's own and those of its two neighbours, each up to the root.
     """
 
-    def __init__(self, piece: bytes, ranks: Ranks, longest: int, beyond: int):
-        """``longest``: bytes of the longest token; ``beyond``: a number above all ranks."""
+    def __init__(self, piece: bytes, ranks: Ranks, beyond: int):
+        """``beyond``: a number above all ranks. Pairs without a rank count as that, so that no leaf from ``none`` on is merged."""
         n = self.n = len(piece)
-        self.piece, self.ranks, self.longest = piece, ranks, longest
-        self.size = 1 << max(0, n - 1).bit_length()
-        self.none = beyond * self.size
+        self.piece, self.ranks, self.beyond = piece, ranks, beyond
+        size = self.size = 1 << max(0, n - 1).bit_length()
+        self.none = beyond * size
         self.end = list(range(1, n + 1))  # of the part that begins here
         self.before = list(range(-1, n - 1))  # where the part before this one begins
-        leaves = [self.pair(i) for i in range(n)] + [self.none] * (self.size - n)
-        self.tree = [self.none] * self.size + leaves
-        for i in range(self.size - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def pair(self, at: int) -> int:
-        """The leaf of the part that begins at ``at``."""
-        middle = self.end[at]
-        if middle >= self.n:
-            return self.none
-        end = self.end[middle]
-        rank = self.ranks.get(self.piece[at:end]) if end - at <= self.longest else None
-        return self.none if rank is None else rank * self.size + at
-
-    def put(self, at: int, leaf: int) -> None:
-        tree, i = self.tree, at + self.size
-        tree[i] = leaf
-        while i > 1:
-            left, right = tree[i & ~1], tree[i | 1]
-            least = left if left < right else right
-            i >>= 1
-            if tree[i] == least:
-                return
-            tree[i] = least
-
-    def merge(self) -> bool:
-        """Join the leftmost pair of the least rank, if there is one."""
-        leaf = self.tree[1]
-        if leaf >= self.none:
-            return False
-        at = leaf % self.size
-        gone = self.end[at]
-        self.end[at] = end = self.end[gone]
-        if end < self.n:
-            self.before[end] = at
-        self.put(gone, self.none)
-        self.put(at, self.pair(at))
-        if (left := self.before[at]) >= 0:
-            self.put(left, self.pair(left))
-        return True
+        rank = ranks.get
+        leaves = [rank(piece[i : i + 2], beyond) * size + i for i in range(n - 1)]
+        tree = self.tree = [self.none] * size + leaves + [self.none] * (size - len(leaves))
+        for i in range(size - 1, 0, -1):
+            left, right = tree[2 * i], tree[2 * i + 1]
+            tree[i] = left if left < right else right
+
+    def merge_all(self) -> None:
+        """Join the leftmost pair of the least rank, as long as there is one. A part is a token, so a pair is no longer than two."""
+        piece, rank, beyond, n, size, none = self.piece, self.ranks.get, self.beyond, self.n, self.size, self.none
+        tree, ends, before = self.tree, self.end, self.before
+        while (leaf := tree[1]) < none:
+            at = leaf & (size - 1)
+            gone = ends[at]
+            ends[at] = middle = ends[gone]
+            changed = [(gone + size, none)]
+            if middle < n:
+                before[middle] = at
+                changed.append((at + size, rank(piece[at : ends[middle]], beyond) * size + at))
+            else:
+                changed.append((at + size, none))
+            if (left := before[at]) >= 0:
+                changed.append((left + size, rank(piece[left:middle], beyond) * size + left))
+            for i, leaf in changed:
+                tree[i] = leaf
+                while i > 1:
+                    other = tree[i ^ 1]
+                    if other < leaf:
+                        leaf = other
+                    i >>= 1
+                    if tree[i] == leaf:
+                        break
+                    tree[i] = leaf
 
     def ids(self) -> list[int]:
-        while self.merge():
-            pass
+        self.merge_all()
         found, at = [], 0
         while at < self.n:
             found.append(self.ranks[self.piece[at : self.end[at]]])
@@ -106,18 +98,19 @@ class Codec:
     it becomes the old one, from which only pieces that come again move on."""
 
     def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.longest, self.beyond = ranks, max(map(len, ranks)), max(ranks.values()) + 1
+        self.ranks, self.beyond = ranks, max(ranks.values()) + 1
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
 
     def piece_ids(self, piece: str) -> list[int]:
         found = self.old.get(piece)
         data = piece.encode()
         if found is None:
             whole = self.ranks.get(data)  # a whole token is itself, whether or not merges lead there
-            found = MergeTree(data, self.ranks, self.longest, self.beyond).ids() if whole is None else [whole]
+            found = MergeTree(data, self.ranks, self.beyond).ids() if whole is None else [whole]
         if len(data) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known, self.old = {}, self.known
@@ -127,6 +120,10 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable([self.known.get(p) or self.piece_ids(p) for p in self.split(text)]))
 
+    def named(self, ids: list[int]) -> str:
+        """The ids as decimal numbers, joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -181,7 +178,7 @@ def round_trips(docs: DataFrame, *, path: str, pattern: str, doc_id: str = "doc_
             rows = []
             for text_ in block.column("text"):
                 ids = codec.encode((text_.as_py() or b"").decode(errors="replace"))
-                rows.append((len(ids), sha(",".join(map(str, ids)).encode()), sha(codec.decode(ids))))
+                rows.append((len(ids), sha(codec.named(ids).encode()), sha(codec.decode(ids))))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             types = (pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([block.column("id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
