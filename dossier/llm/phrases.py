@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.batches import Batch, Columns, Packed, answer, ask, gather, pack_documents, unplanes, visit
+from dossier.llm.batches import Batch, Columns, Packed, answer, ask, gather, pack_documents, uncell, visit
 from dossier.llm.debruijn import KEY_ANSWER, Words, may_repeat, mixed, word_hashes
 from dossier.llm.durable import durable, stored
 from dossier.llm.graph import hot_join, spread_join
@@ -25,12 +26,37 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 
 
-def weighted_pieces(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, piece, weight): each distinct piece of a language once, as words joined by single spaces, and how often it occurs."""
+#: Bytes of pieces whose copies a task counts together.
+STRETCH = 16 << 20
+
+
+def pieces_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, piece): each piece as words joined by single spaces."""
     rows = docs.select(F.coalesce(docs[lang], F.lit("und")).alias("lang"), F.translate(docs[text], UPPER, LOWER).alias("text"))
     pieces = rows.select("lang", F.explode(F.split("text", BREAKS)).alias("piece"))
     tidy = F.trim(F.regexp_replace("piece", r"[\x20\x09]+", " "))
-    return pieces.select("lang", tidy.alias("piece")).where("piece <> ''").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("weight"))
+    return pieces.select("lang", tidy.alias("piece")).where("piece <> ''")
+
+
+def weighted(pieces: DataFrame) -> DataFrame:
+    """(piece, weight): each distinct piece of a stretch of a partition once, and how often it occurs there. Weights of
+    several stretches are summed wherever n-grams are counted, so that pieces themselves are not shuffled."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, size = Counter(), 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.binary()), pa.array(times.values(), pa.int64())], names=["piece", "weight"])
+
+        for batch in batches:
+            times.update(batch.column("piece").to_pylist())
+            size += batch.nbytes
+            if size >= STRETCH:
+                yield out()
+                times, size = Counter(), 0
+        yield out()
+
+    return pieces.select(F.col("piece").cast("binary").alias("piece")).mapInArrow(scan, "piece binary, weight long")
 
 
 def _tag(lang: Column) -> Column:
@@ -132,8 +158,8 @@ def _tagged(grams: Grams, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 
 def counted_texts(bucket: pa.Table, least: int) -> pa.Table:
     """PHRASES of a bucket, by their texts: those that occur ``least`` times."""
-    sizes = np.concatenate([unplanes(b, np.uint32) for b in bucket.column("size").to_pylist()])
-    weight = np.concatenate([unplanes(b, np.int64) for b in bucket.column("weight").to_pylist()])
+    sizes = np.concatenate([uncell(b, np.uint32) for b in bucket.column("size").to_pylist()])
+    weight = np.concatenate([uncell(b, np.int64) for b in bucket.column("weight").to_pylist()])
     texts = b"".join(map(zstandard.decompress, bucket.column("text").to_pylist()))
     offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
     rows = pa.table({"text": pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(texts)]), "weight": weight})
@@ -270,7 +296,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lon
     """
     if longest < 2:
         raise ValueError("phrases have two words at least")
-    pieces = weighted_pieces(docs, text, lang).select("weight", F.concat_ws(" ", _tag(F.col("lang")), "piece").alias("piece"))
+    pieces = weighted(pieces_of(docs, text, lang).select(F.concat_ws(" ", _tag(F.col("lang")), "piece").alias("piece")))
     total = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
     packed = pack_documents(pieces, doc_id="weight", text="piece", total=total)
     phrases = stored(frequent_phrases(packed, longest, least))

@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
-from dossier.llm import debruijn, suffixes
+from dossier.llm import batches, debruijn, suffixes
 
 SCHEMA = "doc_id long, text string, n_words string, batch_id string"
 
@@ -136,3 +137,16 @@ def test_colliding_hashes_are_asked_again(spark, monkeypatch, each):
     for r in debruijn.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("dtype", [np.uint8, np.uint32, np.uint64, np.int64])
+def test_cells_keep_their_numbers_and_are_small(dtype):
+    rng = np.random.default_rng(6)
+    info = np.iinfo(dtype)
+    for n in (1, 2, 50, 8000):
+        x = rng.integers(info.min, info.max, n, dtype=dtype, endpoint=True)
+        for values in (x, np.sort(x), np.full(n, info.max, dtype), np.sort(x)[::-1]):
+            found = batches.uncell(batches.cell(values), dtype)
+            assert found.dtype == dtype and (found == values).all()
+    keys = np.sort(rng.integers(0, 1 << 32, 8000, dtype=np.uint32))
+    assert len(batches.cell(keys)) < 0.75 * len(batches.planes(keys)) and len(batches.cell(keys)) < 0.95 * len(zstandard.compress(batches.planes(keys), 3))
