@@ -81,3 +81,15 @@ def test_a_bucket_beyond_memory_is_counted_on_disk(monkeypatch):
 
 def test_query_agrees_with_its_sql(spark, oracle, same):
     same(op11_collocations(spark, f"{TESTDATA}/sf0.01").toPandas(), oracle(OP11_SQL, "sf0.01"))
+
+
+def test_pieces_are_weighted_without_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "One two.  one TWO;three", "en"), (2, "one two! x", None), (3, None, "en")], "doc_id long, text string, lang string").coalesce(1)
+    pieces = phrases.pieces_of(docs, "text", "lang")
+    assert sorted(map(tuple, pieces.collect())) == [("en", "one two"), ("en", "one two"), ("en", "three"), ("und", "one two"), ("und", "x")]
+    for stretch, want in ((1 << 20, [(b"one two", 3), (b"three", 1), (b"x", 1)]), (1, None)):
+        monkeypatch.setattr(phrases, "STRETCH", stretch)
+        found = phrases.weighted(pieces)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((bytes(r.piece), r.weight) for r in found.collect())
+        assert sum(n for _, n in rows) == 5 and (want is None or rows == want)
