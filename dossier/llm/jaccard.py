@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.batches import gather
 from dossier.llm.debruijn import mixed
 from dossier.llm.durable import durable
 from dossier.llm.graph import connected_components, hot_join, spread_join
@@ -26,8 +27,11 @@ MASKS = np.array(covering_masks(RADIUS, bits=PART_BITS), np.int64)
 TABLES = PARTS * len(MASKS)
 #: Differing bits of the 128 others, beyond which a pair is not compared: 19 are usual at 0.8, and 64 for unlike texts.
 NEAR = 40
-#: Texts that one task compares with each other, and by how many more fingerprints are compared.
+#: Texts of TEXT_BYTES of shingle hashes in a pack; packs meet two by two in a task. By how many more fingerprints are compared.
 BLOCK, PRINTS = 128, 32
+TEXT_BYTES = 1 << 15
+#: Entries of lists of shingles' holders that are counted at once.
+HELD = 1 << 22
 #: Fingerprints of a bucket that are compared side by side with those of other buckets.
 SMALL = 256
 #: Pairs that one copy of a text serves.
@@ -221,52 +225,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return one.join(other, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(scan, "a string, b string")
 
 
+def links_across(roots: list[str], packs: np.ndarray, grams: list[np.ndarray], similarity: float) -> list[tuple[str, str]]:
+    """Edges between roots that join the components of the given texts as all links do: links between two packs, or inside
+    a single one. A text's common shingles with all others are counted at once, by the lists of who holds a shingle."""
+    n, size = len(grams), np.array([len(g) for g in grams])
+    _, place, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    start, holders = np.cumsum(often) - often, np.repeat(np.arange(n), size)[np.argsort(place, kind="stable")]
+    first = np.r_[0, np.cumsum(size)]
+    label = np.unique(roots, return_inverse=True)[1]
+    sides, side = np.unique(packs, return_inverse=True)
+    asking = side == np.argmin(np.bincount(side)) if len(sides) > 1 else label != np.argmax(np.bincount(label))
+    found = []
+    for i in np.nonzero(asking)[0].tolist():
+        other = side != side[i] if len(sides) > 1 else np.ones(n, bool)
+        mine = place[first[i] : first[i + 1]]
+        mine = mine[often[mine] > 1]
+        if len(mine) < similarity * size[i] or (label[other] == label[i]).all():
+            continue
+        both, step = np.zeros(n, np.int64), max(1, HELD // n)
+        for at in range(0, len(mine), step):
+            part = mine[at : at + step]
+            both += np.bincount(gather(holders, start[part], often[part]), minlength=n)
+        near = other & (label != label[i]) & (both >= similarity * (size[i] + size - both))
+        for j in np.nonzero(near)[0].tolist():
+            if label[j] != label[i]:
+                found.append((roots[i], roots[j]))
+                label[label == label[j]] = label[i]
+    return found
+
+
 def _links_in_blocks(blocks: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between roots that join the components of each block's rows (block, node, root, grams) as all its
-    links do."""
+    """``links_across`` of each block's rows (block, pack, root, grams); a block has the texts of one pack or of two."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(rows: list) -> list:
-            above, found = {r[2]: r[2] for r in rows}, []
-
-            def top(x):
-                while above[x] != x:
-                    x = above[x]
-                return x
-
-            rows = sorted(((np.frombuffer(g, np.uint64), n, r) for _, n, r, g in rows), key=lambda r: len(r[0]))
-            for i, (x, _, p) in enumerate(rows):
-                for y, _, q in rows[i + 1 :]:
-                    if len(x) < similarity * len(y):
-                        break
-                    if (s := top(p)) != (t := top(q)) and similar(x, y, similarity):
-                        above[max(s, t)] = min(s, t)
-                        found.append((p, q))
-            return found
-
-        def out(found: list) -> pa.RecordBatch:
+        def out(rows: list) -> pa.RecordBatch:
+            _, packs, roots, grams = zip(*rows, strict=True)
+            found = links_across(list(roots), np.array(packs), [np.frombuffer(g, np.uint64) for g in grams], similarity)
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.string()) for i in (0, 1)], names=["a", "b"])
 
         held: list = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "grams")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "pack", "root", "grams")), strict=True):
                 if held and held[0][0] != row[0]:
-                    yield out(edges(held))
+                    yield out(held)
                     held = []
                 held.append(row)
         if held:
-            yield out(edges(held))
+            yield out(held)
 
     dealt = blocks.repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "node", "root", "grams").mapInArrow(scan, "a string, b string")
+    return dealt.select("block", "pack", "root", "grams").mapInArrow(scan, "a string, b string")
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (block, node, root) such that every two rows of a bucket meet in one block at least."""
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.select(F.concat_ws("/", "band", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "root")
+def _packs(shared: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """(node, pack): texts that share a band are in the same pack, if they can be; a pack has about ``most`` bytes of sets.
+
+    The label of a text is the least text in any of its bands. Packs take whole labels, but large labels are cut.
+    """
+    labels = shared.groupBy("node").agg(F.min("first").alias("label"))
+    sized = durable(sets.select("node", F.octet_length("grams").alias("size")).join(labels, "node"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    cuts = sized.groupBy("label").agg(F.ceil(F.sum("size") / most).cast("int").alias("cuts"), F.count(F.lit(1)).alias("n"))
+    cut = hot_join(sized, cuts, ["label"], "node", "n")
+    whole = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // most))))
+    return cut.select("node", F.when(F.col("cuts") > 1, F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("cuts")))).otherwise(whole).alias("pack"))
 
 
 def similar_texts(texts: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -274,7 +296,8 @@ def similar_texts(texts: DataFrame, *, shingle: int = SHINGLE, similarity: float
     ``similarity`` between the sets of word shingles, and the component is the smallest node.
 
     Fingerprints that meet share a band. Texts of a band are compared with its first one; what this leaves in several components is compared in full, by
-    blocks of ``block`` texts. Tasks give back spanning edges, and no text goes without an exact comparison.
+    packs of about ``block * TEXT_BYTES`` of sets: a text goes once to each pack in which a band of its own has texts, however many bands they share.
+    Tasks give back spanning edges, and no text goes without an exact comparison.
     """
     rows = durable(_banded(texts, shingle, PRINTS * block))
     bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).where("n > 1")
@@ -284,15 +307,17 @@ def similar_texts(texts: DataFrame, *, shingle: int = SHINGLE, similarity: float
 
     pairs = shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     near = durable(connected_components(_verified(pairs, sets, similarity)))
-    roots = near.select("node", F.col("component").alias("root"))
+    placed = durable(_packs(shared, sets, block * TEXT_BYTES).join(near, "node", "left").select("node", "pack", F.coalesce("component", "node").alias("root")))
 
     # Bands with the same texts need one comparison; a band of two had it above.
     single = shared.where("n > 2").groupBy("n", "members").agg(F.min("band").alias("band")).select("band")
-    rooted = durable(spread_join(shared, single, "band", "node", spread=4).select("band", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_rows = _in_blocks(spread_join(rooted, split, "band", "node", spread=4), block)
+    rooted = durable(spread_join(shared, single, "band", "node", spread=4).select("band", "node").join(placed, "node"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_set("pack").alias("packs")).where("low <> high").select("band", "packs")
+    met = spread_join(rooted, split, "band", "node", spread=4).groupBy("node", "root", "pack").agg(F.array_distinct(F.flatten(F.collect_set("packs"))).alias("packs"))
+    open_rows = met.join(sets, "node").withColumn("other", F.explode("packs"))
+    blocks = open_rows.select(F.concat_ws("/", F.least("pack", "other"), F.greatest("pack", "other")).alias("block"), "pack", "root", "grams")
     # What is found now joins components, so only these meet again.
-    joined = durable(connected_components(_links_in_blocks(open_rows.join(sets, "node"), similarity)))
+    joined = durable(connected_components(_links_in_blocks(blocks, similarity)))
     if not joined.limit(1).count():
         return near
     merged = near.join(joined.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left")

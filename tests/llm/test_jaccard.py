@@ -134,3 +134,31 @@ def test_divided_buckets_lose_no_pair(spark):
         bands.setdefault(r.band, set()).add(r.node)
     met = {(a, b) for nodes in bands.values() for a in nodes for b in nodes if a < b}
     assert met == {(a, b) for a, _ in texts.collect() for b, _ in texts.collect() if a < b}
+
+
+@pytest.mark.parametrize("packs", [1, 2])
+def test_links_across_packs_join_what_all_pairs_do(packs):
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+        sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        for _ in range(30):
+            sets.append(np.unique(np.r_[base[rng.random(60) < 0.9], rng.integers(0, 1 << 64, rng.integers(0, 8), dtype=np.uint64)]))
+        pack, root = rng.integers(0, packs, len(sets)), [f"r{i % 27}" for i in range(len(sets))]
+        near = {i: {j for j in range(len(sets)) if root[i] == root[j] or ((packs == 1 or pack[i] != pack[j]) and jaccard.similar(sets[i], sets[j]))} for i in range(len(sets))}
+        want = brute_components({i: i for i in near}, lambda i, j: j in near[i])
+        found = jaccard.links_across(root, pack, sets, jaccard.SIMILARITY)
+        got = brute_components({i: i for i in near}, lambda i, j: root[i] == root[j] or (root[i], root[j]) in found or (root[j], root[i]) in found)
+        assert got == want and len(found) < len(set(root))
+
+
+def test_a_text_meets_a_pack_once_however_many_bands_they_share(spark, monkeypatch):
+    """Rows that tasks compare grow with a family and not with its square; before, each band had a row for each text and block."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.035 else w for w in base), None, "a", "b") for i in range(300)]
+    made, through = [], jaccard._links_in_blocks
+    monkeypatch.setattr(jaccard, "_links_in_blocks", lambda blocks, similarity: made.append(blocks.count()) or through(blocks, similarity))
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_components({r[0]: grams(r[1]) for r in rows}, near)
+    assert made[0] <= len(rows) and len(set(got.values())) > 1
