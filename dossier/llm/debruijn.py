@@ -143,9 +143,10 @@ def key_reply(batch: np.ndarray, asked: Columns) -> tuple[np.ndarray, Columns]:
     return batch[repeated], {"part": asked["part"][order][repeated], "key": key[repeated]}
 
 
-def may_repeat(h: np.ndarray, parts: int, known: Columns) -> np.ndarray:
+def may_repeat(h: np.ndarray, parts: int, known: Columns, bits: int = 32) -> np.ndarray:
+    """Whether a hash's part and key are known; a key is the highest ``bits`` of a hash."""
     wanted = np.unique((known["part"].astype(np.uint64) << U(32)) | known["key"])
-    mine = ((h % U(parts)) << U(32)) | (h >> U(32))
+    mine = ((h % U(parts)) << U(32)) | (h >> U(64 - bits))
     return np.isin(mine, wanted, kind="sort")
 
 

@@ -27,7 +27,7 @@ BREAKS = r"[.,;:!?\x0A-\x0D]"
 
 
 #: Bytes of pieces whose copies a task counts together.
-STRETCH = 16 << 20
+STRETCH = 32 << 20
 
 
 def pieces_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -40,13 +40,15 @@ def pieces_of(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def weighted(pieces: DataFrame) -> DataFrame:
     """(piece, weight): each distinct piece of a stretch of a partition once, and how often it occurs there. Weights of
-    several stretches are summed wherever n-grams are counted, so that pieces themselves are not shuffled."""
+    several stretches are summed wherever n-grams are counted, so that pieces themselves are not shuffled. A stretch is
+    sorted, so that a batch has few languages and like beginnings side by side: it asks about fewer n-grams."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, size = Counter(), 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.binary()), pa.array(times.values(), pa.int64())], names=["piece", "weight"])
+            pieces = sorted(times)
+            return pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(map(times.__getitem__, pieces), pa.int64())], names=["piece", "weight"])
 
         for batch in batches:
             times.update(batch.column("piece").to_pylist())
@@ -102,13 +104,15 @@ def summed(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[starts], np.add.reduceat(weight[order], starts) if len(h) else weight[order]
 
 
+#: Bits of a key beside its bucket. A bucket has the n-grams of PART_BYTES of texts, about a million, whatever the input, and few frequent ones.
+KEY_BITS = 24
 COUNT_FIELDS = {"part": np.uint32, "key": np.uint32, "weight": np.int64}
 
 
 def count_question(h: np.ndarray, weight: np.ndarray, parts: int) -> tuple[np.ndarray, Columns]:
-    """A key has 32 bits beside its bucket; keys that collide are only counted too high, and texts are counted at the end."""
+    """A key has KEY_BITS beside its bucket; keys that collide are only counted too high, and texts are counted at the end."""
     h, weight = summed(h, weight)
-    part, key = (h % U(parts)).astype(np.int64), (h >> U(32)).astype(np.uint32)
+    part, key = (h % U(parts)).astype(np.int64), (h >> U(64 - KEY_BITS)).astype(np.uint32)
     return part, {"part": part.astype(np.uint32), "key": key, "weight": weight}
 
 
@@ -185,7 +189,7 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
         grams = Grams(batch)
         at = grams.places(1)
         often = np.zeros(len(grams.word) + 1, bool)
-        often[at] = may_repeat(grams.hashes(at, 1), parts, known)
+        often[at] = may_repeat(grams.hashes(at, 1), parts, known, KEY_BITS)
         at = grams.places(2)
         at = at[often[at] & often[at + 1]]
         return grams.hashes(at, 2), grams.weights(at)
@@ -200,7 +204,7 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
         grams = Grams(batch)
         pair = np.zeros(len(grams.word), bool)
         at = grams.places(2)
-        pair[at] = may_repeat(grams.hashes(at, 2), parts, known)
+        pair[at] = may_repeat(grams.hashes(at, 2), parts, known, KEY_BITS)
         found = [(runs(grams, pair, n), n) for n in range(3, longest + 1)]
         return np.concatenate([np.zeros(0, U), *(grams.hashes(at, n) for at, n in found)]), np.concatenate([np.zeros(0, np.int64), *(grams.weights(at) for at, _ in found)])
 
@@ -210,7 +214,7 @@ def frequent_phrases(packed: Packed, longest: int = LONGEST, least: int = LEAST)
         found = []
         for n in range(1, longest + 1):
             at = grams.places(n) if n < 3 else runs(grams, pair, n)
-            at = at[may_repeat(grams.hashes(at, n), parts, known)]
+            at = at[may_repeat(grams.hashes(at, n), parts, known, KEY_BITS)]
             if n == 2:
                 pair[at] = True
             h, g = grams.hashes(at, n), other.hashes(at, n)  # phrases of a batch are told by 128 bits

@@ -93,3 +93,34 @@ def test_pieces_are_weighted_without_a_shuffle(spark, monkeypatch):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
         rows = sorted((bytes(r.piece), r.weight) for r in found.collect())
         assert sum(n for _, n in rows) == 5 and (want is None or rows == want)
+
+
+def test_sorted_stretches_and_short_keys_ask_with_fewer_bytes(spark):
+    """Before, pieces came as they were met and keys had 32 bits: the cells of this stretch took over a third more bytes."""
+    rows = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").coalesce(1)
+    found = phrases.weighted(phrases.pieces_of(rows, "text", "lang").select(phrases.F.concat_ws(" ", phrases._tag(phrases.F.col("lang")), "piece").alias("piece"))).collect()
+    texts = [bytes(r.piece) for r in found]
+    assert texts == sorted(set(texts))
+
+    def asked(pieces, bits):
+        data = b"".join(pieces)
+        batch = batches.Batch(0, np.ones(len(pieces), np.int64), np.frombuffer(data, np.uint8), np.r_[0, np.cumsum([len(p) for p in pieces])])
+        grams = phrases.Grams(batch)
+        at = grams.places(2)
+        part, columns = phrases.count_question(grams.hashes(at, 2), grams.weights(at), 43)
+        assert int(columns["key"].max()).bit_length() == phrases.KEY_BITS == bits
+        return sum(len(c) for _, places in batches._split(part) for c in batches._row(columns, places))
+
+    short = asked(texts[: len(texts) // 2], 24)
+    mixed = random.Random(1).sample(texts, len(texts))[: len(texts) // 2]
+    phrases.KEY_BITS = 32
+    try:
+        assert 4 * short < 3 * asked(mixed, 32)
+    finally:
+        phrases.KEY_BITS = 24
+
+
+def test_keys_that_collide_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "KEY_BITS", 4)
+    rows = sample(7)
+    assert sorted(map(tuple, collocations(made(spark, rows), least=5).collect())) == brute(rows, least=5)
