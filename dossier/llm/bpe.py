@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Ranks = dict[bytes, int]
 
-#: Distinct pieces whose ids a task remembers, twice, and bytes of the longest such piece; beyond these pieces are merged again.
-REMEMBERED, SHORT = 1 << 18, 64
+#: Distinct pieces whose ids a worker remembers, twice, and bytes of the longest such piece; beyond these pieces are merged again.
+REMEMBERED, SHORT = 1 << 19, 64
 #: Bytes of a rank file at most, for every executor holds it.
 FILE_BYTES = 64 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -65,21 +65,21 @@ class MergeTree:
             at = leaf & (size - 1)
             gone = ends[at]
             ends[at] = middle = ends[gone]
-            changed = [(gone + size, none)]
+            tree[gone + size] = leaf = none
             if middle < n:
                 before[middle] = at
-                changed.append((at + size, rank(piece[at : ends[middle]], beyond) * size + at))
-            else:
-                changed.append((at + size, none))
+                leaf = rank(piece[at : ends[middle]], beyond) * size + at
+            tree[at + size] = leaf
+            changed = (gone + size, at + size)
             if (left := before[at]) >= 0:
-                changed.append((left + size, rank(piece[left:middle], beyond) * size + left))
-            for i, leaf in changed:
-                tree[i] = leaf
+                tree[left + size] = rank(piece[left:middle], beyond) * size + left
+                changed = (gone + size, at + size, left + size)
+            for i in changed:
                 while i > 1:
-                    other = tree[i ^ 1]
+                    leaf, other = tree[i], tree[i ^ 1]
+                    i >>= 1
                     if other < leaf:
                         leaf = other
-                    i >>= 1
                     if tree[i] == leaf:
                         break
                     tree[i] = leaf
@@ -100,17 +100,17 @@ class Codec:
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.beyond = ranks, max(ranks.values()) + 1
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # the collector of garbage does not visit tuples of numbers again and again
+        self.old: dict[str, tuple[int, ...]] = {}
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
 
-    def piece_ids(self, piece: str) -> list[int]:
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
         found = self.old.get(piece)
         data = piece.encode()
         if found is None:
             whole = self.ranks.get(data)  # a whole token is itself, whether or not merges lead there
-            found = MergeTree(data, self.ranks, self.beyond).ids() if whole is None else [whole]
+            found = tuple(MergeTree(data, self.ranks, self.beyond).ids()) if whole is None else (whole,)
         if len(data) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known, self.old = {}, self.known
@@ -129,8 +129,15 @@ class Codec:
 
 
 def shared_ranks(spark: SparkSession, path: str) -> Broadcast:
-    """The ranks, sent to each executor once; read_ranks bounds their size."""
-    return spark.sparkContext.broadcast(read_ranks(path))
+    """The ranks, sent to each executor once; read_ranks bounds their size. Codecs made of them are kept beside them."""
+    return spark.sparkContext.broadcast({"ranks": read_ranks(path), "codecs": {}})
+
+
+def kept_codec(shared: dict, pattern: str) -> Codec:
+    """The codec of a worker, which keeps a broadcast value, and so what the codec remembers, from one task to the next."""
+    if pattern not in shared["codecs"]:
+        shared["codecs"][pattern] = Codec(shared["ranks"], pattern)
+    return shared["codecs"][pattern]
 
 
 def encode_documents(docs: DataFrame, *, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,7 +150,7 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str, doc_id: str =
     ranks = shared_ranks(docs.sparkSession, path)
 
     def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = kept_codec(ranks.value, pattern)
         for block in blocks:
             for id_, text_ in zip(block.column("id"), block.column("text"), strict=True):
                 ids = codec.encode((text_.as_py() or b"").decode(errors="replace"))
@@ -157,7 +164,7 @@ def decode_documents(encoded: DataFrame, *, path: str, doc_id: str = "doc_id", i
     ranks = shared_ranks(encoded.sparkSession, path)
 
     def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, "")
+        codec = kept_codec(ranks.value, "")
         for block in blocks:
             data = [codec.decode(x or []) for x in block.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "data"])
@@ -172,7 +179,7 @@ def round_trips(docs: DataFrame, *, path: str, pattern: str, doc_id: str = "doc_
     ranks = shared_ranks(docs.sparkSession, path)
 
     def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = kept_codec(ranks.value, pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for block in blocks:
             rows = []

@@ -87,3 +87,25 @@ def test_merges_take_few_calls():
         sys.setprofile(None)
     assert len(calls) == 1 and tree.ids() == LIBRARY._encode_single_piece(piece)
     assert CODEC.named([3, 1000, 49999]) == "3,1000,49999" and CODEC.named([]) == ""
+
+
+def test_a_worker_keeps_its_codec_from_task_to_task(spark):
+    """Before, each task began without remembered pieces. Tasks that share a worker find those of the ones before."""
+    shared = bpe.shared_ranks(spark, PATH)
+
+    def scan(blocks):
+        import os
+
+        import pyarrow as pa
+
+        codec = bpe.kept_codec(shared.value, PATTERN)
+        known = len(codec.known)
+        for block in blocks:
+            for text in block.column("text").to_pylist():
+                codec.encode(text)
+        yield pa.RecordBatch.from_pydict({"worker": [os.getpid()], "known": [known]})
+
+    rows = spark.createDataFrame([(f"zxqj{i} vwkq{i}",) for i in range(64)], "text string").repartition(64).mapInArrow(scan, "worker long, known long").collect()
+    workers = {r.worker for r in rows}
+    assert len(workers) < 64 and sum(not r.known for r in rows) <= len(workers) + 1
+
