@@ -27,7 +27,9 @@ MASKS = np.array(covering_masks(RADIUS, bits=PART_BITS), np.int64)
 TABLES = PARTS * len(MASKS)
 #: Differing bits of the 128 others, beyond which a pair is not compared: 19 are usual at 0.8, and 64 for unlike texts.
 NEAR = 40
-#: Texts of TEXT_BYTES of shingle hashes in a pack; packs meet two by two in a task. By how many more fingerprints are compared.
+#: Differing bits of those 128, up to which texts become a family. Of pairs of unlike texts 6e-10 are so near, so that families do not run together.
+KIN = 30
+#: Texts of TEXT_BYTES of shingle hashes in a pack; packs of one label meet two by two in a task. By how many more fingerprints are compared.
 BLOCK, PRINTS = 128, 32
 TEXT_BYTES = 1 << 15
 #: Entries of lists of shingles' holders that are counted at once.
@@ -81,43 +83,44 @@ def _prints(texts: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(scan, "node string, " + ", ".join(f"{n} long" for n in names)).dropDuplicates(["node"])
 
 
-def _bucketed(prints: DataFrame) -> DataFrame:
-    """(bucket, p0, p1) for each table and distinct fingerprint."""
+def _bucketed(prints: DataFrame, step: int = 1) -> DataFrame:
+    """(bucket, p0, p1) and ``family``, if it is there, for each table, or every ``step``-th of them, and distinct fingerprint."""
+    names = [c for c in prints.columns if c in (*PRINT, "family")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                keys = covering_keys(np.stack([batch.column(f"k{i}").to_numpy() for i in range(KEY_WORDS)], axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(), TABLES)) for c in PRINT)], names=["bucket", *PRINT])
+                keys = covering_keys(np.stack([batch.column(f"k{i}").to_numpy() for i in range(KEY_WORDS)], axis=1))[:, ::step]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(), keys.shape[1])) for c in names)], names=["bucket", *names])
 
-    return prints.drop("node").distinct().mapInArrow(scan, "bucket long, p0 long, p1 long")
+    return prints.drop("node").distinct().mapInArrow(scan, "bucket long, " + ", ".join(f"{c} long" for c in names))
 
 
-def _reached(prints: np.ndarray) -> np.ndarray:
-    """For each fingerprint the place of the first one that it reaches by steps of at most NEAR bits."""
+def _reached(prints: np.ndarray, bits: int = NEAR) -> np.ndarray:
+    """For each fingerprint the place of the first one that it reaches by steps of at most ``bits``."""
     first, left = np.arange(len(prints)), np.arange(len(prints))
     while len(left):
         root, queue, left = left[0], [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(prints[left] ^ prints[queue.pop()]).sum(axis=1, dtype=np.int64) <= NEAR
+            near = np.bitwise_count(prints[left] ^ prints[queue.pop()]).sum(axis=1, dtype=np.int64) <= bits
             queue += left[near].tolist()
             first[left[near]] = root
             left = left[~near]
     return first
 
 
-def near_in_buckets(bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
+def near_in_buckets(bucket: np.ndarray, prints: np.ndarray, bits: int = NEAR) -> np.ndarray:
     """``_reached`` in each of many buckets, which come in order; places are those among all."""
     start = np.nonzero(np.r_[True, bucket[1:] != bucket[:-1]])[0] if len(bucket) else np.zeros(0, int)
     size = np.diff(np.r_[start, len(bucket)])
     first = np.arange(len(bucket))
     for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        first[s : s + n] = s + _reached(prints[s : s + n])
+        first[s : s + n] = s + _reached(prints[s : s + n], bits)
     behind = np.repeat(start + size, size) - np.arange(len(bucket)) - 1
     at, step, pairs = np.nonzero(np.where(np.repeat(size, size) > SMALL, 0, behind) > 0)[0], 1, []
     while len(at):
-        near = np.bitwise_count(prints[at, 0] ^ prints[at + step, 0]) + np.bitwise_count(prints[at, 1] ^ prints[at + step, 1]) <= NEAR
+        near = np.bitwise_count(prints[at, 0] ^ prints[at + step, 0]) + np.bitwise_count(prints[at, 1] ^ prints[at + step, 1]) <= bits
         pairs.append(np.stack([at[near], at[near] + step]))
         step += 1
         at = at[behind[at] >= step]
@@ -129,17 +132,64 @@ def near_in_buckets(bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return first
 
 
+def _with_families(prints: DataFrame, most: int) -> DataFrame:
+    """The fingerprints with their ``family``, the p0 of one of its texts.
+
+    A text follows the least that it reaches by KIN bits in a bucket of one table a part, at most ``most`` at a time, and
+    families are who follows whom. They need not be complete: what families are close is found in all tables.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, found = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+
+        def follows(bucket: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+            start = np.nonzero(np.r_[True, bucket[1:] != bucket[:-1]])[0] if len(bucket) else np.zeros(0, int)
+            place = np.arange(len(bucket)) - np.repeat(start, np.diff(np.r_[start, len(bucket)]))
+            first = near_in_buckets(np.cumsum(place % most == 0), found, KIN)
+            own, least = (found[at, 0].view(np.int64) for at in (np.arange(len(first)), first))
+            return pa.RecordBatch.from_arrays([pa.array(own[own != least]), pa.array(least[own != least])], names=["a", "b"])
+
+        for batch in batches:
+            bucket = np.concatenate([bucket, batch.column("bucket").to_numpy()])
+            found = np.concatenate([found, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in PRINT], axis=1)])
+            n = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+            n += (len(bucket) - n) // most * most
+            yield follows(bucket[:n], found[:n])
+            bucket, found = bucket[n:], found[n:]
+        yield follows(bucket, found)
+
+    dealt = _bucketed(prints, len(MASKS)).repartition("bucket").sortWithinPartitions("bucket", *PRINT)
+    above = dealt.mapInArrow(scan, "a long, b long").groupBy("a").agg(F.min("b").alias("b"))
+    roots = connected_components(above).select(F.col("node").alias("p0"), F.col("component"))
+    return prints.join(roots, "p0", "left").select(*prints.columns, F.coalesce("component", "p0").alias("family"))
+
+
+def leading(group: np.ndarray, family: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the family of which its group has most rows, and whether the group has others."""
+    order = np.lexsort((family, group))
+    g, f = group[order], family[order]
+    start = np.nonzero(np.r_[True, (g[1:] != g[:-1]) | (f[1:] != f[:-1])])[0] if len(g) else np.zeros(0, int)
+    size, g, f = np.diff(np.r_[start, len(g)]), g[start], f[start]
+    best = np.lexsort((f, -size, g))
+    best = best[np.r_[True, g[best][1:] != g[best][:-1]]] if len(best) else best
+    lead = np.zeros(group.max(initial=-1) + 1, np.int64)
+    lead[g[best]] = f[best]
+    return lead[group], (np.bincount(g, minlength=len(lead)) > 1)[group]
+
+
 def _grouped(rows: DataFrame, most: int | None) -> DataFrame:
-    """(band, p0, p1, whole) of rows (bucket, p0, p1): fingerprints that reach each other inside a bucket have a band,
-    which is named by its fingerprints. A bucket of over ``most`` is handed on, with ``whole``, and is not held."""
+    """(band, p0, p1, family, whole) of rows (bucket, p0, p1, family; without the last each is its own): where fingerprints of several
+    families reach each other inside a bucket, the others come to the band of the family that has most of them there. Of
+    that one only the text that names it is given again. A bucket of over ``most`` is handed on, with ``whole``, and is not held."""
+    rows = rows if "family" in rows.columns else rows.withColumn("family", F.col("p0"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["band", *PRINT, "whole"]
-        bucket, prints, passing = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), None
+        names = ["band", *PRINT, "family", "whole"]
+        bucket, prints, passing = np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), None
 
         def out(band: np.ndarray, prints: np.ndarray, whole: bool) -> pa.RecordBatch:
             signed = np.ascontiguousarray(prints.T).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(band), pa.array(signed[0]), pa.array(signed[1]), pa.array(np.full(len(band), whole))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(band), *(pa.array(x) for x in signed), pa.array(np.full(len(band), whole))], names=names)
 
         def ready(bucket: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
             if most is not None and len(bucket):
@@ -149,16 +199,14 @@ def _grouped(rows: DataFrame, most: int | None) -> DataFrame:
                 if large.any():
                     yield out(bucket[large], prints[large], True)
                     bucket, prints = bucket[~large], prints[~large]
-            first = near_in_buckets(bucket, prints)
-            members = np.bincount(first, minlength=len(first))
-            name = np.zeros(len(first), np.uint64)
-            np.add.at(name, first, mixed(prints[:, 0] ^ mixed(prints[:, 1])))
-            some = members[first] > 1
-            yield out(mixed(name[first[some]] + members[first[some]].astype(np.uint64)).view(np.int64), prints[some], False)
+            own, family = (np.ascontiguousarray(prints[:, i]).view(np.int64) for i in (0, 2))
+            lead, several = leading(near_in_buckets(bucket, prints[:, :2]), family)
+            some = several & ((family != lead) | (own == lead))
+            yield out(lead[some], prints[some], False)
 
         for batch in batches:
             bucket = np.concatenate([bucket, batch.column("bucket").to_numpy()])
-            prints = np.concatenate([prints, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in PRINT], axis=1)])
+            prints = np.concatenate([prints, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in (*PRINT, "family")], axis=1)])
             if passing is not None:
                 n = int(np.searchsorted(bucket, passing, side="right"))
                 yield out(bucket[:n], prints[:n], True)
@@ -174,25 +222,25 @@ def _grouped(rows: DataFrame, most: int | None) -> DataFrame:
                 bucket, prints = bucket[:0], prints[:0]
         yield from ready(bucket, prints)
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(scan, "band long, p0 long, p1 long, whole boolean")
+    dealt = rows.select("bucket", *PRINT, "family").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(scan, "band long, p0 long, p1 long, family long, whole boolean")
 
 
 def _banded(texts: DataFrame, shingle: int, most: int) -> DataFrame:
     """(node, band): any two texts whose fingerprints meet under a mask and differ in at most NEAR other bits share a band.
 
-    Buckets of more than ``most`` fingerprints are cut into parts, each two of which meet in a task.
+    A band is a family and the texts of others that meet it, so that a text has one row, and one for each family that it
+    comes to, but none for each table. Buckets of more than ``most`` fingerprints are cut into parts, each two of which meet in a task.
     """
-    prints = durable(_prints(texts, shingle))
+    prints = durable(_with_families(durable(_prints(texts, shingle)), most))
     found = durable(_grouped(_bucketed(prints), most))
-    large = found.where("whole").select(F.col("band").alias("bucket"), *PRINT)
+    large = found.where("whole").select(F.col("band").alias("bucket"), *PRINT, "family")
     sizes = large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     dealt = spread_join(large, sizes, "bucket", F.xxhash64(*PRINT)).withColumn("own", F.pmod(F.xxhash64(*PRINT), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *PRINT)
-    equal = prints.groupBy(*PRINT).count().where("count > 1").select(F.xxhash64(*PRINT).alias("band"), *PRINT)
-    bands = found.where("not whole").drop("whole").unionByName(_grouped(pairs, None).drop("whole")).unionByName(equal).distinct()
-    return prints.join(bands, PRINT).select("node", "band")
+    pairs = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *PRINT, "family")
+    comers = found.where("not whole").unionByName(_grouped(pairs, None)).where("band <> family").select("band", *PRINT).distinct()
+    return prints.select("node", F.col("family").alias("band")).unionByName(prints.join(comers, PRINT).select("node", "band"))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -234,9 +282,12 @@ def links_across(roots: list[str], packs: np.ndarray, grams: list[np.ndarray], s
     first = np.r_[0, np.cumsum(size)]
     label = np.unique(roots, return_inverse=True)[1]
     sides, side = np.unique(packs, return_inverse=True)
-    asking = side == np.argmin(np.bincount(side)) if len(sides) > 1 else label != np.argmax(np.bincount(label))
+    largest = int(np.argmax(label == np.argmax(np.bincount(label))))
+    asking = side == np.argmin(np.bincount(side)) if len(sides) > 1 else label != label[largest]
     found = []
     for i in np.nonzero(asking)[0].tolist():
+        if len(sides) == 1 and label[i] == label[largest]:
+            continue  # all that are still apart ask by themselves
         other = side != side[i] if len(sides) > 1 else np.ones(n, bool)
         mine = place[first[i] : first[i + 1]]
         mine = mine[often[mine] > 1]
@@ -277,18 +328,19 @@ def _links_in_blocks(blocks: DataFrame, similarity: float) -> DataFrame:
     return dealt.select("block", "pack", "root", "grams").mapInArrow(scan, "a string, b string")
 
 
-def _packs(shared: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """(node, pack): texts that share a band are in the same pack, if they can be; a pack has about ``most`` bytes of sets.
+def _packed(rooted: DataFrame, most: int) -> DataFrame:
+    """(label, pack, parts, node, root) of rows (band, node, size, least, root) whose band has several roots: texts that share such a band have
+    the same label. A label of over ``most`` bytes of sets is cut into packs, each two of which are to meet; others share labels of about ``most``.
 
-    The label of a text is the least text in any of its bands. Packs take whole labels, but large labels are cut.
+    The label of a band is the least band that any of its texts has.
     """
-    labels = shared.groupBy("node").agg(F.min("first").alias("label"))
-    sized = durable(sets.select("node", F.octet_length("grams").alias("size")).join(labels, "node"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    cuts = sized.groupBy("label").agg(F.ceil(F.sum("size") / most).cast("int").alias("cuts"), F.count(F.lit(1)).alias("n"))
-    cut = hot_join(sized, cuts, ["label"], "node", "n")
-    whole = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // most))))
-    return cut.select("node", F.when(F.col("cuts") > 1, F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("cuts")))).otherwise(whole).alias("pack"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("least").alias("label")).where("low <> high").select("band", "label")
+    met = durable(spread_join(rooted, split, "band", "node", spread=4).select("label", "node", "root", "size").distinct())
+    shares = max(1, -(-(met.agg(F.sum("size")).first()[0] or 0) // most))
+    parts = met.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / most)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    cut = hot_join(met, parts, ["label"], "node", "n")
+    label = F.when(F.col("parts") > 1, F.concat_ws("/", F.lit("cut"), "label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(shares)).cast("string"))
+    return cut.select(label.alias("label"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("pack"), "parts", "node", "root").distinct()
 
 
 def similar_texts(texts: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -296,26 +348,24 @@ def similar_texts(texts: DataFrame, *, shingle: int = SHINGLE, similarity: float
     ``similarity`` between the sets of word shingles, and the component is the smallest node.
 
     Fingerprints that meet share a band. Texts of a band are compared with its first one; what this leaves in several components is compared in full, by
-    packs of about ``block * TEXT_BYTES`` of sets: a text goes once to each pack in which a band of its own has texts, however many bands they share.
+    packs of about ``block * TEXT_BYTES`` of sets (``_packed``): a text goes once to a pack, however many of its bands are in it.
     Tasks give back spanning edges, and no text goes without an exact comparison.
     """
     rows = durable(_banded(texts, shingle, PRINTS * block))
     bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).where("n > 1")
     shared = durable(spread_join(rows, bands, "band", "node", spread=4))
-    wanted = durable(shared.select("node").distinct())
+    wanted = durable(shared.groupBy("node").agg(F.min("band").alias("least")))
     sets = durable(_sets(texts.join(wanted, "node", "left_semi"), shingle))
 
     pairs = shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     near = durable(connected_components(_verified(pairs, sets, similarity)))
-    placed = durable(_packs(shared, sets, block * TEXT_BYTES).join(near, "node", "left").select("node", "pack", F.coalesce("component", "node").alias("root")))
+    placed = sets.select("node", F.octet_length("grams").alias("size")).join(wanted, "node").join(near, "node", "left").select("node", "size", "least", F.coalesce("component", "node").alias("root"))
 
     # Bands with the same texts need one comparison; a band of two had it above.
     single = shared.where("n > 2").groupBy("n", "members").agg(F.min("band").alias("band")).select("band")
     rooted = durable(spread_join(shared, single, "band", "node", spread=4).select("band", "node").join(placed, "node"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_set("pack").alias("packs")).where("low <> high").select("band", "packs")
-    met = spread_join(rooted, split, "band", "node", spread=4).groupBy("node", "root", "pack").agg(F.array_distinct(F.flatten(F.collect_set("packs"))).alias("packs"))
-    open_rows = met.join(sets, "node").withColumn("other", F.explode("packs"))
-    blocks = open_rows.select(F.concat_ws("/", F.least("pack", "other"), F.greatest("pack", "other")).alias("block"), "pack", "root", "grams")
+    open_rows = _packed(rooted, block * TEXT_BYTES).join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = open_rows.select(F.concat_ws("/", "label", F.least("pack", "other"), F.greatest("pack", "other")).alias("block"), "pack", "root", "grams")
     # What is found now joins components, so only these meet again.
     joined = durable(connected_components(_links_in_blocks(blocks, similarity)))
     if not joined.limit(1).count():

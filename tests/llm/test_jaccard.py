@@ -162,3 +162,34 @@ def test_a_text_meets_a_pack_once_however_many_bands_they_share(spark, monkeypat
     got = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute_components({r[0]: grams(r[1]) for r in rows}, near)
     assert made[0] <= len(rows) and len(set(got.values())) > 1
+
+
+def test_a_family_has_a_row_for_each_text_and_not_for_each_table(spark):
+    """Rows that joins carry for a text of a large family are few; before, it had one for nearly each of its 84 tables."""
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.01 else w for w in base), None, "a", "b") for i in range(200)]
+    texts = spark.createDataFrame([(str(r[0]), r[1]) for r in rows], "node string, text string")
+    found = jaccard._banded(texts, 5, 4096).collect()
+    assert len({tuple(r) for r in found}) == len(found) <= 2 * len(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_components({r[0]: grams(r[1]) for r in rows}, near)
+
+
+def test_a_label_of_several_packs_loses_no_link(spark, monkeypatch):
+    """Neighbours along a line of texts are in different packs of about 32 kB, each two of which meet."""
+    rng = random.Random(16)
+    line = [f"w{rng.randrange(9000)}" for _ in range(1200)]
+    rows = [(i, " ".join(line[10 * i : 10 * i + 200]), None, "a", "b") for i in range(90) if i not in (30, 31, 60, 61)]
+    packs, through = [], jaccard._packed
+    monkeypatch.setattr(jaccard, "_packed", lambda rooted, most: packs.append(through(rooted, most)) or packs[0])
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(rows, DOCS), block=1).collect()}
+    assert got == brute_components({r[0]: grams(r[1]) for r in rows}, near) and len(set(got.values())) == 3
+    assert max(r.parts for r in packs[0].collect()) > 1
+
+
+def test_others_come_to_the_family_that_has_most():
+    group, family = np.array([0, 4, 0, 0, 4, 2, 6, 6]), np.array([9, 7, 9, -3, 5, 1, 8, 8])
+    lead, several = jaccard.leading(group, family)
+    assert lead.tolist() == [9, 5, 9, 9, 5, 1, 8, 8] and several.tolist() == [True, True, True, True, True, False, False, False]
+    assert all(len(x) == 0 for x in jaccard.leading(group[:0], family[:0]))
