@@ -234,13 +234,20 @@ def _banded(texts: DataFrame, shingle: int, most: int) -> DataFrame:
     """
     prints = durable(_with_families(durable(_prints(texts, shingle)), most))
     found = durable(_grouped(_bucketed(prints), most))
+    comers = found.where("not whole")
+    if found.where("whole").limit(1).count():
+        comers = comers.unionByName(_grouped(_cut(found, most), None))
+    comers = comers.where("band <> family").select("band", *PRINT).distinct()
+    return prints.select("node", F.col("family").alias("band")).unionByName(prints.join(comers, PRINT).select("node", "band"))
+
+
+def _cut(found: DataFrame, most: int) -> DataFrame:
+    """Rows of ``_grouped`` in large buckets as rows of buckets of two parts of at most about ``most``."""
     large = found.where("whole").select(F.col("band").alias("bucket"), *PRINT, "family")
     sizes = large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
     dealt = spread_join(large, sizes, "bucket", F.xxhash64(*PRINT)).withColumn("own", F.pmod(F.xxhash64(*PRINT), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *PRINT, "family")
-    comers = found.where("not whole").unionByName(_grouped(pairs, None)).where("band <> family").select("band", *PRINT).distinct()
-    return prints.select("node", F.col("family").alias("band")).unionByName(prints.join(comers, PRINT).select("node", "band"))
+    return dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *PRINT, "family")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -338,7 +345,7 @@ def _packed(rooted: DataFrame, most: int) -> DataFrame:
     met = durable(spread_join(rooted, split, "band", "node", spread=4).select("label", "node", "root", "size").distinct())
     shares = max(1, -(-(met.agg(F.sum("size")).first()[0] or 0) // most))
     parts = met.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / most)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
-    cut = hot_join(met, parts, ["label"], "node", "n")
+    cut = hot_join(met, parts, ["label"], "node", "n", total=met.count())
     label = F.when(F.col("parts") > 1, F.concat_ws("/", F.lit("cut"), "label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(shares)).cast("string"))
     return cut.select(label.alias("label"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("pack"), "parts", "node", "root").distinct()
 
@@ -391,5 +398,5 @@ def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     roots = similar_texts(docs.select(text_key(docs[text]).alias("node"), docs[text].alias("text")), **options)
     rooted = durable(nodes.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    ids = hot_join(rooted, least, ["root"], "node", "n").select("node", "root", "component_id", "copies")
-    return hot_join(named, ids, ["node"], "doc_id", "copies").select("doc_id", "node", "root", "component_id")
+    ids = hot_join(rooted, least, ["root"], "node", "n", total=rooted.count()).select("node", "root", "component_id", "copies")
+    return hot_join(named, ids, ["node"], "doc_id", "copies", total=named.count()).select("doc_id", "node", "root", "component_id")
