@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,50 +30,78 @@ def _micros(ts: str) -> Column:
 
 
 class _Settling(StatefulProcessor):
-    """Holds requests back until they are due. Subclasses decide them, one by one in order."""
+    """Holds requests back until they are due. Subclasses decide them, in order.
+
+    A caller's state is read and written once a batch, as packed numbers, and one timer, ``wake``, is set for what is due
+    next: each call of a state goes to the JVM and back, and one a request would take longer than all else. ``kept`` are
+    the numbers beside the waiting requests, named in ``more``.
+    """
+
+    more: list[str] = []
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, event_id long", "due long")
+        self.state = handle.getValueState("waiting", ", ".join(f"{c} binary" for c in ["places", *self.more]) + ", wake long")
 
-    def due(self, at: int) -> int:
+    def due(self, at):
         return at // 1000 // MINUTE * MINUTE + MINUTE + self.wait_ms
 
-    def settle(self, key: tuple, places: list[tuple], late_at: int | None = None) -> Iterator[pd.DataFrame]:
-        """Each is decided as of the clock at which it is due, or of ``late_at``."""
-        rows = [(key[0], event_id, at, *self.decide(at, event_id, late_at or self.due(at)), late_at is not None) for at, event_id in sorted(places)]
-        if rows:
-            yield pd.DataFrame(rows, columns=self.columns)
+    def decide_all(self, places: np.ndarray, late_at: int | None) -> dict:
+        """The columns that are decided, for requests in order. Each is decided as of the clock at which it is due, or of ``late_at``."""
+        rows = [self.decide(at, event_id, late_at or self.due(at)) for at, event_id in places.tolist()]
+        return dict(zip(self.columns[3:-1], zip(*rows, strict=True), strict=True))
+
+    def settle(self, key: tuple, places: np.ndarray, late_at: int | None = None) -> Iterator[pd.DataFrame]:
+        if len(places):
+            places = places[np.lexsort((places[:, 1], places[:, 0]))]
+            fixed = {self.columns[0]: key[0], "event_id": places[:, 1], "at": places[:, 0]}
+            yield pd.DataFrame(fixed | self.decide_all(places, late_at) | {"is_late": late_at is not None}, columns=self.columns)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, late = timerValues.getCurrentWatermarkInMs(), []
-        yield from self.settle_due(key, now)
-        for at, event_id in self.requests(pd.concat(list(rows))):
-            due = self.due(at)
-            if due <= now:
-                late.append((at, event_id))
-            else:
-                self.waiting.updateValue((at, event_id), (due,))
-                self.handle.registerTimer(due)
-        yield from self.settle(key, late, now)
-
-    def settle_due(self, key: tuple, now: int) -> Iterator[pd.DataFrame]:
         """What is due comes before all that arrives from now on, also where a batch's rows are seen before its timers."""
-        ready = [tuple(place) for place, (due,) in list(self.waiting.iterator()) if due <= now]
-        yield from self.settle(key, ready)
-        for place in ready:
-            self.waiting.removeKey(place)
+        now = timerValues.getCurrentWatermarkInMs()
+        places, wake = self.held()
+        is_due = self.due(places[:, 0]) <= now
+        yield from self.settle(key, places[is_due])
+        new = self.requests(pd.concat(list(rows)))
+        is_late = self.due(new[:, 0]) <= now
+        yield from self.settle(key, new[is_late], now)
+        self.hold(np.concatenate([places[~is_due], new[~is_late]]), wake)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        yield from self.settle_due(key, now)
+        places, wake = self.held()
+        is_due = self.due(places[:, 0]) <= now
+        yield from self.settle(key, places[is_due])
         self.forget(now)
-
-    def requests(self, rows: pd.DataFrame) -> Iterator[tuple]:
-        return rows[["at", "event_id"]].itertuples(index=False, name=None)
+        self.hold(places[~is_due], wake if wake and wake > now else None)
+
+    def held(self) -> tuple[np.ndarray, int | None]:
+        *packed, wake = self.state.get() or (*[b""] * (1 + len(self.more)), None)
+        places, *self.kept = (np.frombuffer(bytes(x), np.int64).reshape(-1, 2) for x in packed)
+        return places, wake
+
+    def hold(self, places: np.ndarray, wake: int | None) -> None:
+        """Keep what waits, each request once, and see to it that a timer comes for the first that is to be done."""
+        places = np.unique(places, axis=0)
+        first = min([self.due(at) for at in places[:1, 0].tolist()] + self.ends(), default=None)
+        if first is not None and (wake is None or first < wake):
+            self.handle.registerTimer(first)
+            wake = first
+        if wake is not None:
+            self.state.update((*(x.tobytes() for x in (places, *self.kept)), wake))
+        else:
+            self.state.clear()
+
+    def requests(self, rows: pd.DataFrame) -> np.ndarray:
+        return rows[["at", "event_id"]].to_numpy(np.int64)
+
+    def ends(self) -> list[int]:
+        """When the next of what is kept can be dropped."""
+        return []
 
     def forget(self, now: int) -> None:
         """Drop what can no longer be asked for."""
@@ -82,29 +111,38 @@ class _Settling(StatefulProcessor):
 
 
 class _Limits(_Settling):
+    """Keeps rows (start, n) of minutes and of hours, in order."""
+
     columns = ["caller", "event_id", "at", "minute_count", "hour_count", "allowed", "is_late"]
+    more = ["minutes", "hours"]
 
     def __init__(self, wait_ms: int, per_minute: int, per_hour: int):
         super().__init__(wait_ms)
         self.limits = per_minute, per_hour
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.counts = handle.getMapState("counts", "size long, start long", "n long")
-
-    def decide(self, at: int, event_id: int, clock: int) -> tuple:
-        counts = []
-        for size in (MINUTE, HOUR):
-            bucket = size, at // 1000 // size * size
-            counts.append((self.counts.getValue(bucket)[0] if self.counts.containsKey(bucket) else 0) + 1)
-            self.counts.updateValue(bucket, (counts[-1],))
-        self.handle.registerTimer(at // 1000 // HOUR * HOUR + HOUR + self.wait_ms + KEEP)
-        return *counts, all(n <= most for n, most in zip(counts, self.limits))
+    def decide_all(self, places: np.ndarray, late_at: int | None) -> dict:
+        counts, kept = [], self.kept
+        for i, size in enumerate((MINUTE, HOUR)):
+            start = places[:, 0] // 1000 // size * size  # in order, as the requests are
+            one, first, n = np.unique(start, return_index=True, return_counts=True)
+            before = np.zeros(len(one), np.int64)
+            seen = np.isin(one, kept[i][:, 0])
+            before[seen] = kept[i][np.searchsorted(kept[i][:, 0], one[seen]), 1]
+            counts.append(np.arange(len(start)) + 1 + np.repeat(before - first, n))
+            others = kept[i][~np.isin(kept[i][:, 0], one)]
+            kept[i] = np.concatenate([others, np.stack([one, before + n], axis=1)])
+            kept[i] = kept[i][np.argsort(kept[i][:, 0])]
+        allowed = (counts[0] <= self.limits[0]) & (counts[1] <= self.limits[1])
+        return {"minute_count": counts[0], "hour_count": counts[1], "allowed": allowed}
+
+    def end(self, start):
+        return start // HOUR * HOUR + HOUR + self.wait_ms + KEEP
+
+    def ends(self) -> list[int]:
+        return [self.end(start) for start in self.kept[1][:1, 0].tolist()]
 
     def forget(self, now: int) -> None:
-        for size, start in [tuple(bucket) for bucket, _ in list(self.counts.iterator())]:
-            if start // HOUR * HOUR + HOUR + self.wait_ms + KEEP <= now:
-                self.counts.removeKey((size, start))
+        self.kept = [x[self.end(x[:, 0]) > now] for x in self.kept]
 
 
 class _Quota(_Settling):
@@ -122,13 +160,13 @@ class _Quota(_Settling):
         self.used = handle.getMapState("used", "event_id long", "free_at long")
         self.refunds = handle.getMapState("refunds", "event_id long", "came long")
 
-    def requests(self, rows: pd.DataFrame) -> Iterator[tuple]:
+    def requests(self, rows: pd.DataFrame) -> np.ndarray:
         back = rows["is_refund"].fillna(False).astype(bool)
         for event_id, came in rows.loc[back, ["event_id", "came"]].sort_values("came", ascending=False).itertuples(index=False, name=None):
             known = self.used if self.used.containsKey((event_id,)) else self.refunds
             known.updateValue((event_id,), (came,))
             self.handle.registerTimer(came + self.wait_ms + KEEP)
-        return rows.loc[~back, ["at", "event_id"]].itertuples(index=False, name=None)
+        return super().requests(rows[~back])
 
     def decide(self, at: int, event_id: int, clock: int) -> tuple:
         used = sum(free_at > clock for _, (free_at,) in self.used.iterator())
