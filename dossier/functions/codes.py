@@ -32,6 +32,9 @@ UNMARKED_ARTICLE = rf"(?iU)(?<![0-9a-z.])([0-9]+(?:\s*\.\s*{ARTICLE_PART}){{2,}}
 ANNEX = r"(?iU)\banexa\s*([0-9]+(?:\s*\.\s*[0-9]+)*\s*\.?)"
 ALIAS_SEPARATOR = r"[ \t\n\r\f\x0b\u00a0\u202f/-]*"
 
+#: Aliases go to every task up to so many, so that the runs of words, many times the questions, are not moved.
+BROADCAST_ALIASES = 100_000
+
 _PATTERNS = tuple(map(re.compile, CODE_PATTERNS))
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzĂÂÎȘȚăâîșț")
 
@@ -139,12 +142,19 @@ def run_keys(text: Column, most: int, *, at_start: bool = False) -> Column:
     return F.array_distinct(F.transform(runs, lambda r: F.regexp_replace(r, "[^a-z1-9]", "")))
 
 
+def meet(runs: DataFrame, named: DataFrame, run: str) -> DataFrame:
+    """Rows of ``runs`` with the aliases of their whole key. Aliases are counted, for Spark takes tables made of lists as
+    larger than any broadcast."""
+    few = named.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
+    return runs.join(F.broadcast(named) if few else named, run)
+
+
 def alias_spans(questions: DataFrame, aliases: DataFrame, key: str, text: str, owner: str) -> DataFrame:
     """Rows (key, owner, start, end) where a question names an alias. A question meets an alias by an equi-join on its
     whole key, so that its candidates are bounded by its own words; the alias's pattern then decides."""
     asked = questions.select(key, text, F.explode(run_keys(F.col(text), most_words(aliases))).alias("__run"))
     named = aliases.select(owner, alias_pattern(F.col("alias")).alias("__p"), whole_key(F.col("alias")).alias("__run"))
-    hits = asked.join(named, "__run").withColumn("__m", F.expr(f"regexp_extract_all({text}, __p, 0)")).where(F.size("__m") > 0)
+    hits = meet(asked, named, "__run").withColumn("__m", F.expr(f"regexp_extract_all({text}, __p, 0)")).where(F.size("__m") > 0)
     # Lengths of what stands before each match give its place.
     split = hits.withColumn("__before", F.expr(f"split({text}, __p)"))
     placed = split.select(key, owner, F.posexplode("__m").alias("__i", "__hit"), "__before", "__m")

@@ -135,7 +135,7 @@ def restricted_documents(questions: DataFrame, aliases: DataFrame, articles: Dat
     asked = questions.select(question, codes.restriction(F.col(text)).alias("rest")).where("rest is not null")
     named = aliases.select("document_id", codes.alias_pattern(F.col("alias")).alias("p"), codes.whole_key(F.col("alias")).alias("run"))
     runs = codes.run_keys(F.col("rest"), codes.most_words(aliases), at_start=True)
-    pairs = asked.select("*", F.explode(runs).alias("run")).join(named, "run").drop("run")
+    pairs = codes.meet(asked.select("*", F.explode(runs).alias("run")), named, "run").drop("run")
     pairs = pairs.withColumn("hit", F.expr("regexp_extract(rest, concat('^(?:', p, ')'), 0)")).where("hit <> ''")
     pairs = pairs.withColumn("after", F.expr("substring(rest, length(hit) + 1)"))
     number = F.regexp_extract("after", rf"(?iU)^[ \t\n\r\f\x0b  ]+([0-9]+(?:\s*\.\s*{codes.ARTICLE_PART}){{2,}}\s*\.?)(?![0-9a-z.])", 1)
